@@ -13,8 +13,8 @@ from array import array
 
 from ripplebed.llm.base import worker_state
 
-#: Entries a worker remembers before it forgets all of them.
-CHUNKS_KEPT = 1_000_000
+#: Chunks a worker remembers, in two generations: when the younger is full it becomes the older, which is forgotten.
+CHUNKS_KEPT = 700_000
 
 
 def byte_bpe_path() -> str:
@@ -61,8 +61,9 @@ class ChunkEncoder:
         self.space = self.letters[32]
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.words: dict[str, bytes] = {}
-        self.most = chunks_kept
+        self.most = chunks_kept // 2
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -70,7 +71,7 @@ class ChunkEncoder:
     def word(self, pre_token: str) -> bytes:
         ids = self.words.get(pre_token)
         if ids is None:
-            if len(self.words) >= self.most:
+            if len(self.words) >= self.most // 2:
                 self.words.clear()
             if pre_token.isascii():
                 written = self.space + pre_token[1:] if pre_token[0] == " " else pre_token
@@ -99,14 +100,14 @@ class ChunkEncoder:
         known = list(map(later.get, chunks))
         known[0] = self._known(self.first, chunks[0], "")
         if None in known:
-            if len(later) >= self.most:
-                later.clear()
             for i, had in enumerate(known):
                 if had is None:
                     ids = self._known(later, chunks[i], " ") if i else None
                     if ids is None:
                         return self.whole(text)
                     known[i] = ids
+            if len(later) >= self.most:
+                self.older, self.later = later, {}
         return b"".join(known)
 
     def _known(self, cache: dict[str, bytes | None], chunk: str, lead: str) -> bytes | None:
@@ -114,7 +115,8 @@ class ChunkEncoder:
             return cache[chunk]
         if cache is self.first and len(cache) >= 10_000:
             cache.clear()
-        cache[chunk] = self.chunk(chunk, lead)
+        ids = self.older.get(chunk) if lead else None
+        cache[chunk] = self.chunk(chunk, lead) if ids is None else ids
         return cache[chunk]
 
 
