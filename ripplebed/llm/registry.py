@@ -9,6 +9,7 @@ QUERIES = {
     "op2_token_store": "token_store",
     "op5_exact_dedup": "exact_dedup",
     "op8_quality_rules": "quality_rules",
+    "op9_sharding": "sharding",
     "op10_packing": "packing",
 }
 
