@@ -8,6 +8,7 @@ from importlib import import_module
 QUERIES = {
     "op2_token_store": "token_store",
     "op3_line_dedup": "line_dedup",
+    "op4_minhash": "minhash",
     "op5_exact_dedup": "exact_dedup",
     "op8_quality_rules": "quality_rules",
     "op9_sharding": "sharding",
