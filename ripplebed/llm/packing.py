@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ripplebed.llm.base import documents, id_and_text
 from ripplebed.llm.token_ids import byte_bpe_path, encoder
@@ -117,7 +118,7 @@ def pack(pieces: DataFrame, n_documents: int, length: int = SEQUENCE, group_docu
             table = table.append_column(name, column)
         return table
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     grouped = pieces.withColumn("_group", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)))
     return grouped.groupBy("_group").applyInArrow(pack_group, schema)
 

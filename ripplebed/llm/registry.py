@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": "line_dedup",
     "op4_minhash": "minhash",
     "op5_exact_dedup": "exact_dedup",
+    "op6_language_id": "language_id",
     "op8_quality_rules": "quality_rules",
     "op9_sharding": "sharding",
     "op10_packing": "packing",
