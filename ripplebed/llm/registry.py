@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minhash": "minhash",
     "op5_exact_dedup": "exact_dedup",
     "op6_language_id": "language_id",
+    "op7_bpe_automaton": "bpe_automaton",
     "op8_quality_rules": "quality_rules",
     "op9_sharding": "sharding",
     "op10_packing": "packing",
