@@ -29,7 +29,9 @@ from ripplebed.llm.base import documents, id_and_text, small_batches, staged, te
 #: Bytes of text in the buffer that a task splits at once.
 BUFFER = 24 << 20
 #: Bytes of a group that one task may finish.
-GROUP = 16 << 20
+GROUP = 4 << 20
+#: Rows of the undecided that may be broadcast, 24 bytes each; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Width of the first digit across tasks; each further one is four times as wide.
 DIGIT = 32
 
@@ -135,7 +137,10 @@ def radix_groups(reps: DataFrame, digit: int = DIGIT, group_bytes: int = GROUP)
         small = F.col("bytes") <= group_bytes
         more = groups.where((F.col("rows") > 1) & ~ended).select("grp", "digit", "sub", "bytes")
         large = more.where(~small).limit(1).count()
-        joined = left.withColumn("digit", key).join(more, ["grp", "digit"]).select(F.col("sub").alias("grp"), "rep", "rep_id", "text", "n", "bytes")
+        # Texts of rows that are settled stay where they are: the others are picked by their numbers first.
+        open_ = staged(keyed.select("grp", "digit", "rep").join(more, ["grp", "digit"]).select("rep", "sub", "bytes"), "radix-open")
+        open_ = F.broadcast(open_) if open_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else open_
+        joined = left.join(open_, "rep").select(F.col("sub").alias("grp"), "rep", "rep_id", "text", "n", "bytes")
         ready = joined.where(small).select("grp", "rep", "rep_id", "text", "n").repartition("grp").sortWithinPartitions("grp")
         settled.append(ready.mapInArrow(_finish, "rep long, keep long, keep_id long, group_size long"))
         if not large:
