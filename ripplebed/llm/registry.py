@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name, module of this package.
 QUERIES = {
+    "op1_suffix_tree": "suffix_tree",
     "op2_token_store": "token_store",
     "op3_line_dedup": "line_dedup",
     "op4_minhash": "minhash",
