@@ -13,7 +13,8 @@ give coordinate k of the signature, so two permutations make all coordinates.
    different components is examined inside tasks, block against block: pairs whose
    signatures agree too little for the threshold are passed over, the others are
    verified on full sets, and components are made again from all links.  Pairs
-   inside the largest component of a bucket need no comparison and get none.
+   inside one component need no comparison and get none.  Members of large
+   buckets bring their sets along, so only links leave such a task.
 
 With 24 bands a pair at similarity 0.85 shares no bucket with chance 2e-8, and
 falls under AGREE of 96 agreements with chance 2e-9; nothing else can lose a link.
@@ -40,6 +41,8 @@ BANDS, ROWS = 24, 4
 AGREE = {80: 50, 85: 58}
 #: Members of a bucket in one block.
 BLOCK = 512
+#: From this size on, the members of an unresolved bucket bring their full sets along and are verified where they meet.
+LARGE = 64
 #: Document ids that may be broadcast to pick the texts whose sets are needed; beyond it a join is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -165,9 +168,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for i in range(len(us)):
                 x, y = np.frombuffer(a[i], np.uint64), np.frombuffer(b[i], np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * common >= percent * (len(both) - common):
+                common = _common(x, y)
+                if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in keep], pa.int64()), pa.array([vs[i] for i in keep], pa.int64())], names=["u", "v"])
 
@@ -176,8 +178,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _examine(percent: int, agree: int):
-    """Rows sorted by block: pairs of different components whose signatures agree enough, each from its first shared band."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]))
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _links(mine: list[tuple], other: list[tuple], found: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Of candidate pairs (a row of ``mine``, rows of ``other``) links that join components which none before joined."""
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while top.get(c, c) != c:
+            c = top[c]
+        return c
+
+    sets = [np.frombuffer(r[9], np.uint64) for r in other]
+    out = []
+    for i, at in found:
+        x = np.frombuffer(mine[i][9], np.uint64)
+        for j in at:
+            a, b = root(mine[i][6]), root(other[j][6])
+            if a != b and 100 * (n := _common(x, sets[j])) >= percent * (len(x) + len(sets[j]) - n):
+                top[max(a, b)] = min(a, b)
+                out.append((mine[i][5], other[j][5]))
+    return out
+
+
+def _examine(percent: int, agree: int, exact: bool):
+    """Rows sorted by block: pairs of different components whose signatures agree enough, each from its first shared band.
+
+    If ``exact``, rows hold full sets too, and the pairs are links, of which those inside one component are left out.
+    """
 
     def pairs(rows):
         block = rows[0]
@@ -197,8 +228,10 @@ def _examine(percent: int, agree: int):
             at = at[np.count_nonzero(y[at] == x[i], axis=1) >= agree]
             if len(at):
                 shared = (bands_y[at] == x[i].reshape(BANDS, ROWS)).all(axis=2).argmax(axis=1) == band
-                found += [(min(r[5], int(v)), max(r[5], int(v))) for v in yi[at[shared]]]
-        return found
+                found.append((i, at[shared]))
+        if exact:
+            return _links(mine, other, found, percent)
+        return [(min(mine[i][5], int(v)), max(mine[i][5], int(v))) for i, at in found for v in yi[at]]
 
     def run(batches):
         group, out = [], []
@@ -234,8 +267,8 @@ def _unresolved(members: DataFrame, nodes: DataFrame, percent: int, agree: int)
     grid = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), F.when(j == theirs, 1).otherwise(0).alias("side"))))
     others = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), theirs.alias("j"), F.lit(2).alias("side")))
     others = F.when(F.col("outside"), F.filter(others, lambda b: b["i"] != mine)).otherwise(others)
-    cells = m.select("band", "key", F.explode(F.concat(F.coalesce(grid, F.array().cast("array<struct<i:int,j:int,side:int>>")), others)).alias("b"), "doc_id", "component")
-    return cells.select("key", "band", F.col("b.i").alias("i"), F.col("b.j").alias("j"), F.col("b.side").alias("side"), "doc_id", "component")
+    cells = m.select("band", "key", F.explode(F.concat(F.coalesce(grid, F.array().cast("array<struct<i:int,j:int,side:int>>")), others)).alias("b"), "doc_id", "component", (F.col("n") > LARGE).alias("large"))
+    return cells.select("large", "key", "band", F.col("b.i").alias("i"), F.col("b.j").alias("j"), F.col("b.side").alias("side"), "doc_id", "component")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
@@ -259,10 +292,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     found = connected_components(links)
     nodes = ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     cells = _unresolved(members, staged(nodes, "nodes"), percent, agree)
-    cells = cells.join(reps.select("doc_id", "n_shingles", "signature"), "doc_id")
-    cells = cells.select("key", "band", "i", "j", "side", "doc_id", "component", "n_shingles", "signature").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-    rest = staged(cells.mapInArrow(_examine(percent, agree), "u long, v long").distinct(), "rest")
-    more = verified(rest, sets, percent)
+    cells = staged(cells.join(reps.select("doc_id", "n_shingles", "signature"), "doc_id"), "cells")
+    block = ["key", "band", "i", "j"]
+    row = [*block, "side", "doc_id", "component", "n_shingles", "signature"]
+    small = cells.where("not large").select(*row).repartition(*block).sortWithinPartitions(*block)
+    rest = staged(small.mapInArrow(_examine(percent, agree, False), "u long, v long").distinct(), "rest")
+    large = cells.where("large").join(sets, "doc_id").select(*row, "shingles").repartition(*block).sortWithinPartitions(*block)
+    more = verified(rest, sets, percent).unionByName(large.mapInArrow(_examine(percent, agree, True), "u long, v long"))
     found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     classes = reps.select("set_id", F.col("doc_id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = told.join(classes, "set_id", "left")
