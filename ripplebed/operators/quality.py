@@ -1,0 +1,31 @@
+"""Quality statistics of windows in tall form, and the gate."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def amplitudes(tall: DataFrame, window: list[str], channel: str, pos: str, v: str, oha: float, thv: float, chv: float) -> DataFrame:
+    """For each window: shares of high samples, of instants and of channels whose deviation is large."""
+    high = tall.groupBy(*window).agg(F.avg((F.abs(v) > oha).cast("double")).alias("oha"))
+    over_time = tall.groupBy(*window, pos).agg(F.stddev_pop(v).alias("s")).groupBy(*window).agg(F.avg((F.col("s") > thv).cast("double")).alias("thv"))
+    over_channels = tall.groupBy(*window, channel).agg(F.stddev_pop(v).alias("s")).groupBy(*window).agg(F.avg((F.col("s") > chv).cast("double")).alias("chv"), F.count("*").alias("n_chans"))
+    return high.join(over_time, window).join(over_channels, window)
+
+
+def deviations(spread: DataFrame, window: list[str], value: str = "spread") -> DataFrame:
+    """Robust z of each channel's spread among its window's channels."""
+    q = spread.groupBy(*window).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    return spread.join(q, window).withColumn("z", (F.col(value) - F.col("q")[1]) / (0.7413 * (F.col("q")[2] - F.col("q")[0]))).drop("q")
+
+
+def channel_spreads(tall: DataFrame, window: list[str], channel: str, v: str) -> DataFrame:
+    """0.7413 times the interquartile range of each channel."""
+    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
+    return tall.groupBy(*window, channel).agg(q.alias("q")).select(*window, channel, (0.7413 * (F.col("q")[1] - F.col("q")[0])).alias("spread"))
+
+
+def passes(limits: tuple[float, float, float, float] = (0.8, 0.5, 0.5, 0.8)):
+    oha, thv, chv, bcr = limits
+    return (F.col("oha") < oha) & (F.col("thv") < thv) & (F.col("chv") < chv) & (F.col("bcr") < bcr)

@@ -1,3 +1,387 @@
-"""The queries over the driver tables, each with its SQL."""
+"""The queries over the driver tables, each with its SQL.
 
-QUERIES: dict = {}
+Windows are the labels of ``embeddings``, whose vectors are channels of 64 samples;
+recordings and annotations are the users of ``events``; ``documents``, ``pages`` and
+``conversations`` stand for catalogues of files.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ripplebed.operators import channels as C
+from ripplebed.operators import layout as L
+from ripplebed.operators import quality as Q
+from ripplebed.operators import windows as W
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+KINDS = ["click", "view", "error"]
+TARGET = ["view", "login", "click", "error", "logout"]
+TAPS = [0.1, 0.2, 0.4, 0.2, 0.1]
+OHA, THV, CHV = 0.2, 0.123, 0.125
+#: SQL for the tall form of ``embeddings``.
+TALL = "t AS (SELECT label, vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+COPIES = "('view', 0), ('login', 1), ('click', 2), ('error', 3), ('logout', 4)"
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def tall(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]+?)(\\.[^./]*)?$', 1) AS stem FROM pages")
+def file_stem(spark, sf):
+    return table(spark, sf, "pages").select("page_id", L.stem(F.col("url")).alias("stem"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def incremental_anti_join(spark, sf):
+    return L.unprocessed(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 10 AS place FROM documents")
+def batch_assign(spark, sf):
+    return L.batches(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 10).select("doc_id", "batch", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT user_id, count(*) AS n_times, (count(*) - 1) / 0.5 AS last_time FROM events GROUP BY user_id HAVING (count(*) - 1) / 0.5 >= 1.5 * 80")
+def min_duration_filter(spark, sf):
+    n = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n_times"))
+    return n.withColumn("last_time", (F.col("n_times") - 1) / F.lit(0.5)).where(F.col("last_time") >= 1.5 * 80)
+
+
+RAW = "concat(upper(p_name), ' ', CASE p_partkey % 6 WHEN 0 THEN 'A1' WHEN 1 THEN 'EKG1' WHEN 2 THEN 'IBI' WHEN 3 THEN 'ROC' WHEN 4 THEN '-LE' ELSE '-REF' END)"
+TYPES = "CASE WHEN contains(raw, 'A1') OR contains(raw, 'A2') THEN 'ref' WHEN contains(raw, 'ECG') OR contains(raw, 'EKG') THEN 'ecg' WHEN contains(raw, 'PHOTIC') OR contains(raw, 'IBI') OR contains(raw, 'BURSTS') OR contains(raw, 'SUPPR') THEN 'extra' WHEN contains(raw, 'ROC') OR contains(raw, 'LOC') THEN 'eog' ELSE 'eeg' END"
+CLEAN = "CASE WHEN upper(raw) = 'REF' THEN 'REF' ELSE regexp_replace(replace(replace(replace(replace(upper(raw), 'EEG', ''), 'LE', ''), 'REF', ''), 'EAR', ''), '[^A-Z0-9]', '', 'g') END"
+
+
+def raw_names(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", "p_brand", F.expr(RAW).alias("raw"))
+
+
+@query(f"SELECT p_partkey, raw, {TYPES} AS ch_type FROM (SELECT p_partkey, {RAW} AS raw FROM part)")
+def channel_type_case(spark, sf):
+    return raw_names(spark, sf).select("p_partkey", "raw", C.channel_type(F.col("raw"), F.lit("eeg")).alias("ch_type"))
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey, {RAW} AS raw FROM part), c AS (SELECT *, {TYPES} AS k, {CLEAN} AS c FROM r),
+n AS (SELECT p_partkey, CASE k WHEN 'eeg' THEN nullif(c, '') WHEN 'ecg' THEN 'EKG' || regexp_replace(c, '[^0-9]', '', 'g')
+WHEN 'ref' THEN CASE WHEN contains(c, 'A1') THEN 'A1' WHEN contains(c, 'A2') THEN 'A2' WHEN contains(c, 'L') THEN 'A1' WHEN contains(c, 'R') THEN 'A2' ELSE 'REF' END ELSE c END AS x FROM c)
+SELECT p_partkey, upper(substr(x, 1, 1)) || lower(substr(x, 2)) AS name FROM n"""
+)
+def channel_name_clean(spark, sf):
+    raw = F.col("raw")
+    return raw_names(spark, sf).select("p_partkey", C.cased(C.resolved(C.cleaned(raw), C.channel_type(raw, F.lit("eeg")))).alias("name"))
+
+
+@query("SELECT p_partkey, p_name || repeat('-COPY', (row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) - 1)::INT) AS name FROM part")
+def dedup_copy_suffix(spark, sf):
+    return C.numbered_copies(table(spark, sf, "part"), ["p_brand"], "p_name", ["p_partkey"], "name").select("p_partkey", "name")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'tap' WHEN 'view' THEN 'look' ELSE event_type END AS name FROM events")
+def synonym_rename(spark, sf):
+    return table(spark, sf, "events").select("event_id", C.renamed(F.col("event_type"), {"click": "tap", "view": "look"}).alias("name"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'login', 'click', 'error', 'logout')")
+def montage_semi(spark, sf):
+    montage = spark.createDataFrame([(t,) for t in TARGET], "event_type string")
+    return table(spark, sf, "events").select("event_id", "event_type").join(F.broadcast(montage), "event_type", "left_semi")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_type NOT IN ('view', 'login', 'click', 'error', 'logout')")
+def montage_dropped(spark, sf):
+    montage = spark.createDataFrame([(t,) for t in TARGET], "event_type string")
+    return table(spark, sf, "events").select("user_id", "event_type").distinct().join(F.broadcast(montage), "event_type", "left_anti")
+
+
+def user_channels(spark, sf) -> DataFrame:
+    """Per user: channel names (event types) in order of appearance of their names, and how often each occurs."""
+    e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"))
+    e = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_type", "n"))).alias("c"))
+    return e.select("user_id", F.transform("c", lambda x: x["event_type"]).alias("names"), F.transform("c", lambda x: F.array(x["n"])).alias("data"))
+
+
+@query(f"""SELECT user_id, ord, name, n FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES {COPIES}) m(name, ord)
+JOIN (SELECT user_id, event_type AS name, count(*)::DOUBLE AS n FROM events GROUP BY ALL) USING (user_id, name)""")
+def reorder_project(spark, sf):
+    u = user_channels(spark, sf).select("user_id", F.posexplode(C.reordered(F.col("names"), F.col("data"), TARGET)).alias("ord", "row"))
+    return u.where("row is not null").select("user_id", "ord", F.get(F.array(*map(F.lit, TARGET)), F.col("ord")).alias("name"), F.get("row", F.lit(0)).alias("n"))
+
+
+@query(f"""SELECT user_id, name FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES {COPIES}) m(name, ord)
+WHERE (user_id, name) NOT IN (SELECT (user_id, event_type) FROM events)""")
+def missing_channels(spark, sf):
+    return user_channels(spark, sf).select("user_id", F.explode(C.missing(F.col("names"), TARGET)).alias("name"))
+
+
+@query(f"""SELECT user_id, name, coalesce(n, 0.0)::DOUBLE AS n FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES {COPIES}) m(name, ord)
+LEFT JOIN (SELECT user_id, event_type AS name, count(*)::DOUBLE AS n FROM events GROUP BY ALL) USING (user_id, name)""")
+def zero_fill_grid(spark, sf):
+    filled = C.zero_filled(C.reordered(F.col("names"), F.col("data"), TARGET), F.lit(1))
+    u = user_channels(spark, sf).select("user_id", F.posexplode(filled).alias("ord", "row"))
+    return u.select("user_id", F.get(F.array(*map(F.lit, TARGET)), F.col("ord")).alias("name"), F.get("row", F.lit(0)).alias("n"))
+
+
+@query(
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS a FROM events)
+SELECT user_id, k // 10 AS win_idx, min(k) / 0.5 AS t_start, max(k) / 0.5 AS t_end, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM n WHERE k < a - a % 10 GROUP BY user_id, k // 10"""
+)
+def split_fixed_windows(spark, sf):
+    w = W.fixed_windows(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], 10)
+    k = F.col("win_idx") * 10 + F.col("pos")
+    return w.groupBy("user_id", "win_idx").agg((F.min(k) / 0.5).alias("t_start"), (F.max(k) / 0.5).alias("t_end"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+
+@query(
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS a FROM events),
+w AS (SELECT user_id, event_id AS ann_idx, event_type AS description, k - 3 AS s, k + 5 AS e FROM n WHERE event_type IN ('click', 'view', 'error') AND k - 3 >= 0 AND k + 5 <= a)
+SELECT w.user_id, ann_idx, description, CASE description WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS label, s AS start_sample, sum(round(value * 100)::BIGINT)::BIGINT AS cents
+FROM w JOIN n ON n.user_id = w.user_id AND n.k >= s AND n.k < e GROUP BY ALL"""
+)
+def split_event_windows(spark, sf):
+    e = table(spark, sf, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    rec = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("s"))
+    rec = rec.select(F.col("user_id").alias("file_id"), F.lit(1.0).alias("sfreq"), F.array(F.transform("s", lambda x: x["value"])).alias("data"))
+    ann = e.select(F.col("user_id").alias("file_id"), F.col("event_id").alias("ann_idx"), F.col("k").cast("double").alias("onset"), F.col("event_type").alias("description"))
+    w = W.split_events(rec, ann, KINDS, tmin=-3.0, tlen=8.0)
+    cents = F.aggregate(F.get("data", F.lit(0)), F.lit(0).cast("long"), lambda a, v: a + F.round(v * 100).cast("long"))
+    return w.select(F.col("file_id").alias("user_id"), "ann_idx", "description", "label", "start_sample", cents.alias("cents"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 END AS label FROM events WHERE event_type IN ('click', 'view', 'error')")
+def label_encode(spark, sf):
+    e = table(spark, sf, "events").where(F.col("event_type").isin(KINDS))
+    return e.select("event_id", (F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")) - 1).cast("int").alias("label"))
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 60 AS s, event_type, round_even(value, 0)::BIGINT AS len FROM events),
+i AS (SELECT user_id, event_id, s, s + len AS e FROM a WHERE event_type <> 'view'),
+g AS (SELECT user_id, lag(e, 1, 0) OVER (PARTITION BY user_id ORDER BY s, event_id) AS gap_start, s AS gap_end FROM i
+UNION ALL SELECT user_id, arg_max(e, s), 100000 FROM i GROUP BY user_id) SELECT user_id, gap_start::BIGINT AS gap_start, gap_end::BIGINT AS gap_end FROM g WHERE gap_end > gap_start"""
+)
+def interval_complement(spark, sf):
+    e = table(spark, sf, "events").withColumn("s", ((F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1) * 60).cast("long"))
+    i = e.where("event_type <> 'view'").select("user_id", "event_id", "s", (F.col("s") + F.bround("value").cast("long")).alias("e"))
+    return W.gaps(i, ["user_id"], "s", "e", ["event_id"], F.lit(100000).cast("long"))
+
+
+AMPLITUDES = f"""{TALL},
+h AS (SELECT label, avg((abs(v) > {OHA})::INT) AS oha FROM t GROUP BY label),
+p AS (SELECT label, avg((s > {THV})::INT) AS thv FROM (SELECT label, pos, stddev_pop(v) AS s FROM t GROUP BY ALL) GROUP BY label),
+k AS (SELECT label, avg((s > {CHV})::INT) AS chv, count(*) AS n_chans FROM (SELECT label, vec_id, stddev_pop(v) AS s FROM t GROUP BY ALL) GROUP BY label),
+a AS (SELECT label, oha, thv, chv, n_chans FROM h JOIN p USING (label) JOIN k USING (label))"""
+
+
+def amplitudes(spark, sf) -> DataFrame:
+    return Q.amplitudes(tall(spark, sf), ["label"], "vec_id", "pos", "v", OHA, THV, CHV)
+
+
+@query(f"WITH {AMPLITUDES} SELECT label, round(oha, 6) AS oha, round(thv, 6) AS thv, round(chv, 6) AS chv, n_chans FROM a")
+def quality_oha_thv_chv(spark, sf):
+    return amplitudes(spark, sf).select("label", *(F.round(c, 6).alias(c) for c in ("oha", "thv", "chv")), "n_chans")
+
+
+@query("SELECT user_id, count(DISTINCT value) AS n_unique FROM events GROUP BY user_id HAVING count(DISTINCT value) < 66")
+def discrete_channels(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count_distinct("value").alias("n_unique")).where("n_unique < 66")
+
+
+SPREAD = "s AS (SELECT label, vec_id, 0.7413 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS spread FROM t GROUP BY ALL)"
+ROBUST = f"""{TALL}, {SPREAD},
+m AS (SELECT label, quantile_cont(spread, 0.5) AS med, quantile_cont(spread, 0.75) - quantile_cont(spread, 0.25) AS iqr FROM s GROUP BY label),
+z AS (SELECT label, vec_id, (spread - med) / (0.7413 * iqr) AS z FROM s JOIN m USING (label))"""
+
+
+def robust(spark, sf) -> DataFrame:
+    return Q.deviations(Q.channel_spreads(tall(spark, sf), ["label"], "vec_id", "v"), ["label"])
+
+
+@query(f"WITH {ROBUST} SELECT label, vec_id, round(z, 6) AS z, abs(z) > 2 AS bad FROM z")
+def robust_deviation(spark, sf):
+    return robust(spark, sf).select("label", "vec_id", F.round("z", 6).alias("z"), (F.abs("z") > 2).alias("bad"))
+
+
+@query(f"WITH {TALL} SELECT label, vec_id, bool_or(isnan(v)) AS has_nan, round(stddev_pop(v), 6) AS sd, stddev_pop(v) < 0.1 AS flat FROM t GROUP BY ALL")
+def flat_channels(spark, sf):
+    sd = F.stddev_pop("v")
+    return tall(spark, sf).groupBy("label", "vec_id").agg(F.bool_or(F.isnan("v")).alias("has_nan"), F.round(sd, 6).alias("sd"), (sd < 0.1).alias("flat"))
+
+
+CORR = f"""{TALL}, c AS (SELECT x.label, x.vec_id, y.vec_id AS other, abs(corr(x.v, y.v)) AS r FROM t x JOIN t y ON x.label = y.label AND x.pos = y.pos AND x.vec_id <> y.vec_id GROUP BY ALL),
+q AS (SELECT label, vec_id, quantile_cont(r, 0.98) AS r98 FROM c GROUP BY ALL)"""
+
+
+def correlations(spark, sf) -> DataFrame:
+    """For each channel a high percentile of its correlations inside its window, by arrays rather than samples."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    n = F.size("x")
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / n
+    e = e.withColumn("m", mean).select("label", "vec_id", F.transform("x", lambda v: v - F.col("m")).alias("x"))
+    e = e.withColumn("n2", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
+    o = e.select("label", F.col("vec_id").alias("other"), F.col("x").alias("y"), F.col("n2").alias("m2"))
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    pairs = e.join(o, "label").where("vec_id <> other").select("label", "vec_id", F.abs(dot / (F.col("n2") * F.col("m2"))).alias("r"))
+    return pairs.groupBy("label", "vec_id").agg(F.percentile("r", 0.98).alias("r98"))
+
+
+@query(f"WITH {CORR} SELECT label, vec_id, round(r98, 6) AS r98, r98 < 0.3 AS bad FROM q")
+def channel_correlation(spark, sf):
+    return correlations(spark, sf).select("label", "vec_id", F.round("r98", 6).alias("r98"), (F.col("r98") < 0.3).alias("bad"))
+
+
+@query(f"WITH {ROBUST}, {CORR[len(TALL) + 2:]} SELECT label, vec_id FROM z WHERE abs(z) > 1 INTERSECT SELECT label, vec_id FROM q WHERE r98 < 0.35")
+def snr_bad(spark, sf):
+    return robust(spark, sf).where("abs(z) > 1").select("label", "vec_id").intersect(correlations(spark, sf).where("r98 < 0.35").select("label", "vec_id"))
+
+
+@query(f"WITH {ROBUST}, {CORR[len(TALL) + 2:]} SELECT label, vec_id FROM z WHERE abs(z) > 2 UNION SELECT label, vec_id FROM q WHERE r98 < 0.3")
+def bads_union(spark, sf):
+    return robust(spark, sf).where("abs(z) > 2").select("label", "vec_id").union(correlations(spark, sf).where("r98 < 0.3").select("label", "vec_id")).distinct()
+
+
+BCR = f"""{ROBUST}, f AS (SELECT label, vec_id FROM t GROUP BY ALL HAVING stddev_pop(v) < 0.123),
+b AS (SELECT label, count(*) AS n_bad FROM (SELECT label, vec_id FROM f UNION ALL SELECT label, vec_id FROM z WHERE abs(z) > 2) GROUP BY label),
+r AS (SELECT label, coalesce(n_bad, 0) AS n_bad, coalesce(n_bad, 0) / n AS bcr FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) LEFT JOIN b USING (label))"""
+
+
+def bad_ratio(spark, sf) -> DataFrame:
+    """Lists are joined end to end, so a channel found twice counts twice."""
+    flat = tall(spark, sf).groupBy("label", "vec_id").agg(F.stddev_pop("v").alias("sd")).where("sd < 0.123").select("label", "vec_id")
+    bad = flat.unionAll(robust(spark, sf).where("abs(z) > 2").select("label", "vec_id")).groupBy("label").agg(F.count("*").alias("n_bad"))
+    n = table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return n.join(bad, "label", "left").select("label", F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad"), (F.coalesce("n_bad", F.lit(0)) / F.col("n")).alias("bcr"))
+
+
+@query(f"WITH {BCR} SELECT label, n_bad, round(bcr, 6) AS bcr FROM r")
+def bad_channel_ratio(spark, sf):
+    return bad_ratio(spark, sf).select("label", "n_bad", F.round("bcr", 6).alias("bcr"))
+
+
+GATE = "(oha < 0.8 AND thv < 0.9 AND chv < 0.5 AND bcr < 0.8 AND n_chans >= 10)"
+
+
+@query(f"WITH {AMPLITUDES}, {BCR[len(TALL) + 2:]} SELECT label, {GATE} AS passed FROM a JOIN r USING (label)")
+def quality_gate(spark, sf):
+    a = amplitudes(spark, sf).join(bad_ratio(spark, sf), "label")
+    return a.select("label", (Q.passes((0.8, 0.9, 0.5, 0.8)) & (F.col("n_chans") >= 10)).alias("passed"))
+
+
+@query(f"WITH {TALL} SELECT label, vec_id, pos, round(v - avg(v) OVER (PARTITION BY label, pos), 6) + 0.0 AS v FROM t")
+def average_reference(spark, sf):
+    t = tall(spark, sf)
+    return t.select("label", "vec_id", F.col("pos").cast("long").alias("pos"), (F.round(F.col("v") - F.avg("v").over(Window.partitionBy("label", "pos")), 6) + 0.0).alias("v"))
+
+
+@query(f"WITH {TALL} SELECT label, vec_id, round(regr_slope(v, pos), 6) + 0.0 AS slope, round(regr_intercept(v, pos), 6) + 0.0 AS intercept FROM t GROUP BY ALL")
+def detrend_ols(spark, sf):
+    return tall(spark, sf).groupBy("label", "vec_id").agg((F.round(F.regr_slope("v", "pos"), 6) + 0.0).alias("slope"), (F.round(F.regr_intercept("v", "pos"), 6) + 0.0).alias("intercept"))
+
+
+@query(
+    f"WITH {TALL}, k(d, w) AS (VALUES {', '.join(f'({i - 2}, {w}::DOUBLE)' for i, w in enumerate(TAPS))}) SELECT t.vec_id, t.pos - d AS pos, round(sum(v * w), 6) + 0.0 AS v FROM t, k WHERE t.pos - d BETWEEN 2 AND 61 GROUP BY ALL"
+)
+def fir_filter(spark, sf):
+    e = table(spark, sf, "embeddings")
+    x = F.col("embedding")
+    y = F.transform(F.sequence(F.lit(2), F.lit(61)), lambda i: sum((F.get(x, i + (j - 2)).cast("double") * w for j, w in enumerate(TAPS)), F.lit(0.0)))
+    return e.select("vec_id", F.posexplode(y).alias("p", "v")).select("vec_id", (F.col("p") + 2).cast("long").alias("pos"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(
+    "SELECT vec_id, unnest(range(0, 96)) AS pos, unnest(list_transform(range(0, 96), lambda i: embedding[least(floor(i * (64.0 / 96.0))::INT, 63) + 1]::DOUBLE)) AS v FROM embeddings"
+)
+def resample_nearest(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(C.resampled(F.col("embedding"), 64.0, 96.0)).alias("pos", "v"))
+    return e.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
+
+
+@query(f"WITH {TALL}, w AS (SELECT label, vec_id, 1.0 / (1 + row_number() OVER (PARTITION BY label ORDER BY vec_id)) AS w FROM embeddings) SELECT label, pos, round(sum(v * w) / sum(w), 6) + 0.0 AS v FROM t JOIN w USING (label, vec_id) GROUP BY ALL")
+def spatial_interpolate(spark, sf):
+    w = table(spark, sf, "embeddings").select("label", "vec_id", (1.0 / (1 + F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))).alias("w"))
+    t = tall(spark, sf).join(w, ["label", "vec_id"])
+    return t.groupBy("label", F.col("pos").cast("long").alias("pos")).agg((F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6) + 0.0).alias("v"))
+
+
+@query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS chs, count(*) AS n_times FROM events GROUP BY user_id")
+def window_metadata(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("chs"), F.count("*").alias("n_times"))
+
+
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+p AS (SELECT doc_id, i, 0::BIGINT AS out_file, n_chars AS used FROM d WHERE i = 1 UNION ALL
+SELECT d.doc_id, d.i, CASE WHEN used > 0 AND used + n_chars > 100000 THEN out_file + 1 ELSE out_file END, CASE WHEN used > 0 AND used + n_chars > 100000 THEN n_chars ELSE used + n_chars END
+FROM p JOIN d ON d.i = p.i + 1) SELECT doc_id, out_file FROM p"""
+)
+def pack_next_fit(spark, sf):
+    return L.next_fit(table(spark, sf, "documents"), "doc_id", "n_chars", 100_000)
+
+
+@query("SELECT conv_id, turn, conv_id // 8 AS out_file, dense_rank() OVER (PARTITION BY conv_id // 8 ORDER BY conv_id) - 1 AS file_idx FROM conversations")
+def renumber_used_files(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.floor(F.col("conv_id") / 8).alias("out_file"))
+    return L.renumbered(c, "out_file", "conv_id").select("conv_id", "turn", "out_file", F.col("file_idx").cast("long").alias("file_idx"))
+
+
+@query(
+    "SELECT conv_id, (first + l)::BIGINT AS global_idx, l AS local_idx FROM (SELECT conv_id, first, unnest(range(0, n)) AS l FROM (SELECT conv_id, n, coalesce(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)))"
+)
+def global_index_lookup(spark, sf):
+    n = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    c = L.cumulative(n, ["conv_id"], "n").select("conv_id", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("local_idx"))
+    return c.select("conv_id", (F.col("first") + F.col("local_idx")).alias("global_idx"), "local_idx")
+
+
+CHANNELS = "SELECT label, vec_id % 12 AS ch, min_by(embedding, vec_id) AS e FROM embeddings GROUP BY ALL"
+
+
+def grid(spark, sf) -> DataFrame:
+    """Windows with channels 0 to 9 in order, zeros where one is missing; others are dropped."""
+    e = table(spark, sf, "embeddings").groupBy("label", (F.col("vec_id") % 12).alias("ch")).agg(F.min_by("embedding", "vec_id").alias("e"))
+    e = e.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("ch", F.transform("e", lambda v: v.cast("double")).alias("e")))).alias("m"))
+    rows = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")), lambda c: F.try_element_at("m", c))
+    return e.select("label", C.zero_filled(rows, F.lit(64)).alias("data"))
+
+
+@query(
+    f"""WITH g AS (SELECT label, ch, e FROM (SELECT DISTINCT label FROM embeddings) CROSS JOIN (SELECT unnest(range(0, 10)) AS ch) LEFT JOIN ({CHANNELS}) USING (label, ch))
+SELECT label, ch, unnest(range(0, 96)) AS pos, unnest(list_transform(range(0, 96), lambda i: coalesce(e[least(floor(i * (64.0 / 96.0))::INT, 63) + 1]::DOUBLE, 0.0)::FLOAT)) AS v FROM g"""
+)
+def pipeline_base(spark, sf):
+    out = grid(spark, sf).select("label", F.transform("data", lambda ch: F.transform(C.resampled(ch, 64.0, 96.0), lambda v: v.cast("float"))).alias("data"))
+    out = out.select("label", F.posexplode("data").alias("ch", "row")).select("label", F.col("ch").cast("long").alias("ch"), F.posexplode("row").alias("pos", "v"))
+    return out.select("label", "ch", F.col("pos").cast("long").alias("pos"), "v")
+
+
+@query(
+    f"""WITH {AMPLITUDES}, {BCR[len(TALL) + 2:]}, ok AS (SELECT label FROM a JOIN r USING (label) WHERE {GATE}),
+y AS (SELECT label, vec_id, pos, v - avg(v) OVER (PARTITION BY label, pos) AS v FROM t JOIN ok USING (label)),
+i AS (SELECT unnest(range(0, 96)) AS o), j AS (SELECT o, least(floor(o * (64.0 / 96.0))::INT, 63) AS s FROM i)
+SELECT label, vec_id, o AS pos, round(v, 6) + 0.0 AS v FROM y JOIN j ON y.pos = j.s"""
+)
+def pipeline_clean(spark, sf):
+    ok = quality_gate(spark, sf).where("passed").select("label")
+    t = tall(spark, sf).join(ok, "label", "left_semi")
+    t = t.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("label", "pos")))
+    rows = t.groupBy("label", "vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("x"))
+    out = rows.select("label", "vec_id", F.posexplode(C.resampled(F.col("x"), 64.0, 96.0)).alias("pos", "v"))
+    return out.select("label", "vec_id", F.col("pos").cast("long").alias("pos"), (F.round("v", 6) + 0.0).alias("v"))
