@@ -42,14 +42,25 @@ class MergeAutomaton:
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str = END):
         self.labels = {i: t for t, i in vocabulary.items()}
-        self.ids, self.end = vocabulary, end
+        self.end = end
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         self.removed: dict[int, dict[int, int]] = {}  # of the state behind a label: label, moment
-        self.arcs: dict[int, dict[int, bool]] = {}
+        self.arcs: dict[int, bool] = {}
         for moment, (left, right) in enumerate(merges):
             self._gadget(moment, vocabulary[left], vocabulary[right], vocabulary[left + right])
-        self.longest = max((len(t) for t in vocabulary), default=1)
+        # By spelling: labels inside a word (or -1 for what only begins one), and labels that end it.
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        for t, i in vocabulary.items():
+            spelt = t.removesuffix(end)
+            for k in range(1, len(spelt)):
+                self.inner.setdefault(spelt[:k], -1)
+            if spelt != t:
+                self.final[spelt] = i
+                self.inner.setdefault(spelt, -1)
+            else:
+                self.inner[t] = i
 
     def _gadget(self, moment: int, u: int, v: int, merged: int) -> None:
         if self._has_arc(u, v, moment):
@@ -78,43 +89,48 @@ class MergeAutomaton:
 
     def step(self, state: int, label: int) -> bool:
         """Whether the state behind ``state`` (-1: the first) has an arc ``label``; its target is the state behind the label."""
-        row = self.arcs.get(state)
-        if row is None:
-            row = self.arcs[state] = {}
-        known = row.get(label)
+        known = self.arcs.get((state << 20) + label)
         if known is None:
             if state < 0:
                 known = label in self.parts or len(self.labels[label].removesuffix(self.end)) == 1
             else:
                 known = self._has_arc(state, label)
-            row[label] = known
+            self.arcs[(state << 20) + label] = known
         return known
 
     def encode(self, word: str) -> list[int]:
         """The labels of the accepted path that spells ``word`` and the end mark."""
-        n, ids, end, longest = len(word), self.ids, self.end, self.longest
-        path: list[int] = []
-        places: list[int] = []  # where each label of the path ends
-        at, state, upto, dead = 0, -1, min(n, longest), set()
+        n, inner, final, step = len(word), self.inner, self.final, self.step
+        path: list[tuple[int, int]] = []  # place after the arc, label
+        dead: set[tuple[int, int]] = set()
+        ways: list[list[tuple[int, int]]] = []  # at each place of the path, the shorter arcs not tried yet
+        at, state = 0, -1
         while at < n:
-            found = None
-            for to in range(upto, at, -1):
-                label = ids.get(word[at:to] if to < n else word[at:] + end)
-                if label is not None and (to, label) not in dead and self.step(state, label):
-                    found = label
+            fits = []
+            for to in range(at + 1, n):
+                label = inner.get(word[at:to])
+                if label is None:
+                    break
+                if label >= 0:
+                    fits.append((to, label))
+            else:
+                label = final.get(word[at:])
+                if label is not None:
+                    fits.append((n, label))
+            while True:
+                while fits and (fits[-1] in dead or not step(state, fits[-1][1])):
+                    fits.pop()
+                if fits:
                     break
-            if found is None:
                 if not path:
                     raise ValueError(f"no path spells {word!r}")
-                to, label = places.pop(), path.pop()
-                dead.add((to, label))
-                at, state = (places[-1], path[-1]) if path else (0, -1)
-                upto = to
-                continue
-            path.append(found)
-            places.append(to)
-            at, state, upto = to, found, min(n, to + longest)
-        return path
+                dead.add(path.pop())
+                fits = ways.pop()
+                state = path[-1][1] if path else -1
+            at, state = step_to = fits.pop()
+            ways.append(fits)
+            path.append(step_to)
+        return [label for _, label in path]
 
     def decode(self, ids: list[int]) -> list[str]:
         return [self.labels[i] for i in ids]
@@ -123,7 +139,7 @@ class MergeAutomaton:
 class WordTokenizer:
     """Whole texts with the automaton; normalising and pre-splitting follow the tokenizer's file."""
 
-    def __init__(self, path: str, chunks_kept: int = 400_000):
+    def __init__(self, path: str, chunks_kept: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -154,9 +170,13 @@ class WordTokenizer:
         """The words of a chunk, in the byte-level alphabet."""
         if self.plain(chunk):
             low = chunk.lower()
-            if low.isascii():
-                return [low] if low.isalpha() else self.find(low)
-            return [w.encode().decode("latin-1").translate(self.table) for w in self.find(low)]
+            if low.isalpha():
+                found = [low]
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                found = [low[:-1], low[-1]]
+            else:
+                found = self.find(low)
+            return found if low.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in found]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def ids(self, chunk: str) -> list[int]:
