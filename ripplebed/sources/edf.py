@@ -123,9 +123,8 @@ def list_files(spark: SparkSession, source: str) -> DataFrame:
     return paths.withColumn("stem", stem(F.col("path")))
 
 
-def read_recordings(spark: SparkSession, source: str | list[str], signals: bool = True) -> DataFrame:
-    """One row for each file of a folder or of paths."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.edf").load(source)
+def parse_files(files: DataFrame, signals: bool = True) -> DataFrame:
+    """One row for each row of path and content."""
 
     def run(batches):
         import pandas as pd
@@ -137,6 +136,11 @@ def read_recordings(spark: SparkSession, source: str | list[str], signals: bool
     return files.select("path", "content").mapInPandas(run, SIGNAL if signals else HEADER).withColumn("stem", stem(F.col("path")))
 
 
+def read_recordings(spark: SparkSession, source: str | list[str], signals: bool = True) -> DataFrame:
+    """One row for each file of a folder or of paths."""
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.edf").load(source), signals)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

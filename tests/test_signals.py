@@ -189,3 +189,12 @@ def test_cleaning_run(spark, folder):
     cfg = PipelineConfig(window_length=6.0, do_ica=False)
     rows = preprocess(edf.read_recordings(spark, folder[0]), cfg).collect()
     assert [r["status"] for r in rows] == ["ok", "ok"] and all(len(r["data"]) == 19 and len(r["data"][0]) == 1536 for r in rows)
+
+
+def test_stream(spark, folder, tmp_path):
+    from ripplebed.streaming.incoming import watch
+
+    cfg = PipelineConfig(clean=False, window_length=4.0)
+    for _ in range(2):  # the second finds nothing new
+        watch(spark, folder[0], str(tmp_path / "out"), str(tmp_path / "state"), cfg).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/data")).count() == 3
