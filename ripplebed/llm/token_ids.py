@@ -14,7 +14,7 @@ from array import array
 from ripplebed.llm.base import worker_state
 
 #: Chunks a worker remembers, in two generations: when the younger is full it becomes the older, which is forgotten.
-CHUNKS_KEPT = 700_000
+CHUNKS_KEPT = 1_000_000
 
 
 def byte_bpe_path() -> str:
@@ -99,15 +99,18 @@ class ChunkEncoder:
         later = self.later
         known = list(map(later.get, chunks))
         known[0] = self._known(self.first, chunks[0], "")
-        if None in known:
-            for i, had in enumerate(known):
-                if had is None:
-                    ids = self._known(later, chunks[i], " ") if i else None
-                    if ids is None:
-                        return self.whole(text)
-                    known[i] = ids
-            if len(later) >= self.most:
-                self.older, self.later = later, {}
+        try:
+            return b"".join(known)
+        except TypeError:  # some chunk is new
+            pass
+        for i, had in enumerate(known):
+            if had is None:
+                ids = self._known(later, chunks[i], " ") if i else None
+                if ids is None:
+                    return self.whole(text)
+                known[i] = ids
+        if len(later) >= self.most:
+            self.older, self.later = later, {}
         return b"".join(known)
 
     def _known(self, cache: dict[str, bytes | None], chunk: str, lead: str) -> bytes | None:
