@@ -385,3 +385,59 @@ def pipeline_clean(spark, sf):
     rows = t.groupBy("label", "vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("x"))
     out = rows.select("label", "vec_id", F.posexplode(C.resampled(F.col("x"), 64.0, 96.0)).alias("pos", "v"))
     return out.select("label", "vec_id", F.col("pos").cast("long").alias("pos"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+def by_window(spark, sf, kernel, schema: str) -> DataFrame:
+    """A kernel on each window's channels (rows ordered by vec_id); the rate is 64, so a window is a second."""
+    import numpy as np
+
+    def run(pdf):
+        pdf = pdf.sort_values("vec_id")
+        x = np.array([np.asarray(v, float) for v in pdf["embedding"]])
+        out = kernel(x, int(pdf["label"].iloc[0]))
+        return pdf[["label", "vec_id"]].assign(**out)
+
+    return table(spark, sf, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInPandas(run, "label int, vec_id long, " + schema)
+
+
+def places(n: int):
+    """``n`` electrode places, further ones a little off those before."""
+    import numpy as np
+
+    from ripplebed.functions.montage import positions
+
+    known = np.array(list(positions().values()))
+    out = known[np.arange(n) % len(known)] + 0.01 * (np.arange(n) // len(known))[:, None]
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+@query(None)
+def line_noise_dss(spark, sf):
+    from ripplebed.functions import kernels as K
+
+    return by_window(spark, sf, lambda x, _: {"rms": (K.remove_line(x, 64.0, 16.0) ** 2).mean(axis=1) ** 0.5}, "rms double")
+
+
+@query(None)
+def ica_clean(spark, sf):
+    from ripplebed.functions import kernels as K
+
+    def kernel(x, label):
+        unmixing, mixing = K.infomax(x, seed=label, rounds=50)
+        sources = unmixing @ (x - x.mean(axis=1, keepdims=True))
+        found = K.heuristic_labels(sources, mixing, 64.0, places(len(x)), [16.0])
+        gone = [i for i, (name, p) in enumerate(found) if name not in ("brain", "other") and p > 0.7]
+        return {"n_excluded": len(gone), "rms": ((x - mixing[:, gone] @ sources[gone]) ** 2).mean(axis=1) ** 0.5}
+
+    return by_window(spark, sf, kernel, "n_excluded long, rms double")
+
+
+@query(None)
+def ransac_bad(spark, sf):
+    from ripplebed.functions import kernels as K
+
+    def kernel(x, label):
+        bad = set(K.ransac_bad(x, 64.0, places(len(x)), seed=label, window_s=1.0))
+        return {"bad": [i in bad for i in range(len(x))]}
+
+    return by_window(spark, sf, kernel, "bad boolean")

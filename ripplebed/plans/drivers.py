@@ -33,10 +33,14 @@ def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser()
     p.add_argument("--config", required=True)
     p.add_argument("--labelled", action="store_true")
+    p.add_argument("--compact", help="then compact into this new folder; the source stays")
+    p.add_argument("--max_file_size", type=float, default=2000.0, help="MB of a compacted file")
     told = p.parse_args(args)
     cfg, rest = from_yaml(told.config)
     spark = SparkSession.builder.getOrCreate()
     run(spark, rest["dataset_path"], rest["out_path"], cfg, told.labelled, "overwrite" if rest.get("overwrite") else "append")
+    if told.compact:
+        sinks.compact(spark, rest["out_path"], told.compact, told.max_file_size, ["start_sample"])
 
 
 if __name__ == "__main__":

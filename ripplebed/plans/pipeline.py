@@ -142,9 +142,13 @@ def cleaned_rows(df: DataFrame, cfg: PipelineConfig, gated: bool, key: list[str]
     return df.select(*passed, "ch_names", "data").mapInPandas(run, schema)
 
 
-def preprocess(recordings: DataFrame, cfg: PipelineConfig) -> DataFrame:
-    """Fixed windows of all recordings (path, sfreq, n_times, ch_names, ch_types, data, status) for pretraining."""
-    d = W.split_recordings(prepared(long_enough(recordings, cfg), cfg, rename=cfg.clean).drop("annotations"), cfg.window_length)
+def preprocess(recordings: DataFrame, cfg: PipelineConfig, all_lengths: bool = False) -> DataFrame:
+    """Fixed windows of all recordings (path, sfreq, n_times, ch_names, ch_types, data, status) for pretraining.
+
+    With ``all_lengths`` short recordings take part and names are taken as they are, as for work by hand in a notebook.
+    """
+    chosen = recordings if all_lengths else long_enough(recordings, cfg)
+    d = W.split_recordings(prepared(chosen, cfg, rename=cfg.clean and not all_lengths).drop("annotations"), cfg.window_length)
     if not cfg.clean:
         return base_windows(d, cfg, F.size(F.get("data", F.lit(0))))
     return cleaned_rows(d, cfg, gated=True, key=["path", "win_idx"])

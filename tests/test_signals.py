@@ -129,7 +129,7 @@ def test_config(tmp_path):
     assert profile("mmidb_ica").lp_freq == 75 and not profile("tuh_base").clean and len(PROFILES) == 6
     with pytest.raises(ValueError):
         PipelineConfig(included_components=("brains",))
-    (tmp_path / "c.yaml").write_text("pipeline:\n  class_path: a.b.DynamicPipeline\n  init_args:\n    do_ica: false\n    line_freqs: [[60], 50]\nout_path: x\n")
+    (tmp_path / "c.yaml").write_text("pipeline:\n  class_path: a.b.Cleaning\n  init_args:\n    do_ica: false\n    line_freqs: [[60], 50]\nout_path: x\n")
     cfg, rest = from_yaml(str(tmp_path / "c.yaml"))
     assert not cfg.do_ica and cfg.line == (50, 60) and rest == {"out_path": "x"}
 
