@@ -33,7 +33,7 @@ SAMPLE, LANGUAGES, WINDOWS = 2400, 64, 4
 EMBEDDED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Below this probability the pipeline rejects a document.
-SURE = 0.5
+SURE = 0.4
 UNKNOWN = "und"
 
 
