@@ -4,14 +4,17 @@ A text is its words (A-Z lower-cased) joined by single spaces and closed by a
 newline, which is the end token; the model gives the probability of every byte
 after the last ``DEPTH`` ones, where a text begins after newlines.
 
-Training counts all runs of DEPTH + 1 bytes of all training texts; shorter runs
-are sums of these.  A context becomes a node if it makes up at least ``RARE`` of
-all bytes, so at most DEPTH / RARE contexts reach the driver however large the
-corpus is, and if its next-byte distribution diverges from that of its suffix by
-``DIVERGENCE`` nats over its occurrences; suffixes of nodes are nodes.  A node's
-distribution is smoothed towards its suffix's with ``PRIOR`` pseudo-counts.
-Scoring follows the automaton of the nodes' prefixes; each of its states knows the
-longest node that ends there.  A text's score is the sum over its bytes.
+Counting takes all runs of DEPTH + 1 bytes of all texts, with how often training
+texts have them; shorter runs are sums of these.  A context becomes a node if its
+next-byte distribution diverges from that of its suffix by ``DIVERGENCE`` nats over
+its occurrences, a sum that grows with the corpus, so there is no other cut and a
+larger corpus gives more nodes; suffixes of nodes are nodes.  A node's distribution
+is smoothed towards its suffix's with ``PRIOR`` pseudo-counts.  Nodes are chosen and
+smoothed by joins, level by level; what comes out is the chance of each run of
+DEPTH + 1 bytes, by its longest context that is a node.  Scoring looks these up: up
+to ``BROADCAST_RUNS`` of them are broadcast, more are joined to the blocks of
+documents that need them.  A text's score is the sum over its bytes.  ``build`` makes
+the same model in memory from counts, as an automaton.
 
 The base score of the same text is that of an additive unigram model of whole
 words, whose counts (by 64-bit hash) go back to the blocks of documents that need
@@ -29,18 +32,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplebed.llm.base import crc_of_id, documents, id_and_text, small_batches, staged, text_bytes, worker_state
 
 DEPTH = 5
-RARE = 4e-6
 DIVERGENCE = 20.0
 PRIOR = 4.0
 #: Documents of a block; ids next to each other share one.
 BLOCK_DOCUMENTS = 6000
 END = b"\n"
+#: Runs whose chances may be broadcast, up to 24 bytes each; more are joined by a shuffle.
+BROADCAST_RUNS = 2_000_000
 
 
 @dataclass
@@ -78,18 +83,50 @@ def normalised(text: bytes) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words) + END
 
 
-def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """gram (depth + 1 bytes as one number, the last byte lowest) and n over all texts of ``docs``."""
+def runs_of(bodies: list[bytes], depth: int = DEPTH) -> np.ndarray:
+    """The run of depth + 1 bytes that ends at each byte, as one number, the last byte lowest."""
+    data = END * 7 + b"".join(END * depth + b for b in bodies)
+    # The eight bytes that end at each place, of which depth + 1 count.
+    gram = np.ndarray((len(data) - 7,), ">i8", data, strides=(1,)).astype(np.int64) & ((1 << (8 * (depth + 1))) - 1)
+    keep = np.ones(len(gram), bool)
+    starts = np.cumsum([0, *(len(b) + depth for b in bodies)])[:-1]
+    keep[(starts[:, None] + np.arange(depth)).reshape(-1)] = False
+    return gram[keep]
 
-    def packed(bodies: list[bytes]) -> np.ndarray:
-        x = np.frombuffer(b"".join(END * depth + b for b in bodies), np.uint8)
-        gram = np.zeros(len(x), np.uint64)
-        for i in range(depth, -1, -1):
-            gram[depth:] |= x[depth - i : len(x) - i].astype(np.uint64) << np.uint64(8 * i)
-        keep = np.ones(len(x), bool)
-        starts = np.cumsum([0, *(len(b) + depth for b in bodies)])[:-1]
-        keep[(starts[:, None] + np.arange(depth)).reshape(-1)] = False
-        return gram[keep]
+
+@dataclass
+class Lookup:
+    """Values by run, found by hash: the runs of a bucket are tried in turn."""
+
+    grams: np.ndarray  # sorted by bucket
+    values: np.ndarray
+    starts: np.ndarray  # bucket to its first run
+    bits: int
+
+    @staticmethod
+    def buckets(grams: np.ndarray, bits: int) -> np.ndarray:
+        return (grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+    @classmethod
+    def of(cls, grams: np.ndarray, values: np.ndarray) -> Lookup:
+        bits = max(1, len(grams).bit_length())
+        buckets = cls.buckets(grams, bits)
+        order = np.argsort(buckets)
+        starts = np.searchsorted(buckets[order], np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        return cls(grams[order], values[order], starts, bits)
+
+    def get(self, grams: np.ndarray) -> np.ndarray:
+        """The values of runs, all of which are known."""
+        at = self.starts[self.buckets(grams, self.bits)]
+        left = np.flatnonzero(self.grams[at] != grams)
+        while len(left):
+            at[left] += 1
+            left = left[self.grams[at[left]] != grams[left]]
+        return self.values[at]
+
+
+def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """gram (a run of depth + 1 bytes) and n over all texts of ``rows``: how often training texts have it, 0 if only others do."""
 
     def merged(parts):
         keys = np.concatenate([k for k, _ in parts])
@@ -102,44 +139,92 @@ def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         for at in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000].astype(np.int64))], names=["gram", "n"])
 
+    def counted(bodies):
+        for train, some in bodies.items():
+            if some:
+                keys, n = np.unique(runs_of(some, depth), return_counts=True)
+                yield keys, n if train else np.zeros_like(n)
+
     def run(batches):
-        parts, held, bodies, size = [], 0, [], 0
+        parts, held, bodies, size = [], 0, {True: [], False: []}, 0
         for batch in small_batches(batches, 1 << 20):
-            for t in text_bytes(batch.column(1)):
+            for t, train in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 body = normalised(t)[1]
-                bodies.append(body)
+                bodies[train].append(body)
                 size += len(body)
             if size < 4 << 20:
                 continue
-            parts.append(np.unique(packed(bodies), return_counts=True))
-            held, bodies, size = held + len(parts[-1][0]), [], 0
+            new = list(counted(bodies))
+            parts += new
+            held, bodies, size = held + sum(len(k) for k, _ in new), {True: [], False: []}, 0
             if held > 4_000_000:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
                 if held > 3_000_000:  # what is passed on is summed later
                     yield from table(*parts[0])
                     parts, held = [], 0
-        if bodies:
-            parts.append(np.unique(packed(bodies), return_counts=True))
+        parts += counted(bodies)
         if parts:
             yield from table(*merged(parts))
 
-    return docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return rows.select("doc_id", "text", "train").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
 
+def gram_chances(grams: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, prior: float = PRIOR) -> DataFrame:
+    """gram and chance, the log10 of its last byte's probability after the others, for all rows of gram and n."""
 
-def frequent_contexts(grams: DataFrame, depth: int = DEPTH, rare: float = RARE) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length from 0 to depth: contexts (as numbers), next bytes and counts, of contexts that make up ``rare`` of all bytes."""
-    level = staged(grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("byte"), "n"), "grams")
-    total = level.agg(F.sum("n")).first()[0] or 0
-    out = []
+    def last(k: int) -> Column:
+        return F.col("context").bitwiseAND((1 << (8 * k)) - 1)
+
+    # Levels by length of context: context, byte, n, and the context's total.
+    levels = {}
+    level = grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
     for k in range(depth, -1, -1):
-        often = level.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= rare * total)
-        t = level.join(often.select("context"), "context", "left_semi").toArrow()
-        out.append(tuple(np.asarray(t[c]) for c in ("context", "byte", "n")))
-        if k:
-            shorter = F.col("context").bitwiseAND((1 << (8 * (k - 1))) - 1).alias("context")
-            level = staged(level.select(shorter, "byte", "n").groupBy("context", "byte").agg(F.sum("n").alias("n")), "grams")
-    return out[::-1]
+        if k < depth:
+            level = staged(levels[k + 1].select(last(k).alias("context"), "byte", "n").groupBy("context", "byte").agg(F.sum("n").alias("n")), "grams")
+        levels[k] = staged(level.join(level.groupBy("context").agg(F.sum("n").alias("total")), "context"), "level")
+    nodes = {}
+    for k in range(depth, 0, -1):
+        shorter = levels[k - 1].select(F.col("context").alias("suffix"), "byte", F.col("n").alias("suffix_n"), F.col("total").alias("suffix_total"))
+        nats = F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("suffix_n") / F.col("suffix_total")))
+        both = levels[k].where("n > 0").withColumn("suffix", last(k - 1)).join(shorter, ["suffix", "byte"])
+        found = both.groupBy("context").agg(F.sum(nats).alias("nats")).where(F.col("nats") >= divergence).select("context")
+        if k < depth:
+            found = found.union(nodes[k + 1].select(last(k).alias("context"))).distinct()
+        nodes[k] = staged(found, "nodes")
+    smooth = levels[0].select("context", "byte", ((F.col("n") + 0.5) / (F.col("total") + 128)).alias("chance"))
+    for k in range(1, depth + 1):
+        marked = levels[k].withColumn("suffix", last(k - 1)).join(nodes[k].withColumn("node", F.lit(True)), "context", "left")
+        both = marked.join(smooth.withColumnRenamed("context", "suffix"), ["suffix", "byte"])
+        own = F.when(F.col("node"), (F.col("n") + prior * F.col("chance")) / (F.col("total") + prior)).otherwise(F.col("chance"))
+        smooth = staged(both.select("context", "byte", own.alias("chance")), "smooth")
+    return smooth.select(F.shiftleft("context", 8).bitwiseOR(F.col("byte")).alias("gram"), F.log10("chance").alias("chance"))
+
+
+def block_grams(rows: DataFrame) -> DataFrame:
+    """block and gram: the runs that the texts of each block have."""
+
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+
+        def flush():
+            for block, grams in known.items():
+                for at in range(0, len(grams), 100_000):
+                    part = grams[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part)], names=["block", "gram"])
+            known.clear()
+
+        for batch in small_batches(batches, 4 << 20):
+            bodies: dict[int, list[bytes]] = {}
+            for text, block in zip(text_bytes(batch.column(1)), batch.column(3).to_pylist(), strict=True):
+                bodies.setdefault(block, []).append(normalised(text)[1])
+            for block, some in bodies.items():
+                known[block] = np.union1d(known.get(block, np.zeros(0, np.int64)), runs_of(some))
+            if sum(map(len, known.values())) > 4_000_000:
+                yield from flush()
+        yield from flush()
+
+    return rows.mapInArrow(run, "block long, gram long").distinct()
 
 
 def build(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float = DIVERGENCE, prior: float = PRIOR) -> Tree:
@@ -269,29 +354,41 @@ def score(docs: DataFrame, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
     rows = id_and_text(docs).where("doc_id is not null")
     rows = rows.select("doc_id", "text", (F.pmod(crc_of_id(F.col("doc_id")), F.lit(10)) != 0).alias("train"), F.floor(F.col("doc_id") / block_documents).alias("block"))
     learned = rows.where("train")
-    tree = build(frequent_contexts(gram_counts(learned.select("doc_id", "text"))))
+    chances = staged(gram_chances(staged(gram_counts(rows), "runs")), "chances")
+    held = None
+    if chances.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        t = chances.toArrow()
+        held = docs.sparkSession.sparkContext.broadcast(Lookup.of(t["gram"].to_numpy(), t["chance"].to_numpy()))
     pairs = staged(word_counts(rows).groupBy("block", "word").agg(F.sum("n").alias("n")), "words")
     totals = staged(pairs.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     known = totals.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = learned.count()
     n, v = (known["n"] or 0) + ends, known["v"] + (ends > 0)
-    per_block = pairs.select("block", "word").join(totals, "word").select("block", "word", "c")
+    per_block = pairs.select("block", "word").join(totals, "word").select("block", "word", "c", F.lit(None).cast("double").alias("chance"))
+    if held is None:
+        joined = staged(block_grams(rows), "block-runs").join(chances, "gram")
+        per_block = per_block.union(joined.select("block", "gram", F.lit(None).cast("long"), "chance"))
 
     def block(texts: pa.Table, words: pa.Table) -> pa.Table:
+        if held is None:
+            runs = words.filter(pc.is_valid(words["chance"]))
+            words = words.filter(pc.is_valid(words["c"]))
+            chance_of = Lookup.of(runs["word"].to_numpy(), runs["chance"].to_numpy())
+        else:
+            chance_of = held.value
         keys, c = words["word"].to_numpy(), words["c"].to_numpy()
         order = np.argsort(keys)
         keys, c = keys[order], c[order]
         log = lambda x: np.log10((x + 0.1) / (n + 0.1 * (v + 1)))
         tokens, seen, base, tree_score = [], [], [], []
         texts = texts.combine_chunks()
-        for batch in small_batches(texts.select(["doc_id", "text", "train"]).to_batches(), 2 << 20):
+        for batch in small_batches(texts.select(["doc_id", "text", "train"]).to_batches(), 1 << 20):
             split = [normalised(t) for t in text_bytes(batch.column(1))]
             bodies = [b for _, b in split]
-            data = np.frombuffer(b"".join(END * DEPTH + b for b in bodies), np.uint8)
-            chance = tree.of_bytes(data)
-            ends_at = np.cumsum([len(b) + DEPTH for b in bodies])
+            chance = chance_of.get(runs_of(bodies))
+            ends_at = np.cumsum([len(b) for b in bodies])
             for (ws, b), end in zip(split, ends_at, strict=True):
-                tree_score.append(float(chance[end - len(b) : end].sum(dtype=np.float64)))
+                tree_score.append(float(chance[end - len(b) : end].sum()))
                 found = np.zeros(len(ws), np.int64)
                 if ws and len(keys):
                     h = _hashes(ws)

@@ -351,3 +351,50 @@ def test_tree_is_a_distribution():
     assert np.allclose(table.sum(axis=1), 1, atol=1e-5) and tree.nodes > 10
     text_ = np.frombuffer(b"the river and stone\n", np.uint8)
     assert np.allclose(tree.of_bytes(np.tile(text_, 400)).reshape(400, -1)[200], tree.of_bytes(np.tile(text_, 3)).reshape(3, -1)[1], atol=1e-6)
+
+
+def longest_suffix_scores(rows, divergence=suffix_tree.DIVERGENCE, prior=suffix_tree.PRIOR):
+    """Scores and number of nodes by plain counting, where each byte is looked up by its longest context that is a node."""
+    depth, body = suffix_tree.DEPTH, lambda t: b" ".join((t or "").encode().lower().split()) + b"\n"
+    n = defaultdict(lambda: defaultdict(int))
+    for i, t, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            b = b"\n" * depth + body(t)
+            for at in range(depth, len(b)):
+                for k in range(depth + 1):
+                    n[b[at - k : at]][b[at]] += 1
+    all_ = {c: sum(row.values()) for c, row in n.items()}
+    far = lambda c: sum(m * np.log(m / all_[c] / (n[c[1:]][x] / all_[c[1:]])) for x, m in n[c].items())
+    nodes = {c[i:] for c in list(n) if c and far(c) >= divergence for i in range(len(c))}
+
+    def chance(c, x):
+        if not c:
+            return (n[b""][x] + 0.5) / (all_.get(b"", 0) + 128)
+        return (n[c][x] + prior * chance(c[1:], x)) / (all_[c] + prior)
+
+    known, out = {}, []
+    for _, t, *_ in rows:
+        b, score = b"\n" * depth + body(t), 0.0
+        for at in range(depth, len(b)):
+            run = b[at - depth : at + 1]
+            if run not in known:
+                c = run[:-1]
+                while c and c not in nodes:
+                    c = c[1:]
+                known[run] = np.log10(chance(c, run[-1]))
+            score += known[run]
+        out.append(score)
+    return out, len(nodes)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_suffix_tree_scores(spark, monkeypatch, broadcast):
+    """Score by score; a word three times among 1.2 MB is learned, whatever share of the bytes it makes up."""
+    if not broadcast:
+        monkeypatch.setattr(suffix_tree, "BROADCAST_RUNS", 10)
+    rows = [(1, text(1, 240_000)), *((i, f"zqxjk {text(i, 9)}") for i in (3, 4, 6)), *((i, text(i)) for i in range(20, 40)), (41, "é日本 Zqxjk"), (42, None), (42, "zqxjk")]
+    want, nodes = longest_suffix_scores(rows)
+    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), block_documents=10).collect()
+    assert len(got) == len(rows) and nodes > 50
+    scored = sorted((r["doc_id"], r["score"]) for r in got)
+    assert np.allclose(scored, sorted((i, s) for (i, _), s in zip(rows, want, strict=True)), rtol=1e-9, atol=1e-6)
