@@ -262,6 +262,23 @@ def test_binomial_tail(spark):
         assert r["p"] == pytest.approx(exact, rel=1e-9) or (r["k"] > 0.01 * r["n"] and r["p"] == 1)
 
 
+def test_binomial_tail_large(spark):
+    """Exact at every size: against all terms summed by their logarithms."""
+    from math import lgamma, log, log1p
+
+    from pyspark.sql import functions as F
+
+    cases = [(2000, 16), (100_000, 900), (10_050_000, 100_100), (12_000_000, 119_300), (12_000_000, 120_000), (40_000_000, 398_900)]
+    df = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality_rules.tail(F.col("n"), F.col("k"), 0.01).alias("p"))
+    for r in df.collect():
+        n, k = r["n"], r["k"]
+        i = np.arange(1, k + 1)
+        terms = n * log1p(-0.01) + np.concatenate([[0.0], np.cumsum(np.log((n - i + 1) / i).astype(np.longdouble) + log(0.01 / 0.99))])
+        assert r["p"] == pytest.approx(float(np.exp(terms).sum()), rel=1e-8)
+        at_k = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(0.01) + (n - k) * log1p(-0.01)
+        assert r["p"] > np.exp(at_k) * (1 - 1e-5)
+
+
 def test_cutoffs_hold_back(spark):
     """With enough good documents a cutoff is found that rejects the bad; with few none is."""
     rows = [(i, text(i, 40) if i % 10 else " ".join(w + "###" for w in text(i, 40).split()), "en", "a", 1) for i in range(8000)]
