@@ -6,9 +6,9 @@ languages seen in training.  All windows of the whole text are classified in
 batches, and the mean of their probabilities is the document's.
 
 The network is fitted on the driver on a bounded sample of labelled documents:
-about ``SAMPLE`` of them, shared evenly among the at most ``LANGUAGES`` most
-frequent languages and drawn by a hash of the id, with at most
-``WINDOWS`` windows each, spread over the text.  Everything else covers all rows.
+about ``SAMPLE`` of them, shared evenly among all languages that occur and drawn by
+a hash of the id, or about ``LEAST`` of each language where that is more, with at
+most ``WINDOWS`` windows each, spread over the text.  Everything else covers all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so
 is everything if no labelled document exists; null labels are not learned from;
@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ripplebed.llm.base import crc_of_id, documents, small_batches, text_bytes
 
 WINDOW = 256
-SAMPLE, LANGUAGES, WINDOWS = 2400, 64, 4
+SAMPLE, LEAST, WINDOWS = 2400, 37, 4
 EMBEDDED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Below this probability the pipeline rejects a document.
@@ -114,12 +114,12 @@ def cut_windows(text: bytes) -> np.ndarray:
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows and labels of a bounded sample of the documents that may be learned from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2))
-    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counted = known.groupBy("lang").count().collect()
     if not counted:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    share = SAMPLE / len(counted)
-    chance = F.create_map(*(F.lit(x) for r in counted for x in (r["lang"], min(1.0, share / r["count"]))))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.try_element_at(chance, F.col("lang")) * (1 << 20)).select("lang", "text")
+    share = max(SAMPLE / len(counted), LEAST)
+    chances = known.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counted], "lang string, chance double")
+    drawn = known.join(F.broadcast(chances), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("chance") * (1 << 20)).select("lang", "text")
 
     def windows(batches):
         for batch in small_batches(batches):

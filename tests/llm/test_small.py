@@ -332,6 +332,12 @@ def test_language_id_learns(spark):
     assert got >= 396
 
 
+def test_language_id_takes_all_labels(spark):
+    rows = [(i, f"word{i % 100} and {i}", f"l{i % 100:02}") for i in range(1000)]
+    windows, labels, languages = language_id.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == [f"l{i:02}" for i in range(100)] and set(labels.tolist()) == set(range(100)) and len(windows) == len(labels)
+
+
 def test_suffix_tree(docs, none):
     got = suffix_tree.score(docs).collect()
     rows = [r for r in ROWS if r[0] is not None]
