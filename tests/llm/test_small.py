@@ -314,6 +314,33 @@ def test_shards_are_even(spark):
     assert len(sizes) == 24 and max(sizes) - min(sizes) <= 2 * 408
 
 
+def cuts_by_hand(rows, shards):
+    """Shards by recursive weighted medians of rows of doc_id, size, crc32 and three coordinates."""
+    out, todo = {}, [(rows, 0, shards)]
+    while todo:
+        part, first, leaves = todo.pop()
+        if leaves == 1 or not part:
+            out |= {r[0]: first for r in part}
+            continue
+        d = max(range(3), key=lambda i: (max(r[3 + i] for r in part) - min(r[3 + i] for r in part), -i))
+        half, total, before = leaves // 2, sum(r[1] for r in part), 0
+        sides = [], []
+        for r in sorted(part, key=lambda r: (r[3 + d], r[2], r[0])):
+            before += r[1]
+            sides[(2 * before - r[1]) * leaves > 2 * total * half].append(r)
+        todo += [(sides[0], first, half), (sides[1], first + half, leaves - half)]
+    return out
+
+
+def test_cuts_are_weighted_medians(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, text(i % 70, int(n)), ("en", "fr", None)[i % 3], f"s{i % 5}") for i, n in enumerate(rng.integers(0, 60, 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    place = lambda v: zlib.crc32((v or "").encode()) / 2**32
+    told = [(i, len(t) + 8, zlib.crc32(t.encode()), np.log2(len(t) + 8) / 40, place(lang), place(source)) for i, t, lang, source in rows]
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard(df, shards=7).collect()} == cuts_by_hand(told, 7)
+
+
 def test_language_id(docs, none):
     net = language_id.train(docs)
     got = language_id.predict(docs.select("doc_id", "text"), net).collect()
