@@ -8,7 +8,8 @@ at once: rows are range partitioned by node and coordinate, the partitions' tota
 give each its offset, and running sums within partitions give every row its place,
 so the median is exact, no group has to fit a task, and only a few totals for each
 partition pass through one place.  Ties in the coordinate are ordered by the text's crc32 and
-then the id: equal texts lie side by side, and a hot value can still be cut.
+then the id: equal texts of the same language and source lie side by side (others
+may be far apart), and a hot value can still be cut.
 
 Defined results: a null text has no bytes (size 8, crc32 of nothing); a null
 language or source is a value of its own; a null doc_id gets a shard and stays
