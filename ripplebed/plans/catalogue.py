@@ -423,7 +423,7 @@ def ica_clean(spark, sf):
     from ripplebed.functions import kernels as K
 
     def kernel(x, label):
-        unmixing, mixing = K.infomax(x, seed=label, rounds=50)
+        unmixing, mixing = K.infomax(x, seed=label)
         sources = unmixing @ (x - x.mean(axis=1, keepdims=True))
         found = K.heuristic_labels(sources, mixing, 64.0, places(len(x)), [16.0])
         gone = [i for i, (name, p) in enumerate(found) if name not in ("brain", "other") and p > 0.7]

@@ -198,3 +198,14 @@ def test_stream(spark, folder, tmp_path):
     for _ in range(2):  # the second finds nothing new
         watch(spark, folder[0], str(tmp_path / "out"), str(tmp_path / "state"), cfg).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/data")).count() == 3
+
+
+def test_ica_query_uses_the_default_rounds(monkeypatch):
+    from ripplebed.plans import catalogue
+
+    told, real = [], K.infomax
+    monkeypatch.setattr(catalogue, "by_window", lambda spark, sf, kernel, schema: kernel)
+    monkeypatch.setattr(K, "infomax", lambda x, **named: told.append(named) or real(x, **named))
+    kernel = catalogue.ica_clean(None, None)
+    kernel(np.random.default_rng(0).laplace(size=(4, 640)), 3)
+    assert told == [{"seed": 3}]
