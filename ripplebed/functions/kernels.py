@@ -126,35 +126,66 @@ def _mad(x: np.ndarray) -> np.ndarray:
     return np.median(np.abs(x - np.median(x, axis=-1, keepdims=True)), axis=-1)
 
 
-def bad_channels(x: np.ndarray, sfreq: float, deviation: float = 5.0, frac_bad: float = 0.01, correlation: float = 0.4, flat: bool = True) -> dict[str, list[int]]:
+def bad_channels(x: np.ndarray, sfreq: float, deviation: float = 5.0, frac_bad: float = 0.01, correlation: float = 0.4, list_flat: bool = True) -> dict[str, list[int]]:
     """Channels that are flat or not numbers, deviate, carry high-frequency noise, fail to correlate, or both of the last two."""
-    dead = np.isnan(x).any(axis=1) | (np.nan_to_num(x).std(axis=1) < 1e-15) | (_mad(np.nan_to_num(x)) < 1e-15)
+    dead = flat(x)
     use = np.flatnonzero(~dead)
-    found = {"flat": np.flatnonzero(dead).tolist() if flat else [], "deviation": [], "noise": [], "correlation": [], "snr": []}
+    found = {"flat": np.flatnonzero(dead).tolist() if list_flat else [], "deviation": [], "noise": [], "correlation": [], "snr": []}
     if len(use) < 2:
         return found
     y = x[use]
-    q = np.percentile(y, [25, 75], axis=1)
-    found["deviation"] = use[np.abs(robust_z(IQR_SD * (q[1] - q[0]))) > deviation].tolist()
+    found["deviation"] = use[np.abs(spread_z(y)) > deviation].tolist()
     low = y
     if sfreq > 100:
         low = band_pass(y, sfreq, None, 50.0) if sfreq > 104 else y
-        found["noise"] = use[robust_z(_mad(y - low) / np.maximum(_mad(low), np.finfo(float).tiny)) > 5].tolist()
-    n = max(2, int(sfreq))
-    count = low.shape[1] // n
-    if count:
-        bad = np.zeros((count, len(use)), bool)
-        for k in range(count):
-            part = low[:, k * n : (k + 1) * n]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                r = np.abs(np.nan_to_num(np.corrcoef(part)))
-            np.fill_diagonal(r, 0)
-            bad[k] = np.percentile(r, 98, axis=1) < correlation
-        found["correlation"] = use[bad.mean(axis=0) > frac_bad].tolist()
-    found["snr"] = sorted({*found["noise"]} & {*found["correlation"]})
+        found["noise"] = use[noise_z(y, low) > 5].tolist()
+    found["correlation"] = use[apart(low, max(2, int(sfreq)), correlation) > frac_bad].tolist()
+    found["snr"] = noisy_and_apart(found)
     return found
 
 
+def noisy_and_apart(found: dict[str, list[int]]) -> list[int]:
+    """Channels with too little signal for their noise: those found by high-frequency noise and by correlation both."""
+    return sorted({*found["noise"]} & {*found["correlation"]})
+
+
+def union(found: dict[str, list[int]]) -> list[int]:
+    """The channels that any detector found, once each."""
+    return sorted({i for group in found.values() for i in group})
+
+
+def spread_z(y: np.ndarray) -> np.ndarray:
+    """Robust z of each channel's spread among all."""
+    q = np.percentile(y, [25, 75], axis=1)
+    return robust_z(IQR_SD * (q[1] - q[0]))
+
+
+def noise_z(y: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Robust z of what a low-pass takes away, in relation to what it leaves."""
+    return robust_z(_mad(y - low) / np.maximum(_mad(low), np.finfo(float).tiny))
+
+
+def neighbours(part: np.ndarray) -> np.ndarray:
+    """For each channel a high percentile of its absolute correlations (0 with itself)."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.abs(np.nan_to_num(np.corrcoef(part)))
+    np.fill_diagonal(r, 0)
+    return np.percentile(r, 98, axis=1)
+
+
+def apart(y: np.ndarray, width: int, correlation: float) -> np.ndarray:
+    """The share of sub-windows in which a channel correlates with no other; 0 where none is full."""
+    count = y.shape[1] // width
+    bad = [neighbours(y[:, k * width : (k + 1) * width]) < correlation for k in range(count)]
+    return np.mean(bad, axis=0) if count else np.zeros(len(y))
+
+
+def flat(x: np.ndarray) -> np.ndarray:
+    """Which channels are not numbers throughout, or don't change."""
+    y = np.nan_to_num(x)
+    return np.isnan(x).any(axis=1) | (y.std(axis=1) < 1e-15) | (_mad(y) < 1e-15)
+
+
 def ransac_bad(x: np.ndarray, sfreq: float, places: np.ndarray, seed: int, samples: int = 50, share: float = 0.25, correlation: float = 0.75, unbroken: float = 0.4, window_s: float = 5.0) -> list[int]:
     """Channels that random subsets of the others predict badly in too many windows."""
     rng, n_ch = np.random.default_rng(seed), len(x)
@@ -255,14 +286,39 @@ def average_reference(x: np.ndarray) -> np.ndarray:
     return x - x.mean(axis=0, keepdims=True)
 
 
+def interpolated(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Channels as weighted sums of others."""
+    return weights @ x
+
+
+def discrete(x: np.ndarray, min_unique: int = 100) -> list[int]:
+    """Channels with few different values."""
+    return [i for i, row in enumerate(x) if len(np.unique(row)) < min_unique]
+
+
+def amplitude_figures(y: np.ndarray, oha: float = 40e-6, thv: float = 40e-6, chv: float = 80e-6) -> dict[str, float]:
+    """Shares of high samples, of instants and of channels whose deviation is large."""
+    return {"oha": float(np.mean(np.abs(y) > oha)), "thv": float(np.mean(y.std(axis=0) > thv)), "chv": float(np.mean(y.std(axis=1) > chv))}
+
+
+def bad_ratio(few: list[int], found: dict[str, list[int]], n: int) -> float:
+    """Bad channels in relation to all; the two lists are joined end to end, so a channel in both counts twice."""
+    return len(few + union(found)) / n
+
+
+#: From these shares on a window fails.
+LIMITS = {"oha": 0.8, "thv": 0.5, "chv": 0.5, "bcr": 0.8}
+
+
+def passes(figures: dict[str, float], limits: dict[str, float] = LIMITS) -> bool:
+    return all(figures[k] < limit for k, limit in limits.items())
+
+
 def gate(x: np.ndarray, sfreq: float, line_freqs: list[float], low: float | None, high: float | None, min_nchans: int = 10, oha: float = 40e-6, thv: float = 40e-6, chv: float = 80e-6, min_unique: int = 100) -> dict:
-    """The quality figures of a window and whether it passes; bad-channel lists are joined end to end."""
+    """The quality figures of a window and whether it passes: bad channels are sought as it is, amplitudes judged after filtering."""
     if len(x) < min_nchans:
         return {"passed": False, "reason": "too few channels"}
-    discrete = [i for i, row in enumerate(x) if len(np.unique(row)) < min_unique]
-    bads = bad_channels(x, sfreq)
-    listed = discrete + sorted({i for group in bads.values() for i in group})
     y = band_pass(notch(x, sfreq, line_freqs), sfreq, low, high)
-    out = {"oha": float(np.mean(np.abs(y) > oha)), "thv": float(np.mean(y.std(axis=0) > thv)), "chv": float(np.mean(y.std(axis=1) > chv)), "bcr": len(listed) / len(x)}
-    passed = out["oha"] < 0.8 and out["thv"] < 0.5 and out["chv"] < 0.5 and out["bcr"] < 0.8
+    out = amplitude_figures(y, oha, thv, chv) | {"bcr": bad_ratio(discrete(x, min_unique), bad_channels(x, sfreq), len(x))}
+    passed = passes(out)
     return out | {"passed": passed, "reason": None if passed else "quality"}

@@ -53,6 +53,12 @@ def numbered_copies(df: DataFrame, by: list[str], name: str, order: list[str], o
     return df.withColumn(out, F.concat(F.col(name), F.repeat(F.lit("-COPY"), nth)))
 
 
+def copies(names: Column) -> Column:
+    """The same for an array of names, in the order it has."""
+    earlier = lambda n, i: F.size(F.filter(F.slice(names, 1, i), lambda x: x == n))
+    return F.transform(names, lambda n, i: F.concat(n, F.repeat(F.lit("-COPY"), earlier(n, i))))
+
+
 def cased(name: Column) -> Column:
     """First letter large, the rest small."""
     low = F.lower(name)

@@ -14,20 +14,35 @@ def fixed_windows(df: DataFrame, by: list[str], order: list[str], width: int) ->
     return placed.withColumns({"win_idx": F.floor(F.col("_n") / width), "pos": F.col("_n") % width}).drop("_n", "_all")
 
 
-def split_recordings(df: DataFrame, window_s: float) -> DataFrame:
-    """Recordings (one row, data array<array<double>>) into windows of int(window_s * sfreq) samples."""
+def _cut(start: Column, width: Column) -> Column:
+    """The samples of all channels from ``start`` (from 0) on."""
+    return F.transform("data", lambda ch: F.slice(ch, start.cast("int") + 1, width.cast("int"))).alias("data")
+
+
+def split_recordings(df: DataFrame, window_s: float, keep_empty: bool = False) -> DataFrame:
+    """Recordings (one row, data array<array<double>>) into windows of int(window_s * sfreq) samples.
+
+    The windows are cut within the row, so a recording is not copied for each of
+    them.  With ``keep_empty`` a recording without a window keeps a row, of nulls.
+    """
     width = F.floor(F.lit(window_s) * F.col("sfreq")).cast("int")
     n = F.size(F.get("data", F.lit(0)))
-    starts = F.when(n >= width, F.sequence(F.lit(0), F.floor(n / width).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    out = df.withColumn("_w", width).select("*", F.explode(starts).alias("win_idx"))
-    start = F.col("win_idx") * F.col("_w")
+    cut = F.transform(F.sequence(F.lit(0), F.floor(n / width).cast("int") - 1), lambda i: F.struct(i.alias("win_idx"), (i * width).cast("long").alias("start_sample"), width.alias("n"), _cut(i * width, width)))
+    explode = F.explode_outer if keep_empty else F.explode
+    out = df.select(*[c for c in df.columns if c != "data"], explode(F.when(n >= width, cut)).alias("_w"))
+    return _named(out, "win_idx")
+
+
+def _named(out: DataFrame, *keys: str) -> DataFrame:
+    """The windows in ``_w`` as columns: what tells them apart, their place and their samples."""
+    start = F.col("_w.start_sample")
     return out.select(
-        *[c for c in df.columns if c != "data"],
-        "win_idx",
-        start.cast("long").alias("start_sample"),
+        *[c for c in out.columns if c != "_w"],
+        *[F.col(f"_w.{k}").alias(k) for k in keys],
+        start.alias("start_sample"),
         (start / F.col("sfreq")).alias("t_start"),
-        ((start + F.col("_w") - 1) / F.col("sfreq")).alias("t_end"),
-        F.transform("data", lambda ch: F.slice(ch, start + 1, F.col("_w"))).alias("data"),
+        ((start + F.col("_w.n") - 1) / F.col("sfreq")).alias("t_end"),
+        F.col("_w.data").alias("data"),
     )
 
 
@@ -36,25 +51,62 @@ def event_bounds(onset: Column, sfreq: Column, tmin: float, tlen: float) -> tupl
     return F.bround((onset + tmin) * sfreq).cast("long"), F.bround(F.lit(tlen) * sfreq).cast("long")
 
 
+def label_of(description: Column, descriptions: list[str]) -> Column:
+    """The place of a description among those wanted, the last one of a repeated one; null for others."""
+    known = {d: i for i, d in enumerate(descriptions)}
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), description).cast("int")
+
+
+def split_annotated(recordings: DataFrame, descriptions: list[str], tmin: float = -0.5, tlen: float = 5.0, keep_empty: bool = False) -> DataFrame:
+    """One labelled window for each annotation (array<struct<onset, description, ...>>) whose bounds lie within its recording.
+
+    Windows are cut within the row: no join, and no recording is moved or copied.
+    With ``keep_empty`` a recording without a window keeps a row, of nulls.
+    """
+    n_all = F.size(F.get("data", F.lit(0)))
+
+    def window(a: Column, i: Column) -> Column:
+        start, n = event_bounds(a["onset"], F.col("sfreq"), tmin, tlen)
+        return F.struct(i.alias("ann_idx"), a["description"].alias("description"), label_of(a["description"], descriptions).alias("label"), start.alias("start_sample"), n.alias("n"))
+
+    found = F.filter(F.transform("annotations", window), lambda w: w["description"].isin(descriptions) & (w["start_sample"] >= 0) & (w["start_sample"] + w["n"] <= n_all))
+    cut = F.transform(found, lambda w: F.struct(w["ann_idx"].alias("ann_idx"), w["description"].alias("description"), w["label"].alias("label"), w["start_sample"].alias("start_sample"), w["n"].alias("n"), _cut(w["start_sample"], w["n"])))
+    explode = F.explode_outer if keep_empty else F.explode
+    out = recordings.select(*[c for c in recordings.columns if c not in ("data", "annotations")], explode(cut).alias("_w"))
+    return _named(out, "ann_idx", "description", "label")
+
+
 def split_events(recordings: DataFrame, annotations: DataFrame, descriptions: list[str], tmin: float = -0.5, tlen: float = 5.0) -> DataFrame:
-    """One labelled window for each annotation whose bounds lie within the recording."""
-    told = annotations.where(F.col("description").isin(descriptions))
-    j = recordings.join(told, "file_id")
-    start, n = event_bounds(F.col("onset"), F.col("sfreq"), tmin, tlen)
-    j = j.withColumns({"start_sample": start, "_n": n, "_all": F.size(F.get("data", F.lit(0)))})
-    j = j.where("start_sample >= 0 and start_sample + _n <= _all")
-    # The last place of a repeated description is its label.
-    label = F.try_element_at(F.create_map(*(F.lit(x) for d, i in {d: i for i, d in enumerate(descriptions)}.items() for x in (d, i))), F.col("description"))
-    return j.select(
-        *[c for c in recordings.columns if c != "data"],
-        "ann_idx",
-        "description",
-        label.cast("int").alias("label"),
-        "start_sample",
-        (F.col("start_sample") / F.col("sfreq")).alias("t_start"),
-        ((F.col("start_sample") + F.col("_n") - 1) / F.col("sfreq")).alias("t_end"),
-        F.transform("data", lambda ch: F.slice(ch, F.col("start_sample").cast("int") + 1, F.col("_n").cast("int"))).alias("data"),
-    )
+    """The same for annotations in a table of their own (file_id, ann_idx, onset, description), which are gathered to their recordings."""
+    told = annotations.where(F.col("description").isin(descriptions)).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("ann_idx", "onset", "description"))).alias("annotations"))
+    out = split_annotated(recordings.join(told, "file_id"), descriptions, tmin, tlen)
+    # Within the row an annotation goes by its place; its own number comes back by it.
+    numbers = told.select("file_id", F.posexplode("annotations").alias("ann_idx", "a")).select("file_id", "ann_idx", F.col("a.ann_idx").alias("_own"))
+    return out.join(numbers, ["file_id", "ann_idx"]).withColumn("ann_idx", F.col("_own")).drop("_own").select(*out.columns)
+
+
+def at_rest(description: Column, resting: list[str]) -> Column:
+    """Whether an annotation tells of rest."""
+    return description.isin(resting)
+
+
+def unannotated(recordings: DataFrame, resting: list[str]) -> DataFrame:
+    """Recordings without the stretches of annotations that don't tell of rest: what is left, joined end to end.
+
+    Annotations count in the order of their onsets; a stretch begins where the one
+    just before ended, though an earlier one may have ended later.  data is null
+    where nothing is left.
+    """
+    n_all = F.size(F.get("data", F.lit(0)))
+    rate = F.col("sfreq")
+    whole = lambda x: x.cast("int")  # noqa: E731  towards zero
+    busy = F.filter(F.transform("annotations", lambda a, i: F.struct(a["onset"].alias("onset"), i.alias("i"), a["duration"].alias("duration"), a["description"].alias("description"))), lambda a: ~at_rest(a["description"], resting))
+    spans = F.transform(F.array_sort(busy), lambda a: F.struct(whole(a["onset"] * rate).alias("a"), whole((a["onset"] + a["duration"]) * rate).alias("b")))
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["b"]))
+    ends = F.concat(F.transform(spans, lambda s: s["a"]), F.array(n_all))
+    left = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: g["b"] > g["a"])
+    data = F.transform("data", lambda ch: F.flatten(F.transform(left, lambda g: F.slice(ch, F.greatest(g["a"], F.lit(0)) + 1, g["b"] - F.greatest(g["a"], F.lit(0))))))
+    return recordings.withColumn("data", F.when(F.size(left) > 0, data)).drop("annotations")
 
 
 def gaps(intervals: DataFrame, by: list[str], start: str, end: str, order: list[str], total: Column) -> DataFrame:
