@@ -1,8 +1,11 @@
 """Writing windows with their lineage, compaction, and random access.
 
-A dataset folder holds ``data`` (windows) and ``manifest`` (the files that were
-attempted).  The manifest stays when data are compacted, so later runs still skip
-what is done.
+A dataset folder holds ``windows`` and ``manifest`` (the files that were attempted),
+each with a folder for every run.  A run counts once its manifest is there: what one
+that broke off has left is never read, and a run that is written again replaces what
+it wrote.  Rows without data tell of files and windows that were dropped, so the log
+is a view of the same table.  A compacted dataset holds ``data`` in their place; its
+manifest stays, so later runs still skip what is done.
 """
 
 from __future__ import annotations
@@ -13,39 +16,118 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplebed.operators import layout as L
+from ripplebed.operators.tables import file_system, remove
 
 
-def append(windows: DataFrame, attempted: DataFrame, out: str, mode: str = "append") -> None:
-    """Add windows, then mark their files (path, stem) as attempted, those that failed too."""
-    windows.write.mode(mode).parquet(f"{out}/data")
-    attempted.select("path", "stem").distinct().write.mode(mode).parquet(f"{out}/manifest")
+def _there(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
+def _runs(spark: SparkSession, folder: str) -> list[str]:
+    """The runs that have ended in a folder of runs."""
+    fs, at = file_system(spark, folder)
+    found = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(p.getName().removeprefix("run=") for p in found if fs.exists(file_system(spark, f"{p}/_SUCCESS")[1]))
+
+
+def append(windows: DataFrame, attempted: DataFrame, out: str, run: str, mode: str = "append") -> None:
+    """Write a run's windows, dropped ones too, then its files (path, stem); by "overwrite" it takes the place of all others."""
+    spark = windows.sparkSession
+    others = [r for r in _runs(spark, f"{out}/manifest") if r != run]
+    windows.write.mode("overwrite").parquet(f"{out}/windows/run={run}")
+    attempted.select("path", "stem").distinct().write.mode("overwrite").parquet(f"{out}/manifest/run={run}")
+    if mode == "overwrite":
+        for old in others:
+            remove(spark, f"{out}/manifest/run={old}")
+            remove(spark, f"{out}/windows/run={old}")
+        remove(spark, f"{out}/data")
+
+
+def all_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all runs that have ended, and of compacted data."""
+    runs = [r for r in _runs(spark, f"{out}/manifest") if _there(spark, f"{out}/windows/run={r}")]
+    parts = [spark.read.option("mergeSchema", True).parquet(*(f"{out}/windows/run={r}" for r in runs))] if runs else []
+    if _there(spark, f"{out}/data"):
+        parts.append(spark.read.parquet(f"{out}/data"))
+    if not parts:
+        raise ValueError(f"no run has ended in {out}")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def windows(spark: SparkSession, out: str) -> DataFrame:
+    return all_rows(spark, out).where("status = 'ok'")
+
+
+def log(spark: SparkSession, out: str) -> DataFrame:
+    """One line for each window, and for each file from which none came: what was done, or why it was dropped."""
+    rows = all_rows(spark, out)
+    told = ["bad_chs", "missing_chs", "extra_chs", "dropped_chs", "ica_excluded", "ica_labels"]
+    proba = [F.transform("ica_proba", lambda p: F.bround(p, 2)).alias("ica_proba")] if "ica_proba" in rows.columns else []
+    return rows.select("path", "stem", F.bround("t_start", 1).alias("t_start"), F.bround("t_end", 1).alias("t_end"), "status", "drop_reason", *[c for c in told if c in rows.columns], *proba)
+
+
+def counters(spark: SparkSession, out: str, batch_size: int = 10) -> DataFrame:
+    """Files that were attempted, batches of them, windows by status."""
+    files = manifest(spark, out).agg(F.count("*").alias("files"), F.ceil(F.count("*") / batch_size).alias("batches"))
+    rows = all_rows(spark, out).agg(F.count_if(F.col("status") == "ok").alias("windows"), F.count_if(F.col("status") != "ok").alias("dropped"))
+    return files.crossJoin(rows)  # one row each
+
+
+def manifest(spark: SparkSession, out: str) -> DataFrame:
+    runs = _runs(spark, f"{out}/manifest")
+    return spark.read.parquet(*(f"{out}/manifest/run={r}" for r in runs)).distinct() if runs else spark.createDataFrame([], "path string, stem string")
 
 
 def pending(spark: SparkSession, paths: DataFrame, out: str, key: str = "stem", retry_failed: bool = False) -> DataFrame:
     """Paths whose key isn't in the manifest; with ``retry_failed`` those without windows count as pending."""
-    try:
-        done = spark.read.parquet(f"{out}/data" if retry_failed else f"{out}/manifest").select(key).distinct()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return paths
-    return L.unprocessed(paths, done, key)
-
-
-def compact(spark: SparkSession, src: str, out: str, max_mb: float, order: list[str]) -> DataFrame:
-    """Write sources' windows into files of at most ``max_mb`` by next fit, each with gapless file and global numbers."""
-    data = spark.read.parquet(f"{src}/data")
-    size = F.aggregate("data", F.lit(0).cast("long"), lambda a, row: a + F.size(row)) * F.lit(4) / F.lit(1e6)
-    files = data.groupBy("path").agg(F.sum(size).alias("mb"), F.count("*").alias("n"))
-    numbered = files.withColumn("file_ord", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
-    packed = L.next_fit(numbered, "file_ord", "mb", max_mb).join(numbered, "file_ord")
-    packed = L.cumulative(L.renumbered(packed, "out_file", "file_ord"), ["file_ord"], "n").select("path", "out_file", "file_idx", "first")
+    done = manifest(spark, out)
+    if retry_failed and not done.isEmpty():
+        done = done.join(windows(spark, out).select("path").distinct(), "path", "left_semi")
+    return L.unprocessed(paths, done.select(key).distinct(), key)
+
+
+def shape(data: DataFrame) -> tuple[int, int]:
+    """Channels and samples of the windows, which must all be alike."""
+    found = data.select(F.size("data").alias("c"), F.array_min(F.transform("data", lambda x: F.size(x))).alias("lo"), F.array_max(F.transform("data", lambda x: F.size(x))).alias("hi"))
+    r = found.agg(F.min("c"), F.max("c"), F.min("lo"), F.max("hi")).first()
+    if r[0] != r[1] or r[2] != r[3]:
+        raise ValueError(f"windows of different shapes: {r[0]} to {r[1]} channels, {r[2]} to {r[3]} samples")
+    return r[0] or 0, r[2] or 0
+
+
+def compact(spark: SparkSession, src: str, out: str, max_mb: float, order: list[str], delete_source: bool = False, swap: bool = False) -> DataFrame:
+    """Write sources' windows into files of at most ``max_mb`` by next fit, each with gapless file and global numbers.
+
+    An existing target is refused.  The source stays, unless ``delete_source`` is
+    asked for; by ``swap`` the target then takes its place.
+    """
+    if _there(spark, f"{out}/data"):
+        raise ValueError(f"{out} holds compacted data already")
+    data = windows(spark, src)
+    of_one = shape(data)
+    size = F.lit(4 * of_one[0] * of_one[1]).cast("long")
+    files = data.groupBy("path").agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
+    counted = L.numbered(files, ["path"], "file_ord")
+    packed = L.next_fit(counted, "file_ord", "bytes", max_mb * 1e6).join(counted, "file_ord")
+    packed = L.cumulative(L.renumbered(packed, "out_file", "file_ord"), ["file_ord"], "n")
+    packed = packed.select("path", "out_file", F.concat(F.lit("combined_"), F.lpad(F.col("out_file").cast("string"), 5, "0")).alias("out_name"), "file_idx", "first")
     place = F.row_number().over(Window.partitionBy("path").orderBy(*order)) - 1
     rows = data.withColumn("_place", place).join(packed, "path").withColumn("global_idx", F.col("first") + F.col("_place")).drop("_place", "first")
-    # An existing target is refused; the source stays.
-    rows.repartitionByRange("out_file").sortWithinPartitions("out_file", "global_idx").write.mode("errorifexists").partitionBy("out_file").parquet(f"{out}/data")
-    spark.read.parquet(f"{src}/manifest").write.mode("errorifexists").parquet(f"{out}/manifest")
-    return spark.read.parquet(f"{out}/data")
+    rows = rows.repartitionByRange("out_file").sortWithinPartitions("out_file", "global_idx")
+    # A source above the cap has an output of its own, in as many files as it takes.
+    rows.write.mode("errorifexists").option("maxRecordsPerFile", max(1, L.capacity(max_mb, of_one))).partitionBy("out_name").parquet(f"{out}/data")
+    manifest(spark, src).write.mode("errorifexists").parquet(f"{out}/manifest/run=compacted")
+    made = spark.read.parquet(f"{out}/data")
+    if made.count() != data.count():
+        raise ValueError("compaction lost windows")
+    if delete_source:
+        remove(spark, src)
+        if swap:
+            fs, at = file_system(spark, out)
+            fs.rename(at, file_system(spark, src)[1])
+            made = spark.read.parquet(f"{src}/data")
+    return made
 
 
 class WindowDataset:
@@ -58,10 +140,15 @@ class WindowDataset:
     def __len__(self) -> int:
         return self.length
 
+    def take(self, numbers: list[int]) -> list[Row]:
+        """The windows of these numbers, in their order; one job for all of them."""
+        if bad := [i for i in numbers if i < 0 or i >= self.length]:
+            raise IndexError(bad[0])
+        found = {r["global_idx"]: r for r in self.rows.where(F.col("global_idx").isin(list(numbers))).collect()}
+        return [found[i] for i in numbers]
+
     def __getitem__(self, i: int) -> Row:
-        if i < 0 or i >= self.length:
-            raise IndexError(i)
-        return self.rows.where(F.col("global_idx") == i).first()
+        return self.take([i])[0]
 
     def __iter__(self) -> Iterator[Row]:
         yield from self.rows.orderBy("global_idx").toLocalIterator()

@@ -3,44 +3,51 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ripplebed.operators import sinks
 from ripplebed.plans.config import PipelineConfig, from_yaml
-from ripplebed.plans.pipeline import preprocess, preprocess_labelled
+from ripplebed.plans.pipeline import Pipeline
 from ripplebed.sources import edf
 
+#: MB of a compacted file, of windows and of labelled ones.
+FILE_MB, LABELLED_MB = 2000.0, 4000.0
 
-def run(spark: SparkSession, source: str, out: str, cfg: PipelineConfig, labelled: bool = False, mode: str = "append", key: str = "stem", seed: int = 0) -> DataFrame:
-    """Windows of the files that no earlier run attempted, in a random order so that tasks come out even."""
+
+def run(spark: SparkSession, source: str, out: str, pipeline: PipelineConfig | Pipeline, labelled: bool = False, mode: str = "append", key: str = "stem") -> DataFrame:
+    """Windows of the files that no earlier run attempted.  Tasks come out even, as Spark packs files into them by size."""
+    pipeline = Pipeline(pipeline) if isinstance(pipeline, PipelineConfig) else pipeline
     paths = edf.list_files(spark, source)
     if mode == "append":
         paths = sinks.pending(spark, paths, out, key)
-    paths = paths.orderBy(F.xxhash64("path", F.lit(seed)))
-    # The catalogue names files, not windows; Spark's reader takes it as a list.
-    listed = [r["path"] for r in paths.select("path").toLocalIterator() if r["path"]]
-    if not listed:
-        return spark.read.parquet(f"{out}/data")
-    recordings = edf.read_recordings(spark, listed)
-    made = (preprocess_labelled if labelled else preprocess)(recordings, cfg)
-    sinks.append(made.where("status = 'ok'"), paths, out, mode)
-    return spark.read.parquet(f"{out}/data")
+    if not paths.isEmpty():
+        recordings = edf.read_listed(spark, paths)
+        made = pipeline.labelled(recordings) if labelled else pipeline.windows(recordings)
+        sinks.append(made, paths, out, uuid.uuid4().hex, mode)
+    return sinks.windows(spark, out)
 
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser()
     p.add_argument("--config", required=True)
-    p.add_argument("--labelled", action="store_true")
-    p.add_argument("--compact", help="then compact into this new folder; the source stays")
-    p.add_argument("--max_file_size", type=float, default=2000.0, help="MB of a compacted file")
+    p.add_argument("--labelled", action="store_true", help="windows around annotations, which are compacted after the run")
+    p.add_argument("--compact", help="compact into this new folder after the run (labelled: OUT_combined unless told)")
+    p.add_argument("--no_compact", action="store_true", help="leave labelled windows as they are")
+    p.add_argument("--max_file_size", type=float, help="MB of a compacted file")
+    p.add_argument("--delete_source", action="store_true", help="delete the windows that were compacted; else they stay")
+    p.add_argument("--swap", action="store_true", help="with --delete_source: the compacted folder takes their place")
     told = p.parse_args(args)
-    cfg, rest = from_yaml(told.config)
+    pipeline, rest = from_yaml(told.config)
     spark = SparkSession.builder.getOrCreate()
-    run(spark, rest["dataset_path"], rest["out_path"], cfg, told.labelled, "overwrite" if rest.get("overwrite") else "append")
-    if told.compact:
-        sinks.compact(spark, rest["out_path"], told.compact, told.max_file_size, ["start_sample"])
+    out = rest["out_path"].rstrip("/")
+    run(spark, rest["dataset_path"], out, pipeline, told.labelled, "overwrite" if rest.get("overwrite") else "append")
+    target = told.compact or (f"{out}_combined" if told.labelled and not told.no_compact else None)
+    if target:
+        size = told.max_file_size or (LABELLED_MB if told.labelled else FILE_MB)
+        sinks.compact(spark, out, target, size, ["start_sample", "ann_idx"] if told.labelled else ["start_sample"], told.delete_source, told.swap)
+    sinks.counters(spark, out if sinks._there(spark, out) else target).show()
 
 
 if __name__ == "__main__":

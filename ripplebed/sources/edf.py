@@ -15,8 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from ripplebed.operators.layout import stem
+from ripplebed.operators.tables import file_system
 
 HEADER = "path string, sfreq double, n_times long, ch_names array<string>, ch_types array<string>, duration double, status string, error string"
 SIGNAL = HEADER + ", data array<array<double>>, annotations array<struct<onset: double, duration: double, description: string>>"
@@ -113,16 +115,56 @@ def write(path: str, data: np.ndarray, names: list[str], sfreq: int, annotations
 
 
 def list_files(spark: SparkSession, source: str) -> DataFrame:
-    """path and stem of the .edf files below a folder, or of the paths in a .txt list, where a blank line is a path too."""
-    if source.endswith(".txt"):
-        paths = spark.read.text(source).select(F.trim("value").alias("path"))
-    elif "." not in source.rstrip("/").rsplit("/", 1)[-1]:
-        paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.edf").load(source).select("path")
+    """path and stem of the .edf files below a folder, or of the paths in a .txt list, whatever their ending.
+
+    Listed paths are written as Spark's readers write them.  A blank line is a path
+    too: like that of a file which isn't there it gives an error row when read.
+    """
+    fs, at = file_system(spark, source)
+    there = fs.exists(at)
+    if there and fs.getFileStatus(at).isDirectory():
+        paths = _listing(spark, [source], True).select("path")
+    elif there and source.endswith(".txt"):
+        lines = spark.read.text(source).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+        split = lines.select("line", F.regexp_extract("line", "^(.*/)?[^/]*$", 1).alias("folder"), F.regexp_extract("line", "([^/]*)$", 1).alias("name"))
+        folders = [(r["folder"], _qualified(spark, r["folder"] or ".")) for r in split.select("folder").distinct().collect()]  # one for each folder
+        known = spark.createDataFrame(folders, "folder string, at string")
+        paths = split.join(F.broadcast(known), "folder").select(F.when(F.col("line") == "", "").otherwise(F.concat("at", F.lit("/"), "name")).alias("path"))
     else:
         raise ValueError(f"neither a folder nor a .txt list: {source}")
     return paths.withColumn("stem", stem(F.col("path")))
 
 
+def _listing(spark: SparkSession, folders: list[str], below: bool) -> DataFrame:
+    files = spark.read.format("binaryFile")
+    return (files.option("recursiveFileLookup", True).option("pathGlobFilter", "*.edf") if below else files).load(folders)
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    return file_system(spark, folder)[1].toString().rstrip("/")
+
+
+def read_listed(spark: SparkSession, paths: DataFrame, signals: bool = True) -> DataFrame:
+    """One row for each of ``paths`` (as ``list_files`` gives them); what isn't there gives a row with status "error".
+
+    The contents of these files alone are fetched.  Spark's reader takes the names
+    of the files it shall read as a list, and keeps such a list on the driver for
+    any folder too: names, not contents.
+    """
+    folders = [r["f"] for r in paths.where("path <> ''").select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()]
+    folders = [f for f in folders if (found := file_system(spark, f))[0].exists(found[1])]
+    schema = SIGNAL if signals else HEADER
+    there = spark.createDataFrame([], "path string")
+    if folders:
+        there = _listing(spark, folders, False).select("path")
+    names = [r["path"] for r in paths.select("path").distinct().join(there, "path", "left_semi").toLocalIterator()]
+    absent = paths.select("path").distinct().join(there, "path", "left_anti")
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]
+    told = {"path": F.col("path"), "status": F.lit("error"), "error": F.when(F.col("path") == "", "blank path").otherwise("no such file")}
+    absent = absent.select(*[told[c].alias(c) if (c := f.name) in told else n for f, n in zip(StructType.fromDDL(schema), nulls, strict=True)]).withColumn("stem", stem(F.col("path")))
+    return parse_files(spark.read.format("binaryFile").load(names), signals).unionByName(absent) if names else absent
+
+
 def parse_files(files: DataFrame, signals: bool = True) -> DataFrame:
     """One row for each row of path and content."""
 
@@ -137,8 +179,8 @@ def parse_files(files: DataFrame, signals: bool = True) -> DataFrame:
 
 
 def read_recordings(spark: SparkSession, source: str | list[str], signals: bool = True) -> DataFrame:
-    """One row for each file of a folder or of paths."""
-    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.edf").load(source), signals)
+    """One row for each .edf file below a folder or of a list of paths."""
+    return parse_files(_listing(spark, source, True), signals)
 
 
 class _File(InputPartition):

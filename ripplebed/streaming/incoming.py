@@ -23,9 +23,10 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, cfg: Pipe
     """Start a query that appends the windows of new .edf files to ``out``."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.edf").load(folder)
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
+        # A run for each batch: one that is tried again takes the place of what it wrote before.
         recordings = edf.parse_files(batch)
         attempted = batch.select("path", stem(F.col("path")).alias("stem"))
-        sinks.append(preprocess(recordings, cfg).where("status = 'ok'"), attempted, out)
+        sinks.append(preprocess(recordings, cfg), attempted, out, f"batch-{number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
