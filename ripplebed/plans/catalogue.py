@@ -1,21 +1,28 @@
 """The queries over the driver tables, each with its SQL.
 
-Windows are the labels of ``embeddings``, whose vectors are channels of 64 samples;
-recordings and annotations are the users of ``events``; ``documents``, ``pages`` and
-``conversations`` stand for catalogues of files.
+Every query runs the library's own operator; SQL says the same in its own way.
+Windows are twenty vectors of ``embeddings`` in the order of their ids, channels of
+64 samples each; recordings and annotations are the users of ``events``, a row to
+each user as to each file; ``documents``, ``pages`` and ``conversations`` stand for
+catalogues of files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ripplebed.functions import kernels as K
+from ripplebed.functions.montage import positions
 from ripplebed.operators import channels as C
 from ripplebed.operators import layout as L
-from ripplebed.operators import quality as Q
 from ripplebed.operators import windows as W
+from ripplebed.plans import pipeline as P
+from ripplebed.plans.config import CHANNELS, PipelineConfig
+from ripplebed.plans.stages import Signal, components
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -23,8 +30,9 @@ KINDS = ["click", "view", "error"]
 TARGET = ["view", "login", "click", "error", "logout"]
 TAPS = [0.1, 0.2, 0.4, 0.2, 0.1]
 OHA, THV, CHV = 0.2, 0.123, 0.125
-#: SQL for the tall form of ``embeddings``.
-TALL = "t AS (SELECT label, vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+#: Channels of a window; SQL for the windows in tall form.
+WIDTH = 20
+TALL = f"t AS (SELECT vec_id // {WIDTH} AS win, vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 COPIES = "('view', 0), ('login', 1), ('click', 2), ('error', 3), ('logout', 4)"
 
 
@@ -40,8 +48,38 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def tall(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+def by_window(spark, sf, kernel: Callable[[np.ndarray, np.ndarray], dict], schema: str, width: int = WIDTH) -> DataFrame:
+    """A kernel on each window's channels x samples and the ids of its vectors; it gives a column's values for each channel."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("vec_id")
+        x = np.array([np.asarray(v, float) for v in pdf["embedding"]])
+        return pdf[["win", "vec_id"]].assign(**kernel(x, pdf["vec_id"].to_numpy()))
+
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / width).alias("win"), "vec_id", "embedding")
+    return e.groupBy("win").applyInPandas(run, f"win long, vec_id long, {schema}")
+
+
+def one_a_window(df: DataFrame, *columns: str) -> DataFrame:
+    """What a kernel says of the window as a whole, from its first channel's row."""
+    return df.where(F.col("vec_id") % WIDTH == 0).select("win", *columns)
+
+
+def samples(df: DataFrame) -> DataFrame:
+    """Rows of vec_id, pos and v from an array ``y`` for each channel."""
+    return df.select("win", "vec_id", F.posexplode("y").alias("pos", "v")).select("win", "vec_id", F.col("pos").cast("long").alias("pos"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+def of_users(spark, sf) -> DataFrame:
+    """Users as recordings: a channel of their values in order, and every event as an annotation at its place; a second to a sample."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type", "value"))).alias("s"))
+    notes = F.transform("s", lambda x, i: F.struct(i.cast("double").alias("onset"), x["value"].alias("duration"), x["event_type"].alias("description"), x["event_id"].alias("event_id")))
+    return e.select("user_id", F.lit(1.0).alias("sfreq"), F.array(F.transform("s", lambda x: x["value"])).alias("data"), notes.alias("annotations"))
+
+
+def cents(data: str = "data"):
+    """The sum of a window's first channel in whole hundredths."""
+    return F.aggregate(F.get(data, F.lit(0)), F.lit(0).cast("long"), lambda a, v: a + F.round(v * 100).cast("long"))
 
 
 @query("SELECT page_id, regexp_extract(url, '([^/]+?)(\\.[^./]*)?$', 1) AS stem FROM pages")
@@ -59,10 +97,10 @@ def batch_assign(spark, sf):
     return L.batches(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 10).select("doc_id", "batch", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT user_id, count(*) AS n_times, (count(*) - 1) / 0.5 AS last_time FROM events GROUP BY user_id HAVING (count(*) - 1) / 0.5 >= 1.5 * 80")
+@query("SELECT user_id, count(*) AS n_times FROM events GROUP BY user_id HAVING (count(*) - 1) / 0.5 >= 1.5 * 80")
 def min_duration_filter(spark, sf):
-    n = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n_times"))
-    return n.withColumn("last_time", (F.col("n_times") - 1) / F.lit(0.5)).where(F.col("last_time") >= 1.5 * 80)
+    n = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n_times")).withColumn("sfreq", F.lit(0.5))
+    return P.long_enough(n, PipelineConfig(window_length=80)).select("user_id", "n_times")
 
 
 RAW = "concat(upper(p_name), ' ', CASE p_partkey % 6 WHEN 0 THEN 'A1' WHEN 1 THEN 'EKG1' WHEN 2 THEN 'IBI' WHEN 3 THEN 'ROC' WHEN 4 THEN '-LE' ELSE '-REF' END)"
@@ -100,16 +138,24 @@ def synonym_rename(spark, sf):
     return table(spark, sf, "events").select("event_id", C.renamed(F.col("event_type"), {"click": "tap", "view": "look"}).alias("name"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'login', 'click', 'error', 'logout')")
+#: Channels that stand for event types; three have a place on the montage.
+SITES = {"click": "Fcz", "view": "T1", "error": "Photic", "signup": "Ppo9h", "purchase": "Ekg1"}
+SITE = "CASE event_type " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in SITES.items()) + " ELSE event_type END"
+
+
+def on_sites(spark, sf) -> DataFrame:
+    u = user_channels(spark, sf).select("user_id", F.transform("names", lambda n: C.renamed(n, SITES)).alias("ch_names"), "data")
+    return P.on_montage(u)
+
+
+@query(f"SELECT user_id, {SITE} AS name, count(*)::DOUBLE AS n FROM events WHERE event_type IN ('click', 'view', 'signup') GROUP BY ALL")
 def montage_semi(spark, sf):
-    montage = spark.createDataFrame([(t,) for t in TARGET], "event_type string")
-    return table(spark, sf, "events").select("event_id", "event_type").join(F.broadcast(montage), "event_type", "left_semi")
+    return on_sites(spark, sf).select("user_id", F.explode(F.arrays_zip("ch_names", "data")).alias("c")).select("user_id", F.col("c.ch_names").alias("name"), F.get("c.data", F.lit(0)).alias("n"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_type NOT IN ('view', 'login', 'click', 'error', 'logout')")
+@query(f"SELECT DISTINCT user_id, {SITE} AS name FROM events WHERE event_type NOT IN ('click', 'view', 'signup')")
 def montage_dropped(spark, sf):
-    montage = spark.createDataFrame([(t,) for t in TARGET], "event_type string")
-    return table(spark, sf, "events").select("user_id", "event_type").distinct().join(F.broadcast(montage), "event_type", "left_anti")
+    return on_sites(spark, sf).select("user_id", F.explode("dropped_chs").alias("name"))
 
 
 def user_channels(spark, sf) -> DataFrame:
@@ -150,26 +196,46 @@ def split_fixed_windows(spark, sf):
     return w.groupBy("user_id", "win_idx").agg((F.min(k) / 0.5).alias("t_start"), (F.max(k) / 0.5).alias("t_end"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
+@query(
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS a FROM events)
+SELECT user_id, k // 10 AS win_idx, min(k) AS start_sample, min(k)::DOUBLE AS t_start, max(k)::DOUBLE AS t_end, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM n WHERE k < a - a % 10 GROUP BY user_id, k // 10"""
+)
+def split_recording_windows(spark, sf):
+    w = W.split_recordings(of_users(spark, sf).drop("annotations"), 10.0)
+    return w.select("user_id", F.col("win_idx").cast("long").alias("win_idx"), "start_sample", "t_start", "t_end", cents().alias("cents"))
+
+
 @query(
     """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS a FROM events),
-w AS (SELECT user_id, event_id AS ann_idx, event_type AS description, k - 3 AS s, k + 5 AS e FROM n WHERE event_type IN ('click', 'view', 'error') AND k - 3 >= 0 AND k + 5 <= a)
+w AS (SELECT user_id, k AS ann_idx, event_type AS description, k - 3 AS s, k + 5 AS e FROM n WHERE event_type IN ('click', 'view', 'error') AND k - 3 >= 0 AND k + 5 <= a)
 SELECT w.user_id, ann_idx, description, CASE description WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS label, s AS start_sample, sum(round(value * 100)::BIGINT)::BIGINT AS cents
 FROM w JOIN n ON n.user_id = w.user_id AND n.k >= s AND n.k < e GROUP BY ALL"""
 )
 def split_event_windows(spark, sf):
-    e = table(spark, sf, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
-    rec = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("s"))
-    rec = rec.select(F.col("user_id").alias("file_id"), F.lit(1.0).alias("sfreq"), F.array(F.transform("s", lambda x: x["value"])).alias("data"))
-    ann = e.select(F.col("user_id").alias("file_id"), F.col("event_id").alias("ann_idx"), F.col("k").cast("double").alias("onset"), F.col("event_type").alias("description"))
-    w = W.split_events(rec, ann, KINDS, tmin=-3.0, tlen=8.0)
-    cents = F.aggregate(F.get("data", F.lit(0)), F.lit(0).cast("long"), lambda a, v: a + F.round(v * 100).cast("long"))
-    return w.select(F.col("file_id").alias("user_id"), "ann_idx", "description", "label", "start_sample", cents.alias("cents"))
+    w = W.split_annotated(of_users(spark, sf), KINDS, tmin=-3.0, tlen=8.0)
+    return w.select("user_id", F.col("ann_idx").cast("long").alias("ann_idx"), "description", "label", "start_sample", cents().alias("cents"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 END AS label FROM events WHERE event_type IN ('click', 'view', 'error')")
 def label_encode(spark, sf):
-    e = table(spark, sf, "events").where(F.col("event_type").isin(KINDS))
-    return e.select("event_id", (F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")) - 1).cast("int").alias("label"))
+    return table(spark, sf, "events").select("event_id", W.label_of(F.col("event_type"), KINDS).alias("label")).where("label is not null")
+
+
+@query("SELECT event_id, event_type IN ('view', 'logout') AS at_rest FROM events")
+def rest_state(spark, sf):
+    return table(spark, sf, "events").select("event_id", W.at_rest(F.col("event_type"), ["view", "logout"]).alias("at_rest"))
+
+
+@query(
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS a FROM events),
+i AS (SELECT user_id, a, k AS s, trunc(k + value)::BIGINT AS e FROM n WHERE event_type <> 'view'),
+g AS (SELECT user_id, lag(e, 1, 0) OVER (PARTITION BY user_id ORDER BY s) AS x, s AS y FROM i UNION ALL SELECT user_id, arg_max(e, s), any_value(a) FROM i GROUP BY user_id
+UNION ALL SELECT user_id, 0, any_value(a) FROM n GROUP BY user_id HAVING bool_and(event_type = 'view'))
+SELECT g.user_id, count(*) AS n_left, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM g JOIN n ON n.user_id = g.user_id AND n.k >= x AND n.k < y WHERE y > x GROUP BY g.user_id"""
+)
+def unannotated_samples(spark, sf):
+    left = W.unannotated(of_users(spark, sf), ["view"]).where("data is not null")
+    return left.select("user_id", F.size(F.get("data", F.lit(0))).cast("long").alias("n_left"), cents().alias("cents"))
 
 
 @query(
@@ -185,125 +251,182 @@ def interval_complement(spark, sf):
 
 
 AMPLITUDES = f"""{TALL},
-h AS (SELECT label, avg((abs(v) > {OHA})::INT) AS oha FROM t GROUP BY label),
-p AS (SELECT label, avg((s > {THV})::INT) AS thv FROM (SELECT label, pos, stddev_pop(v) AS s FROM t GROUP BY ALL) GROUP BY label),
-k AS (SELECT label, avg((s > {CHV})::INT) AS chv, count(*) AS n_chans FROM (SELECT label, vec_id, stddev_pop(v) AS s FROM t GROUP BY ALL) GROUP BY label),
-a AS (SELECT label, oha, thv, chv, n_chans FROM h JOIN p USING (label) JOIN k USING (label))"""
+h AS (SELECT win, avg((abs(v) > {OHA})::INT) AS oha FROM t GROUP BY win),
+p AS (SELECT win, avg((s > {THV})::INT) AS thv FROM (SELECT win, pos, stddev_pop(v) AS s FROM t GROUP BY ALL) GROUP BY win),
+k AS (SELECT win, avg((s > {CHV})::INT) AS chv, count(*) AS n_chans FROM (SELECT win, vec_id, stddev_pop(v) AS s FROM t GROUP BY ALL) GROUP BY win),
+a AS (SELECT win, oha, thv, chv, n_chans FROM h JOIN p USING (win) JOIN k USING (win))"""
 
 
-def amplitudes(spark, sf) -> DataFrame:
-    return Q.amplitudes(tall(spark, sf), ["label"], "vec_id", "pos", "v", OHA, THV, CHV)
+@query(f"WITH {AMPLITUDES} SELECT win, round(oha, 6) AS oha, round(thv, 6) AS thv, round(chv, 6) AS chv, n_chans FROM a")
+def quality_oha_thv_chv(spark, sf):
+    out = by_window(spark, sf, lambda x, _: K.amplitude_figures(x, OHA, THV, CHV) | {"n_chans": len(x)}, "oha double, thv double, chv double, n_chans long")
+    return one_a_window(out, *(F.round(c, 6).alias(c) for c in ("oha", "thv", "chv")), "n_chans")
 
 
-@query(f"WITH {AMPLITUDES} SELECT label, round(oha, 6) AS oha, round(thv, 6) AS thv, round(chv, 6) AS chv, n_chans FROM a")
-def quality_oha_thv_chv(spark, sf):
-    return amplitudes(spark, sf).select("label", *(F.round(c, 6).alias(c) for c in ("oha", "thv", "chv")), "n_chans")
+#: Values in twentieths, of which a channel should have so many at least.
+FEW = 11
+DISCRETE = f"d AS (SELECT win, vec_id, count(DISTINCT floor(v * 20)) < {FEW} AS few FROM t GROUP BY ALL)"
 
 
-@query("SELECT user_id, count(DISTINCT value) AS n_unique FROM events GROUP BY user_id HAVING count(DISTINCT value) < 66")
-def discrete_channels(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count_distinct("value").alias("n_unique")).where("n_unique < 66")
+def few_values(x: np.ndarray) -> list[int]:
+    return K.discrete(np.floor(x * 20), FEW)
 
 
-SPREAD = "s AS (SELECT label, vec_id, 0.7413 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS spread FROM t GROUP BY ALL)"
-ROBUST = f"""{TALL}, {SPREAD},
-m AS (SELECT label, quantile_cont(spread, 0.5) AS med, quantile_cont(spread, 0.75) - quantile_cont(spread, 0.25) AS iqr FROM s GROUP BY label),
-z AS (SELECT label, vec_id, (spread - med) / (0.7413 * iqr) AS z FROM s JOIN m USING (label))"""
+def among(found, n: int) -> list[bool]:
+    return [i in set(found) for i in range(n)]
 
 
-def robust(spark, sf) -> DataFrame:
-    return Q.deviations(Q.channel_spreads(tall(spark, sf), ["label"], "vec_id", "v"), ["label"])
+@query(f"WITH {TALL}, {DISCRETE} SELECT win, vec_id, few FROM d")
+def discrete_channels(spark, sf):
+    return by_window(spark, sf, lambda x, _: {"few": among(few_values(x), len(x))}, "few boolean")
+
 
+SPREAD = "s AS (SELECT win, vec_id, 0.7413 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS spread FROM t GROUP BY ALL)"
+ROBUST = f"""{TALL}, {SPREAD},
+m AS (SELECT win, quantile_cont(spread, 0.5) AS med, quantile_cont(spread, 0.75) - quantile_cont(spread, 0.25) AS iqr FROM s GROUP BY win),
+z AS (SELECT win, vec_id, (spread - med) / (0.7413 * iqr) AS z FROM s JOIN m USING (win))"""
 
-@query(f"WITH {ROBUST} SELECT label, vec_id, round(z, 6) AS z, abs(z) > 2 AS bad FROM z")
+
+@query(f"WITH {ROBUST} SELECT win, vec_id, round(z, 6) AS z, abs(z) > 2 AS bad FROM z")
 def robust_deviation(spark, sf):
-    return robust(spark, sf).select("label", "vec_id", F.round("z", 6).alias("z"), (F.abs("z") > 2).alias("bad"))
+    return by_window(spark, sf, lambda x, _: {"z": (z := K.spread_z(x)).round(6), "bad": np.abs(z) > 2}, "z double, bad boolean")
 
 
-@query(f"WITH {TALL} SELECT label, vec_id, bool_or(isnan(v)) AS has_nan, round(stddev_pop(v), 6) AS sd, stddev_pop(v) < 0.1 AS flat FROM t GROUP BY ALL")
+@query(
+    f"""WITH {TALL}, f AS (SELECT win, vec_id, CASE WHEN vec_id % 5 = 0 THEN 0.25 WHEN vec_id % 7 = 0 AND pos = 9 THEN 'nan'::DOUBLE ELSE v END AS v FROM t)
+SELECT win, vec_id, bool_or(isnan(v)) OR stddev_pop(CASE WHEN isnan(v) THEN 0 ELSE v END) < 1e-15 AS flat FROM f GROUP BY ALL"""
+)
 def flat_channels(spark, sf):
-    sd = F.stddev_pop("v")
-    return tall(spark, sf).groupBy("label", "vec_id").agg(F.bool_or(F.isnan("v")).alias("has_nan"), F.round(sd, 6).alias("sd"), (sd < 0.1).alias("flat"))
-
+    def kernel(x, ids):
+        x[ids % 7 == 0, 9] = np.nan
+        x[ids % 5 == 0] = 0.25
+        return {"flat": K.flat(x)}
 
-CORR = f"""{TALL}, c AS (SELECT x.label, x.vec_id, y.vec_id AS other, abs(corr(x.v, y.v)) AS r FROM t x JOIN t y ON x.label = y.label AND x.pos = y.pos AND x.vec_id <> y.vec_id GROUP BY ALL),
-q AS (SELECT label, vec_id, quantile_cont(r, 0.98) AS r98 FROM c GROUP BY ALL)"""
+    return by_window(spark, sf, kernel, "flat boolean")
 
 
-def correlations(spark, sf) -> DataFrame:
-    """For each channel a high percentile of its correlations inside its window, by arrays rather than samples."""
-    e = table(spark, sf, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    n = F.size("x")
-    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / n
-    e = e.withColumn("m", mean).select("label", "vec_id", F.transform("x", lambda v: v - F.col("m")).alias("x"))
-    e = e.withColumn("n2", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
-    o = e.select("label", F.col("vec_id").alias("other"), F.col("x").alias("y"), F.col("n2").alias("m2"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    pairs = e.join(o, "label").where("vec_id <> other").select("label", "vec_id", F.abs(dot / (F.col("n2") * F.col("m2"))).alias("r"))
-    return pairs.groupBy("label", "vec_id").agg(F.percentile("r", 0.98).alias("r98"))
+def corr(name: str, part: str) -> str:
+    """SQL: ``name`` has a high percentile of each channel's correlations in each part of its window."""
+    return f"""{name}c AS (SELECT x.win, {part} AS part, x.vec_id, CASE WHEN x.vec_id = y.vec_id THEN 0 ELSE abs(corr(x.v, y.v)) END AS r FROM t x JOIN t y ON x.win = y.win AND x.pos = y.pos GROUP BY x.win, part, x.vec_id, y.vec_id),
+{name} AS (SELECT win, part, vec_id, quantile_cont(r, 0.98) AS r98 FROM {name}c GROUP BY ALL)"""
 
 
-@query(f"WITH {CORR} SELECT label, vec_id, round(r98, 6) AS r98, r98 < 0.3 AS bad FROM q")
+@query(f"WITH {TALL}, {corr('q', '0')} SELECT win, vec_id, round(r98, 6) AS r98 FROM q")
 def channel_correlation(spark, sf):
-    return correlations(spark, sf).select("label", "vec_id", F.round("r98", 6).alias("r98"), (F.col("r98") < 0.3).alias("bad"))
+    return by_window(spark, sf, lambda x, _: {"r98": K.neighbours(x).round(6)}, "r98 double")
+
+
+APART = 0.3
+NEAR = 0.28
+
 
+@query(f"WITH {TALL}, {corr('q', 'x.pos // 16')} SELECT win, vec_id, avg((r98 < 0.6)::INT) AS share FROM q GROUP BY ALL")
+def correlation_in_parts(spark, sf):
+    return by_window(spark, sf, lambda x, _: {"share": K.apart(x, 16, 0.6)}, "share double")
 
-@query(f"WITH {ROBUST}, {CORR[len(TALL) + 2:]} SELECT label, vec_id FROM z WHERE abs(z) > 1 INTERSECT SELECT label, vec_id FROM q WHERE r98 < 0.35")
+
+def reflected(pad: int) -> str:
+    """SQL: a vector with ``pad`` samples at each side that mirror it through its ends."""
+    before = f"list_transform(range(0, {pad}), lambda i: 2 * embedding[1]::DOUBLE - embedding[{pad} - i + 1]::DOUBLE)"
+    after = f"list_transform(range(0, {pad}), lambda i: 2 * embedding[64]::DOUBLE - embedding[63 - i]::DOUBLE)"
+    return f"list_concat(list_concat({before}, list_transform(embedding, lambda v: v::DOUBLE)), {after})"
+
+
+def smooth(taps: str, n: int, beside: str = "") -> str:
+    """SQL: ``x`` has each vector and ``low``, what a symmetric filter of ``n`` taps (those of a row ``beside``) makes of it."""
+    low = f"list_transform(range(0, 64), lambda i: list_sum(list_transform(range(1, {n + 1}), lambda j: ({taps})[j] * ext[i + j])))"
+    return f"x AS (SELECT vec_id // {WIDTH} AS win, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e, {low} AS low FROM (SELECT vec_id, embedding, {reflected(n // 2)} AS ext{', taps' if beside else ''} FROM embeddings{beside}))"
+
+
+FIVE = smooth("[" + ", ".join(f"{t}::DOUBLE" for t in TAPS) + "]", 5)
+MAD = lambda l: f"list_aggregate(list_transform({l}, lambda v: abs(v - list_aggregate({l}, 'median'))), 'median')"  # noqa: E731, E741
+NOISE = f"""{FIVE}, r0 AS (SELECT win, vec_id, low, list_transform(range(1, 65), lambda i: e[i] - low[i]) AS rest FROM x),
+r AS (SELECT win, vec_id, {MAD("rest")} / {MAD("low")} AS ratio FROM r0),
+rm AS (SELECT win, quantile_cont(ratio, 0.5) AS med, quantile_cont(ratio, 0.75) - quantile_cont(ratio, 0.25) AS iqr FROM r GROUP BY win),
+rz AS (SELECT win, vec_id, (ratio - med) / (0.7413 * iqr) AS z FROM r JOIN rm USING (win))"""
+
+
+def noise(x: np.ndarray) -> np.ndarray:
+    return K.noise_z(x, K.zero_phase(x, np.array(TAPS)))
+
+
+@query(f"WITH {NOISE} SELECT win, vec_id, round(z, 6) + 0.0 AS z FROM rz")
+def hf_noise(spark, sf):
+    return by_window(spark, sf, lambda x, _: {"z": noise(x).round(6) + 0.0}, "z double")
+
+
+def found_bad(x: np.ndarray) -> dict[str, list[int]]:
+    """Lists of the detectors, at limits that these vectors pass or fail."""
+    found = {"deviation": np.flatnonzero(np.abs(K.spread_z(x)) > 2), "noise": np.flatnonzero(noise(x) > 1), "correlation": np.flatnonzero(K.neighbours(x) < NEAR)}
+    found = {k: v.tolist() for k, v in found.items()}
+    return found | {"snr": K.noisy_and_apart(found)}
+
+
+@query(f"WITH {NOISE}, {TALL}, {corr('q', '0')} SELECT win, vec_id, rz.z > 1 AND r98 < {NEAR} AS bad FROM rz JOIN q USING (win, vec_id)")
 def snr_bad(spark, sf):
-    return robust(spark, sf).where("abs(z) > 1").select("label", "vec_id").intersect(correlations(spark, sf).where("r98 < 0.35").select("label", "vec_id"))
+    return by_window(spark, sf, lambda x, _: {"bad": among(found_bad(x)["snr"], len(x))}, "bad boolean")
 
 
-@query(f"WITH {ROBUST}, {CORR[len(TALL) + 2:]} SELECT label, vec_id FROM z WHERE abs(z) > 2 UNION SELECT label, vec_id FROM q WHERE r98 < 0.3")
-def bads_union(spark, sf):
-    return robust(spark, sf).where("abs(z) > 2").select("label", "vec_id").union(correlations(spark, sf).where("r98 < 0.3").select("label", "vec_id")).distinct()
+LISTS = f"{NOISE}, {ROBUST}, {corr('q', '0')}, u AS (SELECT win, vec_id, abs(z.z) > 2 OR rz.z > 1 OR r98 < {NEAR} AS bad FROM z JOIN rz USING (win, vec_id) JOIN q USING (win, vec_id))"
 
 
-BCR = f"""{ROBUST}, f AS (SELECT label, vec_id FROM t GROUP BY ALL HAVING stddev_pop(v) < 0.123),
-b AS (SELECT label, count(*) AS n_bad FROM (SELECT label, vec_id FROM f UNION ALL SELECT label, vec_id FROM z WHERE abs(z) > 2) GROUP BY label),
-r AS (SELECT label, coalesce(n_bad, 0) AS n_bad, coalesce(n_bad, 0) / n AS bcr FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) LEFT JOIN b USING (label))"""
+@query(f"WITH {LISTS} SELECT win, vec_id, bad FROM u")
+def bads_union(spark, sf):
+    return by_window(spark, sf, lambda x, _: {"bad": among(K.union(found_bad(x)), len(x))}, "bad boolean")
 
 
-def bad_ratio(spark, sf) -> DataFrame:
-    """Lists are joined end to end, so a channel found twice counts twice."""
-    flat = tall(spark, sf).groupBy("label", "vec_id").agg(F.stddev_pop("v").alias("sd")).where("sd < 0.123").select("label", "vec_id")
-    bad = flat.unionAll(robust(spark, sf).where("abs(z) > 2").select("label", "vec_id")).groupBy("label").agg(F.count("*").alias("n_bad"))
-    n = table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    return n.join(bad, "label", "left").select("label", F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad"), (F.coalesce("n_bad", F.lit(0)) / F.col("n")).alias("bcr"))
+BCR = f"{LISTS}, {DISCRETE}, b AS (SELECT win, sum(bad::INT + few::INT)::BIGINT AS n_bad, count(*) AS n FROM u JOIN d USING (win, vec_id) GROUP BY win)"
 
 
-@query(f"WITH {BCR} SELECT label, n_bad, round(bcr, 6) AS bcr FROM r")
+@query(f"WITH {BCR} SELECT win, round(n_bad / n, 6) AS bcr FROM b")
 def bad_channel_ratio(spark, sf):
-    return bad_ratio(spark, sf).select("label", "n_bad", F.round("bcr", 6).alias("bcr"))
+    return one_a_window(by_window(spark, sf, lambda x, _: {"bcr": round(K.bad_ratio(few_values(x), found_bad(x), len(x)), 6)}, "bcr double"), "bcr")
 
 
-GATE = "(oha < 0.8 AND thv < 0.9 AND chv < 0.5 AND bcr < 0.8 AND n_chans >= 10)"
+LIMITS = {"oha": 0.115, "thv": 0.6, "chv": 0.6, "bcr": 0.9}
 
 
-@query(f"WITH {AMPLITUDES}, {BCR[len(TALL) + 2:]} SELECT label, {GATE} AS passed FROM a JOIN r USING (label)")
+@query(f"WITH {AMPLITUDES}, {BCR.replace(TALL + ', ', '')} SELECT win, {' AND '.join(f'{k} < {v}' for k, v in LIMITS.items() if k != 'bcr')} AND n_bad / n < {LIMITS['bcr']} AS passed FROM a JOIN b USING (win)")
 def quality_gate(spark, sf):
-    a = amplitudes(spark, sf).join(bad_ratio(spark, sf), "label")
-    return a.select("label", (Q.passes((0.8, 0.9, 0.5, 0.8)) & (F.col("n_chans") >= 10)).alias("passed"))
+    def kernel(x, _):
+        figures = K.amplitude_figures(x, OHA, THV, CHV) | {"bcr": K.bad_ratio(few_values(x), found_bad(x), len(x))}
+        return {"passed": K.passes(figures, LIMITS)}
+
+    return one_a_window(by_window(spark, sf, kernel, "passed boolean"), "passed")
 
 
-@query(f"WITH {TALL} SELECT label, vec_id, pos, round(v - avg(v) OVER (PARTITION BY label, pos), 6) + 0.0 AS v FROM t")
+@query(f"WITH {TALL} SELECT win, vec_id, pos, round(v - avg(v) OVER (PARTITION BY win, pos), 6) + 0.0 AS v FROM t")
 def average_reference(spark, sf):
-    t = tall(spark, sf)
-    return t.select("label", "vec_id", F.col("pos").cast("long").alias("pos"), (F.round(F.col("v") - F.avg("v").over(Window.partitionBy("label", "pos")), 6) + 0.0).alias("v"))
+    return samples(by_window(spark, sf, lambda x, _: {"y": list(K.average_reference(x))}, "y array<double>"))
 
 
-@query(f"WITH {TALL} SELECT label, vec_id, round(regr_slope(v, pos), 6) + 0.0 AS slope, round(regr_intercept(v, pos), 6) + 0.0 AS intercept FROM t GROUP BY ALL")
+@query(f"WITH {TALL}, f AS (SELECT vec_id, regr_slope(v, pos) AS a, regr_intercept(v, pos) AS b FROM t GROUP BY vec_id) SELECT win, vec_id, pos, round(v - a * pos - b, 6) + 0.0 AS v FROM t JOIN f USING (vec_id)")
 def detrend_ols(spark, sf):
-    return tall(spark, sf).groupBy("label", "vec_id").agg((F.round(F.regr_slope("v", "pos"), 6) + 0.0).alias("slope"), (F.round(F.regr_intercept("v", "pos"), 6) + 0.0).alias("intercept"))
+    return samples(by_window(spark, sf, lambda x, _: {"y": list(K.detrend(x, rounds=1))}, "y array<double>"))
 
 
 @query(
-    f"WITH {TALL}, k(d, w) AS (VALUES {', '.join(f'({i - 2}, {w}::DOUBLE)' for i, w in enumerate(TAPS))}) SELECT t.vec_id, t.pos - d AS pos, round(sum(v * w), 6) + 0.0 AS v FROM t, k WHERE t.pos - d BETWEEN 2 AND 61 GROUP BY ALL"
+    f"""WITH {TALL}, f AS (SELECT vec_id, regr_slope(v, pos) AS a, regr_intercept(v, pos) AS b FROM t GROUP BY vec_id),
+r AS (SELECT win, vec_id, pos, v, v - a * pos - b AS left FROM t JOIN f USING (vec_id)), s AS (SELECT vec_id, 1.5 * stddev_pop("left") AS most FROM r GROUP BY vec_id),
+k AS (SELECT vec_id, regr_slope(v, pos) AS a, regr_intercept(v, pos) AS b FROM r JOIN s USING (vec_id) WHERE abs("left") <= most GROUP BY vec_id)
+SELECT win, vec_id, pos, round(v - a * pos - b, 6) + 0.0 AS v FROM t JOIN k USING (vec_id)""".replace(" AS left FROM", ' AS "left" FROM')
 )
+def detrend_robust(spark, sf):
+    return samples(by_window(spark, sf, lambda x, _: {"y": list(K.detrend(x, rounds=2, outlier=1.5))}, "y array<double>"))
+
+
+@query(f"WITH {FIVE} SELECT win, vec_id, unnest(range(0, 64)) AS pos, unnest(list_transform(low, lambda v: round(v, 6) + 0.0)) AS v FROM x")
 def fir_filter(spark, sf):
-    e = table(spark, sf, "embeddings")
-    x = F.col("embedding")
-    y = F.transform(F.sequence(F.lit(2), F.lit(61)), lambda i: sum((F.get(x, i + (j - 2)).cast("double") * w for j, w in enumerate(TAPS)), F.lit(0.0)))
-    return e.select("vec_id", F.posexplode(y).alias("p", "v")).select("vec_id", (F.col("p") + 2).cast("long").alias("pos"), (F.round("v", 6) + 0.0).alias("v"))
+    return samples(by_window(spark, sf, lambda x, _: {"y": list(K.zero_phase(x, np.array(TAPS)))}, "y array<double>"))
+
+
+#: SQL for the taps of a low-pass at 11.25 of 64 Hz: a sinc under a Hamming window, which sums to 1.
+SINC = "list_transform(range(0, 85), lambda i: CASE WHEN i = 42 THEN 1.0 ELSE sin(pi() * 0.3515625 * (i - 42)) / (pi() * 0.3515625 * (i - 42)) END * (0.54 - 0.46 * cos(2 * pi() * i / 84)))"
+
+
+@query(f"WITH w AS (SELECT {SINC} AS raw), n AS (SELECT list_transform(raw, lambda v: v / list_sum(raw)) AS taps FROM w), {smooth('taps', 85, ' CROSS JOIN n')} SELECT win, vec_id, unnest(range(0, 64)) AS pos, unnest(list_transform(low, lambda v: round(v, 6) + 0.0)) AS v FROM x")
+def band_pass_low(spark, sf):
+    return samples(by_window(spark, sf, lambda x, _: {"y": list(K.band_pass(x, 64.0, None, 10.0))}, "y array<double>"))
 
 
 @query(
@@ -314,11 +437,13 @@ def resample_nearest(spark, sf):
     return e.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
 
 
-@query(f"WITH {TALL}, w AS (SELECT label, vec_id, 1.0 / (1 + row_number() OVER (PARTITION BY label ORDER BY vec_id)) AS w FROM embeddings) SELECT label, pos, round(sum(v * w) / sum(w), 6) + 0.0 AS v FROM t JOIN w USING (label, vec_id) GROUP BY ALL")
+@query(f"WITH {TALL}, w AS (SELECT vec_id, 1.0 / (1 + row_number() OVER (PARTITION BY vec_id // {WIDTH} ORDER BY vec_id)) AS w FROM embeddings) SELECT win, pos, round(sum(v * w) / sum(w), 6) + 0.0 AS v FROM t JOIN w USING (vec_id) GROUP BY ALL")
 def spatial_interpolate(spark, sf):
-    w = table(spark, sf, "embeddings").select("label", "vec_id", (1.0 / (1 + F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))).alias("w"))
-    t = tall(spark, sf).join(w, ["label", "vec_id"])
-    return t.groupBy("label", F.col("pos").cast("long").alias("pos")).agg((F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6) + 0.0).alias("v"))
+    def kernel(x, _):
+        w = 1 / (2.0 + np.arange(len(x)))
+        return {"y": list(np.repeat(K.interpolated(x, (w / w.sum())[None]), len(x), axis=0))}
+
+    return one_a_window(by_window(spark, sf, kernel, "y array<double>"), "vec_id", "y").transform(samples).drop("vec_id")
 
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS chs, count(*) AS n_times FROM events GROUP BY user_id")
@@ -351,93 +476,116 @@ def global_index_lookup(spark, sf):
     return c.select("conv_id", (F.col("first") + F.col("local_idx")).alias("global_idx"), "local_idx")
 
 
-CHANNELS = "SELECT label, vec_id % 12 AS ch, min_by(embedding, vec_id) AS e FROM embeddings GROUP BY ALL"
+@query(
+    """WITH b AS (SELECT DISTINCT (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS batch FROM documents), t AS (SELECT DISTINCT doc_id // 3 AS idx FROM documents WHERE doc_id % 7 = 0),
+f AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS n FROM (SELECT unnest(range(1, 1 + (SELECT count(*) FROM b) + (SELECT count(*) FROM t))) AS i) WHERE i NOT IN (SELECT idx FROM t))
+SELECT batch, 'data_' || i AS name FROM f JOIN b ON n = batch"""
+)
+def output_names(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    b = L.batches(docs, ["doc_id"], 10).select("batch").distinct()
+    taken = docs.where("doc_id % 7 = 0").select(F.floor(F.col("doc_id") / 3).alias("idx")).distinct()
+    return L.zipped(b, L.free_names(spark, b.count(), taken, "data_"), ["batch"], ["idx"]).select("batch", "name")
 
 
-def grid(spark, sf) -> DataFrame:
-    """Windows with channels 0 to 9 in order, zeros where one is missing; others are dropped."""
-    e = table(spark, sf, "embeddings").groupBy("label", (F.col("vec_id") % 12).alias("ch")).agg(F.min_by("embedding", "vec_id").alias("e"))
-    e = e.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("ch", F.transform("e", lambda v: v.cast("double")).alias("e")))).alias("m"))
-    rows = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")), lambda c: F.try_element_at("m", c))
-    return e.select("label", C.zero_filled(rows, F.lit(64)).alias("data"))
+#: Raw names of twelve channels; the eighth to tenth are no target channels.
+RAW_NAMES = ["EEG FP1-REF", "EEG F7-LE", "Fz.", "EEG T3-REF", "C3..", "EEG CZ-REF", "P7..", "EEG O1-REF", "EEG A1-REF", "PHOTIC-REF", "EEG EKG1-REF", "EEG O2-REF"]
+TARGETS = ["Fp1", "F7", "Fz", "T7", "C3", "Cz", "T5", "O1", "Pz", "O2"]
+#: The raw channel of each target.
+SOURCES = [0, 1, 2, 3, 4, 5, 6, 7, None, 11]
 
 
-@query(
-    f"""WITH g AS (SELECT label, ch, e FROM (SELECT DISTINCT label FROM embeddings) CROSS JOIN (SELECT unnest(range(0, 10)) AS ch) LEFT JOIN ({CHANNELS}) USING (label, ch))
-SELECT label, ch, unnest(range(0, 96)) AS pos, unnest(list_transform(range(0, 96), lambda i: coalesce(e[least(floor(i * (64.0 / 96.0))::INT, 63) + 1]::DOUBLE, 0.0)::FLOAT)) AS v FROM g"""
-)
-def pipeline_base(spark, sf):
-    out = grid(spark, sf).select("label", F.transform("data", lambda ch: F.transform(C.resampled(ch, 64.0, 96.0), lambda v: v.cast("float"))).alias("data"))
-    out = out.select("label", F.posexplode("data").alias("ch", "row")).select("label", F.col("ch").cast("long").alias("ch"), F.posexplode("row").alias("pos", "v"))
-    return out.select("label", "ch", F.col("pos").cast("long").alias("pos"), "v")
+def recordings(spark, sf, names: list[str]) -> DataFrame:
+    """Vectors in the order of their ids as channels of recordings, as many to each as there are names."""
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / len(names)).alias("rec"), "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    e = e.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("c"))
+    all_names = F.array(*map(F.lit, names))
+    return e.select(
+        F.col("rec").cast("string").alias("path"), F.lit(64.0).alias("sfreq"), F.lit(64).cast("long").alias("n_times"), F.slice(all_names, F.lit(1), F.size("c")).alias("ch_names"),
+        F.transform("c", lambda x: F.lit("eeg")).alias("ch_types"), F.transform("c", lambda x: x["x"]).alias("data"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"),
+    )
 
 
-@query(
-    f"""WITH {AMPLITUDES}, {BCR[len(TALL) + 2:]}, ok AS (SELECT label FROM a JOIN r USING (label) WHERE {GATE}),
-y AS (SELECT label, vec_id, pos, v - avg(v) OVER (PARTITION BY label, pos) AS v FROM t JOIN ok USING (label)),
-i AS (SELECT unnest(range(0, 96)) AS o), j AS (SELECT o, least(floor(o * (64.0 / 96.0))::INT, 63) AS s FROM i)
-SELECT label, vec_id, o AS pos, round(v, 6) + 0.0 AS v FROM y JOIN j ON y.pos = j.s"""
-)
-def pipeline_clean(spark, sf):
-    ok = quality_gate(spark, sf).where("passed").select("label")
-    t = tall(spark, sf).join(ok, "label", "left_semi")
-    t = t.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("label", "pos")))
-    rows = t.groupBy("label", "vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("x"))
-    out = rows.select("label", "vec_id", F.posexplode(C.resampled(F.col("x"), 64.0, 96.0)).alias("pos", "v"))
-    return out.select("label", "vec_id", F.col("pos").cast("long").alias("pos"), (F.round("v", 6) + 0.0).alias("v"))
+def flat_rows(windows: DataFrame) -> DataFrame:
+    """rec, win_idx, ch, pos, v of windows that came through."""
+    w = P.ok(windows).select(F.col("path").cast("long").alias("rec"), F.col("win_idx").cast("long").alias("win_idx"), F.posexplode("data").alias("ch", "row"))
+    w = w.select("rec", "win_idx", F.col("ch").cast("long").alias("ch"), F.posexplode("row").alias("pos", "v"))
+    return w.select("rec", "win_idx", "ch", F.col("pos").cast("long").alias("pos"), (F.round(F.col("v").cast("double"), 6) + 0.0).alias("v"))
 
 
-def by_window(spark, sf, kernel, schema: str) -> DataFrame:
-    """A kernel on each window's channels (rows ordered by vec_id); the rate is 64, so a window is a second."""
-    import numpy as np
+RESAMPLED = "list_transform(range(0, 48), lambda i: e[w * 32 + least(floor(i * (64.0 / 96.0))::INT, 31) + 1])"
 
-    def run(pdf):
-        pdf = pdf.sort_values("vec_id")
-        x = np.array([np.asarray(v, float) for v in pdf["embedding"]])
-        out = kernel(x, int(pdf["label"].iloc[0]))
-        return pdf[["label", "vec_id"]].assign(**out)
 
-    return table(spark, sf, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInPandas(run, "label int, vec_id long, " + schema)
+@query(
+    f"""WITH m(ch, src) AS (VALUES {', '.join(f"({i}, {'NULL' if s is None else s})" for i, s in enumerate(SOURCES))}),
+g AS (SELECT rec, w, ch, src FROM (SELECT DISTINCT vec_id // 12 AS rec FROM embeddings) CROSS JOIN (SELECT unnest([0, 1]) AS w) CROSS JOIN m),
+f AS (SELECT rec, w AS win_idx, ch, CASE WHEN e IS NULL THEN list_transform(range(0, 48), lambda i: 0.0) ELSE list_transform({RESAMPLED}, lambda v: round(v::DOUBLE, 6) + 0.0) END AS y
+FROM g LEFT JOIN (SELECT vec_id // 12 AS rec, vec_id % 12 AS src, embedding AS e FROM embeddings) USING (rec, src))
+SELECT rec, win_idx::BIGINT AS win_idx, ch::BIGINT AS ch, unnest(range(0, 48)) AS pos, unnest(y) AS v FROM f"""
+)
+def pipeline_base(spark, sf):
+    """Names, montage, windows, zero-fill, order and resampling by the base profile."""
+    return flat_rows(P.preprocess(recordings(spark, sf, RAW_NAMES), PipelineConfig(clean=False, window_length=0.5, sfreq=96.0, channels=tuple(TARGETS))))
+
 
+#: Ten channels, and the order in which a run asks for them.
+TEN = ["O2", "Fp1", "F7", "Fz", "F8", "C3", "Cz", "C4", "Pz", "O1"]
+ASKED = sorted(TEN)
 
-def places(n: int):
-    """``n`` electrode places, further ones a little off those before."""
-    import numpy as np
 
-    from ripplebed.functions.montage import positions
+@query(
+    f"""WITH a AS (SELECT vec_id // 10 AS rec, vec_id % 10 AS src, unnest(range(0, 64)) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings),
+r AS (SELECT rec, src, pos, v - avg(v) OVER (PARTITION BY rec, pos) AS v FROM a), m(ch, src) AS (VALUES {', '.join(f"({i}, {TEN.index(c)})" for i, c in enumerate(ASKED))}),
+j AS (SELECT w, i, w * 32 + least(floor(i * (64.0 / 96.0))::INT, 31) AS pos FROM (SELECT unnest([0, 1]) AS w) CROSS JOIN (SELECT unnest(range(0, 48)) AS i))
+SELECT rec, w::BIGINT AS win_idx, ch::BIGINT AS ch, i AS pos, round(v::FLOAT::DOUBLE, 6) + 0.0 AS v FROM r JOIN m USING (src) JOIN j USING (pos)"""
+)
+def pipeline_clean(spark, sf):
+    """Names, montage, windows, and those cleaning stages that SQL can follow, in the kernel."""
+    cfg = PipelineConfig(window_length=0.5, sfreq=96.0, channels=tuple(ASKED), stages=("average_reference", "missing", "order", "resample"))
+    return flat_rows(P.preprocess(recordings(spark, sf, [f"EEG {c.upper()}-REF" for c in TEN]), cfg))
 
-    known = np.array(list(positions().values()))
-    out = known[np.arange(n) % len(known)] + 0.01 * (np.arange(n) // len(known))[:, None]
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
+def places(n: int) -> np.ndarray:
+    known = positions()
+    return np.array([known[c] for c in [*CHANNELS, "Poz"]][:n])
 
-@query(None)
+
+@query(f"WITH {TALL} SELECT win, vec_id, round(sqrt(avg(power(v + 0.5 * sin(pi() / 2 * pos), 2))), 6) AS rms, true AS weaker FROM t GROUP BY ALL")
 def line_noise_dss(spark, sf):
-    from ripplebed.functions import kernels as K
+    """A line at 16 of 64 Hz is added to all channels; what is left at its frequency must be under a third."""
+
+    def kernel(x, _):
+        x = x + 0.5 * np.sin(np.pi / 2 * np.arange(x.shape[1]))
+        at_line = lambda y: np.abs(np.fft.rfft(y)[:, 16])
+        return {"rms": np.sqrt((x**2).mean(axis=1)).round(6), "weaker": at_line(K.remove_line(x, 64.0, 16.0)) < at_line(x) / 3}
 
-    return by_window(spark, sf, lambda x, _: {"rms": (K.remove_line(x, 64.0, 16.0) ** 2).mean(axis=1) ** 0.5}, "rms double")
+    return by_window(spark, sf, kernel, "rms double, weaker boolean")
 
 
-@query(None)
+@query(f"SELECT vec_id // {WIDTH} AS win, count(*) AS n_components, true AS consistent FROM embeddings GROUP BY ALL")
 def ica_clean(spark, sf):
-    from ripplebed.functions import kernels as K
+    """The stage that takes components out: as many as channels, and channels change only if some are excluded."""
 
-    def kernel(x, label):
-        unmixing, mixing = K.infomax(x, seed=label)
-        sources = unmixing @ (x - x.mean(axis=1, keepdims=True))
-        found = K.heuristic_labels(sources, mixing, 64.0, places(len(x)), [16.0])
-        gone = [i for i, (name, p) in enumerate(found) if name not in ("brain", "other") and p > 0.7]
-        return {"n_excluded": len(gone), "rms": ((x - mixing[:, gone] @ sources[gone]) ** 2).mean(axis=1) ** 0.5}
+    def kernel(x, ids):
+        cfg = PipelineConfig(line_freqs=(16.0,))
+        s = Signal(x.copy(), [*CHANNELS, "Poz"][: len(x)], 64.0, int(ids[0]), cfg)
+        components(s)
+        told = s.told
+        sure = all(told["ica_labels"][i] not in cfg.included_components and told["ica_proba"][i] > 0.7 for i in told["ica_excluded"])
+        kept = [n for n in [*CHANNELS, "Poz"][: len(x)] if n not in told["bad_chs"]]
+        same = s.names == kept and (bool(told["ica_excluded"]) or np.allclose(s.x, x[[i for i, n in enumerate([*CHANNELS, "Poz"][: len(x)]) if n in kept]], atol=1e-6))
+        return {"n_components": len(told["ica_labels"]), "consistent": bool(sure and same and np.isfinite(s.x).all())}
 
-    return by_window(spark, sf, kernel, "n_excluded long, rms double")
+    return one_a_window(by_window(spark, sf, kernel, "n_components long, consistent boolean"), "n_components", "consistent")
 
 
-@query(None)
+@query(f"SELECT vec_id // {WIDTH} AS win, vec_id, vec_id % {WIDTH} = 7 AS bad FROM embeddings")
 def ransac_bad(spark, sf):
-    from ripplebed.functions import kernels as K
+    """Three vectors make a smooth field over the head, which the others predict; the eighth channel has its own content."""
 
-    def kernel(x, label):
-        bad = set(K.ransac_bad(x, 64.0, places(len(x)), seed=label, window_s=1.0))
-        return {"bad": [i in bad for i in range(len(x))]}
+    def kernel(x, ids):
+        field = places(len(x)) @ x[:3]
+        field[7] = x[7]
+        return {"bad": among(K.ransac_bad(field, 64.0, places(len(x)), seed=int(ids[0]), window_s=1.0), len(x))}
 
     return by_window(spark, sf, kernel, "bad boolean")
