@@ -2,60 +2,82 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import gc
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_FOLDERS: dict[str, str] = {}
+from ripplebed.operators.tables import new_path, remove, shared_dir, write_table
 
+__all__ = ["new_path", "remove", "shared_dir", "write_table"]
+T = TypeVar("T")
+#: Bytes of an Arrow batch from the JVM to a Python worker.
+ARROW_BYTES = 8 << 20
+_COLLECTED: list[list[str]] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (in
-    tests on one machine) a temporary folder is made, and removed at exit.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDERS:
-        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="ripplebed-")
-        atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
-    return "file://" + _OWN_FOLDERS[app]
 
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that are staged inside."""
+    paths: list[str] = []
+    _COLLECTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTED.remove(paths)
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path for a new table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None, width: int = 16) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: later jobs read files that outlive any executor
-    instead of computing ``df`` again.
+    instead of computing ``df`` again.  Where at most ``rows`` rows of ``width``
+    bytes come, they go into as few files as they need.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(df.sparkSession, name)
+    for paths in _COLLECTED:
+        paths.append(path)
+    return write_table(df, path, rows, width)
+
+
+def reads(df: DataFrame) -> set[str]:
+    """The folders that ``df`` reads files from."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        try:
+            roots = leaves.apply(i).relation().location().rootPaths()
+        except Py4JError:  # no table of files
+            continue
+        found |= {roots.apply(k).toString() for k in range(roots.size())}
+    return found
+
+
+def numbered_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``row``, a number of its own for each row, and all columns as ``doc``; written, so that the numbers stay."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), name)
+
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """The same rows, in a session whose Arrow batches to Python are bounded by ``ARROW_BYTES`` as well as by rows: texts may be long."""
+    conf = docs.sparkSession.conf
+    most = conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if most is None or not 0 < _bytes(most) <= ARROW_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return docs
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder through Spark's file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+def _bytes(size: str) -> int:
+    """A number of bytes as Spark writes it."""
+    digits = size.lower().rstrip("bkmgi")
+    return int(digits) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[size.lower().removeprefix(digits)[:1]]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +86,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just ``doc_id`` (long) and ``text`` (null as empty); other columns can't clash."""
-    return docs.select(
+    return bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
@@ -90,12 +112,71 @@ def with_offsets(df: DataFrame, group: list[str], bucket: str, weight: str, out:
 # --- on the workers --------------------------------------------------------
 
 
-def worker_state(name: str, make: Callable[[], object]) -> object:
-    """A value kept for the life of a Python worker, across its tasks."""
+def worker_state(name: str, make: Callable[[], T]) -> T:
+    """A value kept in a Python worker across its tasks.
+
+    A worker holds one: a task that asks for another gets room for it first, so
+    that what the operators remember does not add up over a session.
+    """
     home = sys.modules.setdefault("_ripplebed_worker", types.ModuleType("_ripplebed_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, "name", None) != name:
+        home.value, home.name = None, None
+        return_memory()
+        home.value, home.name = make(), name
+    return home.value
+
+
+def return_memory() -> None:
+    """Give what was freed back to the system, where its C library can."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+class Remembered:
+    """Values by key, within a bound in bytes: when the younger half is full it becomes the older one, which is forgotten."""
+
+    #: Bytes of an entry beside the key's and the value's own.
+    ENTRY = 200
+
+    def __init__(self, most_bytes: int):
+        self.half, self.size = most_bytes // 2, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, keys: list) -> list:
+        """The values of keys, None where there is none."""
+        out = list(map(self.young.get, keys))
+        if None in out:
+            found = [(i, x) for i, had in enumerate(out) if had is None and (x := self.old.get(keys[i])) is not None]
+            for i, x in found:
+                out[i] = x
+            self.add([(keys[i], x) for i, x in found])
+        return out
+
+    def add(self, entries: list[tuple]) -> None:
+        for key, value in entries:
+            if self.size > self.half:
+                self.old, self.young, self.size = self.young, {}, 0
+            self.young[key] = value
+            self.size += len(key) + len(value) + self.ENTRY
+
+
+def broadcast(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives the value on the workers, which need no copy of this package."""
+    from pyspark import cloudpickle
+
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> object:
+        import pickle
+
+        return pickle.loads(held.value)
+
+    return get
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -104,6 +185,18 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(kind).to_pylist()
 
 
+def text_of(batch: pa.RecordBatch, column: int) -> pa.Array:
+    """A column, or its field ``text`` if it holds whole rows; nulls are empty."""
+    import pyarrow.compute as pc
+
+    texts = batch.column(column)
+    if pa.types.is_struct(texts.type):
+        texts = pc.struct_field(texts, "text")
+        if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+            texts = texts.cast(pa.string())
+    return pc.fill_null(texts, "" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts in each come to about ``most_bytes``; a longer text stands alone."""
     for batch in batches:
@@ -111,7 +204,7 @@ def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20,
             continue
         import pyarrow.compute as pc
 
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.binary_length(text_of(batch, column)).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0

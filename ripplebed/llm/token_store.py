@@ -9,7 +9,8 @@ one document's ids, or only the metadata, without reading the rest.
 
 Defined results: a null text has the end id alone; a null doc_id sorts first and
 stays null; rows that share a doc_id each keep their own ids; an empty table
-makes an empty store; other columns of the input are ignored.
+makes an empty store; texts of any length are encoded whole, a long one as a batch of its
+own; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplebed.llm.base import documents, id_and_text, new_path, with_offsets
-from ripplebed.llm.token_ids import byte_bpe_path, encoder
+from ripplebed.llm.base import documents, id_and_text, new_path, small_batches, with_offsets
+from ripplebed.llm.token_ids import BATCH_BYTES, byte_bpe_path, encoder
 
 #: Parquet settings: delta encoding comes with the second writer version, for columns without a dictionary.
 LAYOUT = {
@@ -67,20 +68,15 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, tokenizer: str | None
         from pyspark import TaskContext
 
         part, place = TaskContext.get().partitionId(), 0
-        enc, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, batch.num_rows, 256):
-                ids = [enc.encode(t) + end for t in texts.slice(at, 256).to_pylist()]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                ends = np.cumsum(n)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), pa.array(np.full(len(ids), part, np.int32)), pa.array(place + ends - n), pa.array(n), rows],
-                    names=["doc_id", "part", "place", "n_tokens", "ids"],
-                )
-                place += int(ends[-1])
+        enc = encoder(tokenizer)
+        for batch in small_batches(batches, BATCH_BYTES):
+            ids, starts = enc.encode_ended(batch.column(1), end_id)
+            rows = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(place + starts[:-1]), pa.array(np.diff(starts)), rows],
+                names=["doc_id", "part", "place", "n_tokens", "ids"],
+            )
+            place += int(starts[-1])
 
     rows = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     made = rows.mapInArrow(encode, "doc_id long, part int, place long, n_tokens long, ids array<int>")
