@@ -5,15 +5,19 @@ that are very short or mostly repetition.  Beyond it, five scores (shares that
 grow with junk) are cut off where labelled documents allow it: for each length
 class and score, cutoffs are tried from the loosest to the tightest, and the
 tightest one is taken whose exact binomial test still shows, before any failed,
-that at most ``MOST_REJECTED`` of the good documents lie above it.  The level
-``RISK`` is divided by the number of classes and scores (Bonferroni); along one
+that at most a fifth of ``MOST_REJECTED`` (there are five scores) of the good
+documents lie above it.  A document falls by any of the scores, so of the good
+documents of a length class that pass the base rule at most ``MOST_REJECTED`` are
+rejected: with confidence 1 - ``RISK`` this holds for all classes at once.  The level
+is ``RISK`` divided by the number of classes and scores (Bonferroni); along one
 sequence the fixed order needs no further correction.  Without enough labelled
 documents no cutoff passes and only the base rule acts.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null doc_id has no label but gets its verdict; rows that share a doc_id each get
-a row (the pipeline keeps them if any is kept); labels that disagree count as
-bad; an empty table gives no rows, and empty labels give no cutoffs.
+theirs; labels that disagree count as bad; a score that lies on a cutoff is kept;
+texts may be of any length; an empty table gives no rows, and empty labels give no
+cutoffs; other columns are ignored, and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ CUTOFFS = {
     "dup_lines_a_line": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4),
     "chars_a_word": (40.0, 30.0, 25.0, 20.0, 15.0),
 }
+#: What each score may reject.
+EACH = MOST_REJECTED / len(CUTOFFS)
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -77,12 +83,17 @@ def _covered(hashes: Column) -> Column:
 
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id and the counts over the whole text."""
-    d = id_and_text(docs)
-    d = d.select("doc_id", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
+    return _counted(id_and_text(docs))
+
+
+def _counted(d: DataFrame) -> DataFrame:
+    """The columns of ``d`` but text, and the counts."""
+    passed = [c for c in d.columns if c != "text"]
+    d = d.select(*passed, "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
     d = d.withColumn("hashes", _let(F.col("words"), _windows))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
-        "doc_id",
+        *passed,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _occurrences(F.col("text"), SYMBOLS).alias("n_symbols"),
@@ -92,7 +103,7 @@ def counts(docs: DataFrame) -> DataFrame:
         (F.size(F.array_distinct("hashes")) < F.size("hashes")).alias("repeats"),
     )
     return d.select(
-        "doc_id",
+        *passed,
         "n_words",
         "word_chars",
         "n_symbols",
@@ -153,7 +164,10 @@ def tail(n: Column, k: Column, p: float) -> Column:
 
 
 def learned_cutoffs(scores: DataFrame, labels: DataFrame, most_rejected: float = MOST_REJECTED, risk: float = RISK) -> DataFrame:
-    """length_class and a cutoff for each score, null where none passed; at most one row per class."""
+    """length_class and a cutoff for each score, null where none passed; at most one row per class.
+
+    ``most_rejected`` bounds the share of good documents of a class that fall by any score, each of which gets an equal part of it.
+    """
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = scores.where(~F.col("base_failed")).join(good, "doc_id")
     names = [(s, i) for s, cuts in CUTOFFS.items() for i in range(len(cuts))]
@@ -167,25 +181,30 @@ def learned_cutoffs(scores: DataFrame, labels: DataFrame, most_rejected: float =
             passed = passed & (F.col(f"{s}_{i}p") <= level)
             best = F.when(passed, F.lit(cut)).otherwise(best)
         chosen.append(best.alias(f"cut_{s}"))
-    tested = totals.select("length_class", *(tail(F.col("n"), F.col(f"{s}_{i}"), most_rejected).alias(f"{s}_{i}p") for s, i in names))
+    tested = totals.select("length_class", *(tail(F.col("n"), F.col(f"{s}_{i}"), most_rejected / len(CUTOFFS)).alias(f"{s}_{i}p") for s, i in names))
     return tested.select("length_class", *chosen)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The counts, ``base_failed`` and ``kept`` of every document."""
-    scores = scored(staged(counts(docs), "quality"))
+    judged = _judged(scored(staged(counts(docs), "quality")), labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _judged(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``scores`` and ``kept``."""
     cuts = F.broadcast(learned_cutoffs(scores, labels))  # at most one row for each of the fixed classes
     rejected = F.lit(False)
     for s in CUTOFFS:
         rejected = rejected | F.coalesce(F.col(s) > F.col(f"cut_{s}"), F.lit(False))
-    judged = scores.join(cuts, "length_class", "left")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~(F.col("base_failed") | rejected)).alias("kept"))
+    return scores.join(cuts, "length_class", "left").withColumn("kept", ~(F.col("base_failed") | rejected))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of the documents that are kept."""
-    kept = verdicts(docs, labels).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["_kept_id"], "left_semi")
+    """The rows of the documents that are kept; each row goes along with its own scores, whatever its doc_id."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    told = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return _judged(scored(staged(_counted(told), "quality")), labels).where("kept").select("doc.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,8 +219,8 @@ def _sql() -> str:
         for i, cut in enumerate(cuts):
             tests.append(f"count(*) FILTER (WHERE {s} > {cut}) AS {s}_{i}")
         p = lambda i, s=s: (
-            f"(CASE WHEN {s}_{i} > n * {MOST_REJECTED} THEN 1.0 ELSE list_sum(list_transform(range(0, {s}_{i} + 1), lambda j: "
-            f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({MOST_REJECTED}) + (n - j) * ln(1 - {MOST_REJECTED})))) END <= {level})"
+            f"(CASE WHEN {s}_{i} > n * {EACH} THEN 1.0 ELSE list_sum(list_transform(range(0, {s}_{i} + 1), lambda j: "
+            f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({EACH}) + (n - j) * ln(1 - {EACH})))) END <= {level})"
         )
         whens = " ".join(f"WHEN {' AND '.join(p(k) for k in range(i + 1))} THEN {cuts[i]}" for i in reversed(range(len(cuts))))
         picks.append(f"CASE {whens} END AS cut_{s}")
