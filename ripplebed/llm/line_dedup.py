@@ -9,8 +9,9 @@ and all others go.
 
 Defined results: lines without a word are never removed; a null text has no lines;
 a null site counts as the site with an empty name; a null doc_id comes before all
-others and its row is cleaned too; rows equal in id and text are cleaned alike; an empty table
-gives no rows; other columns are ignored.  Lines are told apart by 64-bit hashes.
+others and its row is cleaned too; rows equal in id and text are cleaned alike; texts and
+lines may be of any length; an empty table gives no rows; other columns are ignored.
+Lines are told apart by 64-bit hashes, the texts of one doc_id by another.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ MIN_SITES = 5
 LG_K = 12
 #: Share of MIN_SITES by which an estimate may miss it and still be counted exactly.
 BAND = 0.25
+#: A line that makes up more than one of so many lines is joined by broadcast, of which there are at most as many.
+HOT = 1000
 
 
 def _rows(docs: DataFrame, site: str) -> DataFrame:
@@ -35,17 +38,26 @@ def _rows(docs: DataFrame, site: str) -> DataFrame:
     ).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
+def by_line(lines: DataFrame, chosen: DataFrame, total: int) -> DataFrame:
+    """``lines`` with the columns of ``chosen`` (line, n and others), where the occurrences of no line come together in one task."""
+    often = F.col("n") * HOT > total
+    hot = F.broadcast(chosen.where(often))
+    rest = lines.join(hot.select("line"), "line", "left_anti").join(chosen.where(~often), "line")
+    return lines.join(hot, "line").unionByName(rest)
+
+
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K) -> DataFrame:
-    """line and its ``first`` occurrence, for lines on at least ``min_sites`` sites; ``lines`` has doc_id, row, pos, line, site."""
+    """line, its ``first`` occurrence and their number ``n``, for lines on at least ``min_sites`` sites; ``lines`` has doc_id, row, pos, line, site."""
     sketched = lines.groupBy("line").agg(
         F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "pos")).alias("first")
     )
     # A line can't be on more sites than it occurs.
-    sketched = staged(sketched.where(F.col("n") >= min_sites).select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
+    sketched = staged(sketched.where(F.col("n") >= min_sites).select("line", "first", "n", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
     near = F.abs(F.col("sites") - min_sites) <= max(1.0, band * min_sites)
-    exact = lines.join(sketched.where(near).select("line", "first"), "line").groupBy("line").agg(F.countDistinct("site").alias("sites"), F.first("first").alias("first"))
-    sure = sketched.where(~near & (F.col("sites") > min_sites)).select("line", "first")
-    return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("line", "first"))
+    counted = by_line(lines.select("line", "site"), sketched.where(near).select("line", "n"), lines.count())
+    exact = counted.groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
+    sure = sketched.where(~near & (F.col("sites") > min_sites))
+    return sure.unionByName(sketched.join(exact, "line", "left_semi")).select("line", "first", "n")
 
 
 def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -54,10 +66,12 @@ def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     lines = rows.select("doc_id", "row", "site", F.posexplode(F.split("text", "\n")).alias("pos", "body"))
     lines = lines.where(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "row", "site", "pos", F.xxhash64(F.regexp_replace("body", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).alias("line"))
     lines = staged(lines, "lines")
-    spread = spread_lines(lines, min_sites)
-    gone = lines.join(spread, "line").where(~((F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))))
-    gone = gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    cut = rows.select("doc_id", "row", F.split("text", "\n").alias("all")).join(gone, "row", "left")
+    spread = staged(spread_lines(lines, min_sites), "spread-lines")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))
+    gone = by_line(lines.select("line", "doc_id", "row", "pos"), spread, lines.count()).where(~stays)
+    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row"))
+    cut = rows.select("doc_id", "row", F.split("text", "\n").alias("all")).join(gone, same, "left")
     # The runs of lines between those removed; each line is copied once.
     edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("all")))
     cut = cut.withColumn("edges", F.when(F.col("gone").isNotNull(), edges))
