@@ -40,16 +40,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Bytes of a written file, where the number of rows is known beforehand.
+FILE_BYTES = 16 << 20
+#: On a local file system, files without a second one of checksums; other stores know neither setting.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def write_table(df: DataFrame, path: str, rows: int | None = None, width: int = 16) -> DataFrame:
+    """Write ``df`` as Parquet and read it back; at most ``rows`` rows of ``width`` bytes go into as few files as they need."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows * width // FILE_BYTES)))
+    df.write.options(**PLAIN_FILES).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None, width: int = 16) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: later jobs read files that outlive any executor
     instead of computing ``df`` again.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, new_path(df.sparkSession, name), rows, width)
 
 
 def file_system(spark: SparkSession, path: str):
