@@ -21,6 +21,8 @@ __all__ = ["new_path", "remove", "shared_dir", "write_table"]
 T = TypeVar("T")
 #: Bytes of an Arrow batch from the JVM to a Python worker.
 ARROW_BYTES = 8 << 20
+#: Bytes of text after which a worker gives back what it freed.
+TRIM_BYTES = 4 << 20
 _COLLECTED: list[list[str]] = []
 
 
@@ -123,14 +125,16 @@ def worker_state(name: str, make: Callable[[], T]) -> T:
         home.value, home.name = None, None
         return_memory()
         home.value, home.name = make(), name
+        return_memory()
     return home.value
 
 
-def return_memory() -> None:
+def return_memory(collect: bool = True) -> None:
     """Give what was freed back to the system, where its C library can."""
     import ctypes
 
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
@@ -198,7 +202,11 @@ def text_of(batch: pa.RecordBatch, column: int) -> pa.Array:
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts in each come to about ``most_bytes``; a longer text stands alone."""
+    """Cut batches so that the texts in each come to about ``most_bytes``; a longer text stands alone.
+
+    What a batch took beside its results goes back to the system every few of them.
+    """
+    done = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -210,4 +218,8 @@ def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20,
             before = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(at, to - at)
+            done += int(ends[to - 1] - before)
+            if done >= TRIM_BYTES:
+                return_memory(collect=False)
+                done = 0
             at = to

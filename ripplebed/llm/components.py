@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplebed.llm.base import staged
+from ripplebed.llm.base import new_path, remove, write_table
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,19 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round is two joins and two aggregations over the links; rounds go on
     until the links no longer change, when every node links to its least.
     """
-    edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    spark = links.sparkSession
+
+    def written(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:
+        path = new_path(spark, "links")
+        return write_table(df, path, rows), path
+
+    edges, path = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or state["n"] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = state
-        edges = staged(_small_star(_large_star(edges).distinct()).distinct(), "links")
+        seen, last = state, path
+        # A round makes no more links than there were, and one for each node at most.
+        edges, path = written(_small_star(_large_star(edges).distinct()).distinct(), 2 * state["n"])
+        remove(spark, last)

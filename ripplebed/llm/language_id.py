@@ -13,7 +13,8 @@ most ``WINDOWS`` windows each, spread over the text.  Everything else covers all
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so
 is everything if no labelled document exists; null labels are not learned from;
 a null doc_id is not learned from either, and predicted like any other; equal texts get equal
-results; an empty table gives no rows.
+results; of equally likely languages the first by name is taken; texts may be of any length; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ripplebed.llm.base import crc_of_id, documents, small_batches, text_bytes
+from ripplebed.llm.base import bounded_batches, crc_of_id, documents, small_batches, text_bytes, text_of
 
 WINDOW = 256
 SAMPLE, LEAST, WINDOWS = 2400, 37, 4
@@ -111,13 +112,13 @@ def cut_windows(text: bytes) -> np.ndarray:
     return np.frombuffer(text.lower() + bytes(n * WINDOW - len(text)), np.uint8).reshape(n, WINDOW)
 
 
-def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def training_windows(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, most_windows: int = WINDOWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows and labels of a bounded sample of the documents that may be learned from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2))
     counted = known.groupBy("lang").count().collect()
     if not counted:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    share = max(SAMPLE / len(counted), LEAST)
+    share = max(sample / len(counted), least)
     chances = known.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counted], "lang string, chance double")
     drawn = known.join(F.broadcast(chances), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("chance") * (1 << 20)).select("lang", "text")
 
@@ -126,7 +127,7 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]
             langs, found = [], []
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 cut = cut_windows(text)
-                for i in np.unique(np.linspace(0, len(cut) - 1, WINDOWS).astype(int)):
+                for i in np.unique(np.linspace(0, len(cut) - 1, most_windows).astype(int)):
                     langs.append(lang)
                     found.append(cut[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "bytes"])
@@ -138,14 +139,16 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]
     return made, np.array([at[x] for x in table["lang"].to_pylist()], np.int64), languages
 
 
-def train(docs: DataFrame) -> ByteNetwork | None:
-    windows, labels, languages = training_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, most_windows: int = WINDOWS) -> ByteNetwork | None:
+    """A network from a sample of about ``max(sample, least * languages)`` documents; None if nothing may be learned from."""
+    windows, labels, languages = training_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample, least, most_windows)
     return fit(windows, labels, languages) if len(windows) else None
 
 
 def predict(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
-    """The columns of ``docs``, and lang_pred and score from ``text`` alone."""
-    at = docs.columns.index("text")
+    """The columns of ``docs``, and lang_pred and score from ``text`` alone, which may also be a field of the one column ``doc``."""
+    docs = bounded_batches(docs)
+    at = docs.columns.index("text" if "text" in docs.columns else "doc")
 
     def classify(texts: list[bytes | None]):
         import regex
@@ -165,7 +168,7 @@ def predict(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
 
     def run(batches):
         for batch in small_batches(batches, 1 << 20, column=at):
-            langs, scores = classify(text_bytes(batch.column(at)))
+            langs, scores = classify(text_bytes(text_of(batch, at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
@@ -173,8 +176,7 @@ def predict(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows whose language is recognised with probability ``SURE`` or more."""
-    bare = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").cast("string").alias("text"))
-    found = predict(bare, train(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= SURE))
+    found = predict(docs.select(F.struct(*docs.columns).alias("doc")), train(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= SURE))
     return found.select("doc.*")
 
 

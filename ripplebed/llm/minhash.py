@@ -16,37 +16,47 @@ give coordinate k of the signature, so two permutations make all coordinates.
    inside one component need no comparison and get none.  Members of large
    buckets bring their sets along, so only links leave such a task.
 
-With 24 bands a pair at similarity 0.85 shares no bucket with chance 2e-8, and
-falls under AGREE of 96 agreements with chance 2e-9; nothing else can lose a link.
-No group is dropped or capped: a large bucket means more blocks.
+With 24 bands a pair at similarity 0.85 shares no bucket with chance 2e-8 (at 0.8:
+3e-6), and falls under the agreements asked of its 96 coordinates with chance
+OVERLOOKED at most; nothing else can lose a link.  Thresholds below 0.8 would need
+other bands and are refused.  No group is dropped or capped: a large bucket means
+more blocks.
 
 Defined results: null and empty texts have an empty set and link with nothing; a
 text of fewer than five words is one shingle; a null doc_id takes no part in links
 and has a null component; rows that share a doc_id are one node (kept is then true
-for each of them, if for any); an empty table gives no rows; other columns are ignored.
+for each of them, if for any); texts and words may be of any length; an empty table
+gives no rows; other columns are ignored.  ``drop_near_copies`` tells rows apart by
+their place instead, so there each row without an id, or with another's id, is a node
+of its own.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplebed.llm.base import documents, id_and_text, small_batches, staged, text_bytes, worker_state
+from ripplebed.llm.base import documents, id_and_text, numbered_rows, small_batches, staged
 from ripplebed.llm.components import connected_components
+from ripplebed.llm.pretokens import word_hashes
 
 BANDS, ROWS = 24, 4
-#: Agreeing coordinates (of BANDS * ROWS) below which a pair isn't verified, for a threshold of 0.8 and of 0.85.
-AGREE = {80: 50, 85: 58}
-#: Members of a bucket in one block.
-BLOCK = 512
+#: Chance with which a pair at the threshold may have too few agreeing coordinates to be verified.
+OVERLOOKED = 2e-9
+#: Members of a bucket in one block, and hashes of their sets; a bucket has as many blocks as it takes to keep both on average.
+BLOCK, BLOCK_HASHES = 512, 512 << 10
 #: From this size on, the members of an unresolved bucket bring their full sets along and are verified where they meet.
 LARGE = 64
 #: Document ids that may be broadcast to pick the texts whose sets are needed; beyond it a join is shuffled.
 BROADCAST_IDS = 2_000_000
 
 
+# The multipliers and shifts of two public bit mixers (lowbias32 and the finisher of splitmix64).
 def _mix32(x: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 32-bit numbers, in place."""
     x ^= x >> np.uint32(16)
@@ -66,6 +76,18 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def agreements(percent: int, n: int = BANDS * ROWS) -> int:
+    """The most agreements of ``n`` that a pair at the threshold reaches with chance 1 - OVERLOOKED."""
+    if not 80 <= percent <= 100:
+        raise ValueError("the bands are made for thresholds from 80 to 100 percent")
+    p, below = percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > OVERLOOKED:
+            return k
+    return n
+
+
 def signatures(hashes: np.ndarray, starts: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """Row k: coordinate k of the signature of each run of ``hashes``; no run is empty."""
     out = np.empty((n, len(starts)), np.uint32)
@@ -84,42 +106,20 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, n: int = BANDS * ROWS) ->
     return out
 
 
-class Shingler:
-    """Sets of hashes of the five-word shingles of texts."""
-
-    def __init__(self, words: int = 5):
-        self.words, self.known = words, {}
-
-    def _of_words(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        got = list(map(known.get, words))
-        if None in got:
-            if len(known) > 500_000:
-                known.clear()
-            hash_of = xxhash.xxh3_64_intdigest
-            for i, had in enumerate(got):
-                if had is None:
-                    got[i] = known[words[i]] = hash_of(words[i])
-        return np.array(got, np.uint64)
-
-    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        """For each text the sorted distinct hashes of its shingles."""
-        k, none = self.words, np.empty(0, np.uint64)
-        out = []
-        for text in texts:
-            words = text.lower().split()  # of bytes: A-Z, and white space 0x20, 0x09-0x0D
-            if not words:
-                out.append(none)
-                continue
-            h = self._of_words(words)
-            n = max(1, len(h) - k + 1)
-            made = np.full(n, min(len(h), k), np.uint64)
-            for i in range(min(k, len(h))):
-                made = _mix64(made * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-            out.append(np.unique(made))
-        return out
+def shingle_hashes(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles of ``k`` words."""
+    hashes, starts = word_hashes(texts)
+
+    def rolled(h: np.ndarray, width: int) -> np.ndarray:
+        made = np.full(max(0, len(h) - width + 1), width, np.uint64)
+        for i in range(width):
+            made = _mix64(made * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(made)])
+        return made
+
+    # At every place of the batch; what reaches into the next text is left out.
+    made = rolled(hashes, k)
+    at = starts.tolist()
+    return [np.unique(made[a : b - k + 1] if b - a >= k else rolled(hashes[a:b], b - a) if b > a else made[:0]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +133,8 @@ def describe(docs: DataFrame, words: int = 5) -> DataFrame:
     def run(batches):
         import hashlib
 
-        shingler = worker_state(f"shingler{words}", lambda: Shingler(words))
         for batch in small_batches(batches, 1 << 20):
-            sets = shingler.sets(text_bytes(batch.column(1)))
+            sets = shingle_hashes(batch.column(1), words)
             full = [s for s in sets if len(s)]
             sigs = iter(np.ascontiguousarray(signatures(*_flat(full)).T) if full else [])
             rows = [(len(s), hashlib.blake2b(s.data, digest_size=16).digest(), next(sigs).tobytes()) if len(s) else (0, None, None) for s in sets]
@@ -149,9 +148,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = 5) -> DataFrame:
     """doc_id and its set (binary, sorted 64-bit hashes) for the documents in ``ids`` (doc_id, distinct)."""
 
     def run(batches):
-        shingler = worker_state(f"shingler{words}", lambda: Shingler(words))
         for batch in small_batches(batches, 1 << 20):
-            sets = shingler.sets(text_bytes(batch.column(1)))
+            sets = shingle_hashes(batch.column(1), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
     # A checked size: few ids are broadcast, more are joined by a shuffle.
@@ -164,20 +162,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            us, vs, a, b = (c.to_pylist() for c in batch.columns)
+            # Sets are looked at where Arrow holds them.
             keep = []
-            for i in range(len(us)):
-                x, y = np.frombuffer(a[i], np.uint64), np.frombuffer(b[i], np.uint64)
+            for i, (x, y) in enumerate(zip(sets_of(batch.column(2)), sets_of(batch.column(3)), strict=True)):
                 common = _common(x, y)
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in keep], pa.int64()), pa.array([vs[i] for i in keep], pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], names=["u", "v"])
 
     left = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
     both = left.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """Views of sets that are written as bytes."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield data[a:b].view(np.uint64)
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     both = np.sort(np.concatenate([x, y]))
     return int(np.count_nonzero(both[1:] == both[:-1]))
@@ -235,7 +241,7 @@ def _examine(percent: int, agree: int, exact: bool):
 
     def run(batches):
         group, out = [], []
-        for batch in batches:
+        for batch in small_batches(batches, 4 << 20, 9 if exact else 8):
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[0][:4] != r[:4]:
                     out += pairs(group)
@@ -254,14 +260,15 @@ def _examine(percent: int, agree: int, exact: bool):
 
 def _unresolved(members: DataFrame, nodes: DataFrame, percent: int, agree: int) -> DataFrame:
     """Pairs (u, v) to verify: members of one bucket in different components."""
-    m = members.join(nodes, "doc_id").select("band", "key", "doc_id", "component")
-    sizes = m.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"))
-    most = most.where("parts > 1").select("band", "key", F.col("top.component").alias("main"), "n", (F.col("n") - F.col("top.c")).alias("rest"))
-    m = m.join(most, ["band", "key"])
+    m = members.join(nodes, "doc_id").select("band", "key", "doc_id", "n", "component")
+    sizes = m.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    most = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.sum("w").alias("w"), F.max(F.struct("c", "component", "w")).alias("top"))
+    rest = ((F.col("n") - F.col("top.c")).alias("rest"), (F.col("w") - F.col("top.w")).alias("rest_w"))
+    most = most.where("parts > 1").select("band", "key", F.col("top.component").alias("main"), "n", "w", *rest)
+    m = m.drop("n").join(most, ["band", "key"])
     # Members outside the main component, in blocks of rows, meet blocks of all members.
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    m = m.withColumns({"rows": blocks("rest"), "cols": blocks("n"), "outside": F.col("component") != F.col("main")})
+    blocks = lambda c, w: F.ceil(F.greatest(F.col(c) / BLOCK, F.col(w) / BLOCK_HASHES)).cast("int")
+    m = m.withColumns({"rows": blocks("rest", "rest_w"), "cols": blocks("n", "w"), "outside": F.col("component") != F.col("main")})
     mine = F.pmod(F.xxhash64("doc_id"), F.col("rows")).cast("int")
     theirs = F.pmod(F.xxhash64("doc_id"), F.col("cols")).cast("int")
     grid = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), F.when(j == theirs, 1).otherwise(0).alias("side"))))
@@ -273,10 +280,11 @@ def _unresolved(members: DataFrame, nodes: DataFrame, percent: int, agree: int)
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; links need 100 * intersection >= percent * union."""
-    agree = AGREE[percent]
+    agree = agreements(percent)
     told = staged(describe(docs, words), "described")
+    n_docs = told.count()  # from the files' footers
     named = told.where("set_id is not null and doc_id is not null")
-    reps = staged(named.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")).select("set_id", "r.*"), "classes")
+    reps = staged(named.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")).select("set_id", "r.*"), "classes", n_docs, 32 + 4 * BANDS * ROWS)
     width = 2 * 4 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.substring(F.hex("signature"), b * width + 1, F.lit(width))).alias("key")))
     members = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode(keys).alias("k")).select("doc_id", "n", "k.band", "k.key")
@@ -285,13 +293,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     shared = staged(members.join(centres, ["band", "key"]), "buckets")
     star = lambda c: shared.select(F.least("doc_id", f"{c}.doc_id").alias("u"), F.greatest("doc_id", f"{c}.doc_id").alias("v"), F.least("n", f"{c}.n").alias("lo"), F.greatest("n", f"{c}.n").alias("hi"))
     pairs = star("a").unionByName(star("b")).where(f"u <> v and 100 * lo >= {percent} * hi").select("u", "v").distinct()
-    members = shared.select("band", "key", "doc_id")
+    members = shared.select("band", "key", "doc_id", "n")
     ids = members.select("doc_id").distinct()
-    sets = staged(shingle_sets(docs, staged(ids, "ids"), words), "sets")
+    sets = staged(shingle_sets(docs, staged(ids, "ids", n_docs), words), "sets")
     links = staged(verified(pairs, sets, percent), "verified")
     found = connected_components(links)
     nodes = ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    cells = _unresolved(members, staged(nodes, "nodes"), percent, agree)
+    cells = _unresolved(members, staged(nodes, "nodes", n_docs), percent, agree)
     cells = staged(cells.join(reps.select("doc_id", "n_shingles", "signature"), "doc_id"), "cells")
     block = ["key", "band", "i", "j"]
     row = [*block, "side", "doc_id", "component", "n_shingles", "signature"]
@@ -307,9 +315,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of one document of each component; rows without a doc_id go."""
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["_kept_id"], "left_semi")
+    """The row of one document of each component, the smallest doc_id (nulls last); rows that share an id or have none are told apart."""
+    rows = numbered_rows(docs, "near-rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), percent)
+    ids = rows.select("row", F.col("doc.doc_id").cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    kept = found.join(ids, found["doc_id"] == ids["row"]).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def cut_documents(docs: DataFrame, end_id: int, tokenizer: str | None = None, le
         import xxhash
 
         enc, met = encoder(tokenizer), {}
-        for batch in small_batches(batches, BATCH_BYTES):
+        for batch in small_batches(batches, BATCH_BYTES // 2):
             ids, starts = enc.encode_ended(batch.column(1), end_id)
             raw, at = ids.astype("<u4", copy=False).view(np.uint8).data, (4 * starts).tolist()
             rows, ends = [], [0]

@@ -84,8 +84,14 @@ class TextEncoder:
         inside = np.ones(len(written), bool)
         inside[ends - 1] = False
         written[inside] = self.letters[np.frombuffer(raw, np.uint8)]
-        found = list(map(self.model.tokenize, written.tobytes().decode("utf-32-le").split("\n")[:-1]))
-        return array("i", map(ID, chain.from_iterable(found))), list(map(len, found))
+        words = written.tobytes().decode("utf-32-le").split("\n")[:-1]
+        ids, sizes = array("i"), []
+        # A few at a time, as the library's tokens take far more room than their ids.
+        for at in range(0, len(words), 4096):
+            found = list(map(self.model.tokenize, words[at : at + 4096]))
+            ids.extend(map(ID, chain.from_iterable(found)))
+            sizes += map(len, found)
+        return ids, sizes
 
     def of_runs(self, runs: P.Runs) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the distinct pre-tokens end to end, and where each one's begin and the last one's end."""
