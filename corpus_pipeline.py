@@ -1,43 +1,80 @@
 """The corpus pipeline: quality rules, language, exact copies, near copies, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
-all but the last return the columns of ``documents``.
+all but the last return the columns of ``documents``.  A stage's result is written,
+and read again as the next one's ``docs``; the tables that it was made from then go,
+as soon as the next stage is called (but for those that ``docs`` still reads).
+
+Defined results, whatever the stage: rows go through by themselves, so rows without
+doc_id, with another's doc_id, or alike in all columns are judged each on its own
+text; a null text is empty and falls by the quality rules, as do texts of fewer than
+ten words; texts may be of any length; an empty table gives an empty table; columns
+may have the names of columns that the stages use.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplebed.llm import exact_dedup, language_id, minhash, packing, quality_rules
-from ripplebed.llm.base import staged
+from ripplebed.llm.base import collected, reads, remove, staged
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables from which the last stage's result was made.
+_left: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """Keeps book of the tables that a stage writes on the way, and removes those of the stage before."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        used = reads(docs)
+        for path in [p for p in _left if not any(p.removeprefix("file://") in u for u in used)]:
+            remove(spark, path)
+            _left.remove(path)
+        with collected() as paths:
+            out = f(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return run
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     return language_id.keep_identified(docs)
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (similarity 0.8 over five-word shingles), the document with the smallest id."""
     return minhash.drop_near_copies(docs, percent=80)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in training sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("language id", language), ("exact dedup", exact), ("near dedup", near), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("language id", language), ("exact dedup", exact), ("near dedup", near), ("packing", pack)]
 
 #: SQL has neither the network nor the tokenizer.
 ORACLE_SQL = None
@@ -46,6 +83,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    for name, step in STAGES:
+        docs = staged(step(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs
