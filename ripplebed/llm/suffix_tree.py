@@ -9,25 +9,28 @@ texts have them; shorter runs are sums of these.  A context becomes a node if it
 next-byte distribution diverges from that of its suffix by ``DIVERGENCE`` nats over
 its occurrences, a sum that grows with the corpus, so there is no other cut and a
 larger corpus gives more nodes; suffixes of nodes are nodes.  A node's distribution
-is smoothed towards its suffix's with ``PRIOR`` pseudo-counts.  Nodes are chosen and
+is smoothed towards its suffix's with ``PRIOR`` pseudo-counts for each different byte
+that followed it, as many followers promise further ones.  Nodes are chosen and
 smoothed by joins, level by level; what comes out is the chance of each run of
 DEPTH + 1 bytes, by its longest context that is a node.  Scoring looks these up: up
 to ``BROADCAST_RUNS`` of them are broadcast, more are joined to the blocks of
-documents that need them.  A text's score is the sum over its bytes.  ``build`` makes
+documents that need them.  A block is a range of ids that holds about ``BLOCK_BYTES``
+of text; where a range has more, it is divided by a hash of id and text.  A text's score is the sum over its bytes.  ``build`` makes
 the same model in memory from counts, as an automaton.
 
 The base score of the same text is that of an additive unigram model of whole
 words, whose counts (by 64-bit hash) go back to the blocks of documents that need
 them by joins; no vocabulary is broadcast.
 
-Defined results: a null or empty text has the end token alone; rows without doc_id
-are not scored; rows that share a doc_id are scored each; an empty table gives no
-rows; without training text every byte has probability 1/256; other columns are
-ignored.
+Defined results: a null or empty text has the end token alone; a row without doc_id
+is scored, but neither learned from nor held out; rows that share a doc_id are scored
+each; texts and words may be of any length; an empty table gives no rows; without
+training text every byte has probability 1/256; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,13 +39,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplebed.llm.base import crc_of_id, documents, id_and_text, small_batches, staged, text_bytes, worker_state
+from ripplebed.llm.base import broadcast, crc_of_id, documents, id_and_text, small_batches, staged, text_bytes, worker_state
+from ripplebed.llm.pretokens import word_hashes
 
 DEPTH = 5
-DIVERGENCE = 20.0
-PRIOR = 4.0
-#: Documents of a block; ids next to each other share one.
-BLOCK_DOCUMENTS = 6000
+DIVERGENCE = 5.0
+PRIOR = 2.0
+#: Bytes of text in a block; ids next to each other share one.
+BLOCK_BYTES = 20 << 20
+#: Blocks whose numbers of parts may be broadcast, 16 bytes each; more are joined by a shuffle.
+BROADCAST_BLOCKS = 300_000
 END = b"\n"
 #: Runs whose chances may be broadcast, up to 24 bytes each; more are joined by a shuffle.
 BROADCAST_RUNS = 2_000_000
@@ -78,9 +84,8 @@ class Tree:
         return out.T.reshape(-1)[:n]
 
 
-def normalised(text: bytes) -> tuple[list[bytes], bytes]:
-    words = text.lower().split()
-    return words, b" ".join(words) + END
+def body_of(text: bytes) -> bytes:
+    return b" ".join(text.lower().split()) + END
 
 
 def runs_of(bodies: list[bytes], depth: int = DEPTH) -> np.ndarray:
@@ -149,7 +154,7 @@ def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
         parts, held, bodies, size = [], 0, {True: [], False: []}, 0
         for batch in small_batches(batches, 1 << 20):
             for t, train in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                body = normalised(t)[1]
+                body = body_of(t)
                 bodies[train].append(body)
                 size += len(body)
             if size < 4 << 20:
@@ -182,7 +187,7 @@ def gram_chances(grams: DataFrame, depth: int = DEPTH, divergence: float = DIVER
     for k in range(depth, -1, -1):
         if k < depth:
             level = staged(levels[k + 1].select(last(k).alias("context"), "byte", "n").groupBy("context", "byte").agg(F.sum("n").alias("n")), "grams")
-        levels[k] = staged(level.join(level.groupBy("context").agg(F.sum("n").alias("total")), "context"), "level")
+        levels[k] = staged(level.join(level.groupBy("context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("kinds")), "context"), "level")
     nodes = {}
     for k in range(depth, 0, -1):
         shorter = levels[k - 1].select(F.col("context").alias("suffix"), "byte", F.col("n").alias("suffix_n"), F.col("total").alias("suffix_total"))
@@ -196,7 +201,8 @@ def gram_chances(grams: DataFrame, depth: int = DEPTH, divergence: float = DIVER
     for k in range(1, depth + 1):
         marked = levels[k].withColumn("suffix", last(k - 1)).join(nodes[k].withColumn("node", F.lit(True)), "context", "left")
         both = marked.join(smooth.withColumnRenamed("context", "suffix"), ["suffix", "byte"])
-        own = F.when(F.col("node"), (F.col("n") + prior * F.col("chance")) / (F.col("total") + prior)).otherwise(F.col("chance"))
+        weight = prior * F.col("kinds")
+        own = F.when(F.col("node"), (F.col("n") + weight * F.col("chance")) / (F.col("total") + weight)).otherwise(F.col("chance"))
         smooth = staged(both.select("context", "byte", own.alias("chance")), "smooth")
     return smooth.select(F.shiftleft("context", 8).bitwiseOR(F.col("byte")).alias("gram"), F.log10("chance").alias("chance"))
 
@@ -217,7 +223,7 @@ def block_grams(rows: DataFrame) -> DataFrame:
         for batch in small_batches(batches, 4 << 20):
             bodies: dict[int, list[bytes]] = {}
             for text, block in zip(text_bytes(batch.column(1)), batch.column(3).to_pylist(), strict=True):
-                bodies.setdefault(block, []).append(normalised(text)[1])
+                bodies.setdefault(block, []).append(body_of(text))
             for block, some in bodies.items():
                 known[block] = np.union1d(known.get(block, np.zeros(0, np.int64)), runs_of(some))
             if sum(map(len, known.values())) > 4_000_000:
@@ -264,7 +270,8 @@ def build(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: f
     smooth: dict[tuple[int, int], np.ndarray] = {(0, 0): root}
     for k, c in sorted(kept):
         row = rows[k][c]
-        smooth[(k, c)] = (row + prior * smooth[(k - 1, c & ((1 << (8 * (k - 1))) - 1))]) / (row.sum() + prior)
+        weight = prior * np.count_nonzero(row)
+        smooth[(k, c)] = (row + weight * smooth[(k - 1, c & ((1 << (8 * (k - 1))) - 1))]) / (row.sum() + weight)
     # States: the nodes and all their prefixes, read from the oldest byte on.
     states = {(0, 0): 0}
     for k, c in sorted(kept):
@@ -305,18 +312,20 @@ def build(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: f
     return Tree(classes, (follow * n).reshape(-1), chances.reshape(-1), begin * n, len(kept))
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    known = worker_state("word_hashes", dict)
-    got = list(map(known.get, words))
-    if None in got:
-        if len(known) > 500_000:
-            known.clear()
-        for i, had in enumerate(got):
-            if had is None:
-                got[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    return np.array(got, np.uint64).view(np.int64)
+def with_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Add ``block``, a function of doc_id and text."""
+    size = F.octet_length("text").cast("long")
+    told = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(size).alias("bytes")).first()
+    lo, span = told["lo"] or 0, (told["hi"] or 0) - (told["lo"] or 0) + 1
+    step = max(1, -(-span // max(1, (told["bytes"] or 0) // block_bytes)))
+    ranged = rows.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - lo) / F.lit(step)).cast("long"), F.lit(-1).cast("long")))
+    parts = F.ceil(F.col("bytes") / block_bytes).cast("int")
+    heavy = ranged.groupBy("range").agg(F.sum(size).alias("bytes")).select("range", parts.alias("parts")).where("parts > 1")
+    heavy = staged(heavy, "heavy")
+    heavy = F.broadcast(heavy) if heavy.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS else heavy
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.coalesce("parts", F.lit(1)))
+    block = F.shiftleft("range", 24) + part
+    return ranged.join(heavy, "range", "left").select(*rows.columns, block.alias("block"))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -336,11 +345,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         held = 0
         for batch in small_batches(batches):
-            for text, train, block in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = text.lower().split()
-                if words:
-                    known.setdefault(block, []).append((_hashes(words), int(train)))
-                    held += len(words)
+            hashes, starts = word_hashes(batch.column(1))
+            hashes, at = hashes.view(np.int64), starts.tolist()
+            for i, (train, block) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if at[i + 1] > at[i]:
+                    known.setdefault(block, []).append((hashes[at[i] : at[i + 1]], int(train)))
+            held += len(hashes)
             if held > 6_000_000:
                 yield from flush()
                 held = 0
@@ -349,16 +359,16 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, word long, n long")
 
 
-def score(docs: DataFrame, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Base and tree scores of all texts, from the documents whose crc32(doc_id) mod 10 is not 0."""
-    rows = id_and_text(docs).where("doc_id is not null")
-    rows = rows.select("doc_id", "text", (F.pmod(crc_of_id(F.col("doc_id")), F.lit(10)) != 0).alias("train"), F.floor(F.col("doc_id") / block_documents).alias("block"))
+    train = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(10)) != 0, F.lit(False))
+    rows = with_blocks(id_and_text(docs).select("doc_id", "text", train.alias("train")), block_bytes)
     learned = rows.where("train")
     chances = staged(gram_chances(staged(gram_counts(rows), "runs")), "chances")
-    held = None
+    held, run_name = None, f"chances:{uuid.uuid4().hex}"
     if chances.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
         t = chances.toArrow()
-        held = docs.sparkSession.sparkContext.broadcast(Lookup.of(t["gram"].to_numpy(), t["chance"].to_numpy()))
+        held = broadcast(docs.sparkSession, Lookup.of(t["gram"].to_numpy(), t["chance"].to_numpy()))
     pairs = staged(word_counts(rows).groupBy("block", "word").agg(F.sum("n").alias("n")), "words")
     totals = staged(pairs.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     known = totals.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -375,7 +385,7 @@ def score(docs: DataFrame, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
             words = words.filter(pc.is_valid(words["c"]))
             chance_of = Lookup.of(runs["word"].to_numpy(), runs["chance"].to_numpy())
         else:
-            chance_of = held.value
+            chance_of = worker_state(run_name, held)
         keys, c = words["word"].to_numpy(), words["c"].to_numpy()
         order = np.argsort(keys)
         keys, c = keys[order], c[order]
@@ -383,21 +393,23 @@ def score(docs: DataFrame, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
         tokens, seen, base, tree_score = [], [], [], []
         texts = texts.combine_chunks()
         for batch in small_batches(texts.select(["doc_id", "text", "train"]).to_batches(), 1 << 20):
-            split = [normalised(t) for t in text_bytes(batch.column(1))]
-            bodies = [b for _, b in split]
+            bodies = list(map(body_of, text_bytes(batch.column(1))))
+            hashes, starts = word_hashes(batch.column(1))
+            hashes = hashes.view(np.int64)
+            c_of = np.zeros(len(hashes), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                c_of = np.where(keys[at] == hashes, c[at], 0)
             chance = chance_of.get(runs_of(bodies))
             ends_at = np.cumsum([len(b) for b in bodies])
-            for (ws, b), end in zip(split, ends_at, strict=True):
+            for b, end, i, j in zip(bodies, ends_at.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 tree_score.append(float(chance[end - len(b) : end].sum()))
-                found = np.zeros(len(ws), np.int64)
-                if ws and len(keys):
-                    h = _hashes(ws)
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    found = np.where(keys[at] == h, c[at], 0)
-                tokens.append(len(ws) + 1)
+                found = c_of[i:j]
+                tokens.append(j - i + 1)
                 seen.append(int(np.count_nonzero(found)) + (ends > 0))
                 base.append(float(log(found).sum() + log(ends)))
-        return pa.table({"doc_id": texts["doc_id"], "held_out": pa.array([not t for t in texts["train"].to_pylist()]), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()), "train_tokens": pa.array([n] * len(tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(tree_score, pa.float64())})
+        held_out = [i is not None and not t for i, t in zip(texts["doc_id"].to_pylist(), texts["train"].to_pylist(), strict=True)]
+        return pa.table({"doc_id": texts["doc_id"], "held_out": pa.array(held_out, pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(seen, pa.int64()), "train_tokens": pa.array([n] * len(tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(tree_score, pa.float64())})
 
     together = rows.groupBy("block").cogroup(per_block.groupBy("block"))
     return together.applyInArrow(block, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
