@@ -201,10 +201,10 @@ def text_of(batch: pa.RecordBatch, column: int) -> pa.Array:
     return pc.fill_null(texts, "" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, column: int = 1, trim_bytes: int = TRIM_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts in each come to about ``most_bytes``; a longer text stands alone.
 
-    What a batch took beside its results goes back to the system every few of them.
+    What a batch took beside its results goes back to the system after ``trim_bytes`` of text.
     """
     done = 0
     for batch in batches:
@@ -217,9 +217,11 @@ def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20,
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            if ends[-1] - before <= most_bytes + most_bytes // 4:  # no small rest
+                to = batch.num_rows
             yield batch.slice(at, to - at)
             done += int(ends[to - 1] - before)
-            if done >= TRIM_BYTES:
+            if done >= trim_bytes:
                 return_memory(collect=False)
                 done = 0
             at = to

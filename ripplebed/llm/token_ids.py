@@ -172,6 +172,6 @@ class TextEncoder:
         return out, np.concatenate([[0], ends]).astype(np.int64)
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, memory: int = MEMORY) -> TextEncoder:
     """The worker's own encoder for the file at ``path``; it lives across tasks."""
-    return worker_state("encoder:" + path, lambda: TextEncoder(path))
+    return worker_state(f"encoder:{path}:{memory}", lambda: TextEncoder(path, memory))

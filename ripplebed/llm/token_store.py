@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ripplebed.llm.base import documents, id_and_text, new_path, small_batches, with_offsets
 from ripplebed.llm.token_ids import BATCH_BYTES, byte_bpe_path, encoder
 
+#: Bytes of pre-tokens that a worker remembers.
+MEMORY = 64 << 20
 #: Parquet settings: delta encoding comes with the second writer version, for columns without a dictionary.
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -68,8 +70,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, tokenizer: str | None
         from pyspark import TaskContext
 
         part, place = TaskContext.get().partitionId(), 0
-        enc = encoder(tokenizer)
-        for batch in small_batches(batches, BATCH_BYTES):
+        enc = encoder(tokenizer, MEMORY)
+        for batch in small_batches(batches, BATCH_BYTES, trim_bytes=64 << 20):
             ids, starts = enc.encode_ended(batch.column(1), end_id)
             rows = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
