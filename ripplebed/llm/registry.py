@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_rules": "quality_rules",
     "op9_sharding": "sharding",
     "op10_packing": "packing",
+    "op11_conversation_repair": "conversation_repair",
 }
 
 
