@@ -15,9 +15,9 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplebed.operators.tables import new_path, remove, shared_dir, write_table
+from ripplebed.operators.tables import file_system, new_path, remove, shared_dir, write_table
 
-__all__ = ["new_path", "remove", "shared_dir", "write_table"]
+__all__ = ["file_system", "new_path", "remove", "shared_dir", "write_table"]
 T = TypeVar("T")
 #: Bytes of an Arrow batch from the JVM to a Python worker.
 ARROW_BYTES = 8 << 20

@@ -17,6 +17,7 @@ QUERIES = {
     "op9_sharding": "sharding",
     "op10_packing": "packing",
     "op11_conversation_repair": "conversation_repair",
+    "op12_compaction": "compaction",
     "op13_rank_queue": "rank_queue",
 }
 
