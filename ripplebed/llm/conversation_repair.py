@@ -177,7 +177,7 @@ def audits(turns: DataFrame) -> DataFrame:
     ways = F.when(F.size("blocks") > 0, F.aggregate(rest, F.col("blocks")[0]["ways"][START], lambda w, b: _chain(w, b["ways"]))).otherwise(_begin(START))
     best = joined.withColumn("ways", ways).withColumn("best", F.least(f"ways.{START}", f"ways.{ASSISTANT}"))
     wide = F.col("most").cast("decimal(38,0)") - F.col("least").cast("decimal(38,0)") + 1 - F.col("new_turn")
-    gaps = F.coalesce(F.least(wide, F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long"), F.lit(0).cast("long"))
+    gaps = F.when(wide.isNull(), 0).otherwise(F.least(wide, F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long"))
     return best.select("conv_id", gaps.alias("gaps"), *(F.col(c).cast("long").alias(c) for c in COUNTS), "best.cost", "best.audit")
 
 
