@@ -7,10 +7,10 @@ that aren't zero, until one word is left; so the least rank is found by one
 find-first-set on each level.  All pre-tokens of a batch share the queue: they have no
 pairs in common, so a rank's positions are merged side by side in numpy.  Stale
 positions, whose symbol is gone or forms another pair by now, are skipped; of
-overlapping ones every other is merged, from the left.  A pair that comes up with a
-lesser rank than the one just merged should have gone before the rest of its pre-token:
-such a pre-token, which a vocabulary made by merges doesn't know, is encoded anew with
-one merge at a time.  So a pre-token of n bytes takes n log n steps, however long it is.
+overlapping ones every other is merged, from the left.  Where a merge would bring up a
+pair of lesser rank, which a vocabulary made by merges doesn't know, that pair comes
+before the rest of its pre-token: then the leftmost position alone is merged.  So a
+pre-token of n bytes takes n log n steps, however long it is.
 
 A task cuts its texts into pre-tokens a batch at a time; distinct ones are encoded once
 and remembered within a bound in bytes.
@@ -130,6 +130,10 @@ class Pairs:
         # Tokens that begin as they end may overlap with themselves.
         self.overlaps = np.zeros(self.end, bool)
         self.overlaps[[r for t, r in ranks.items() if any(t.startswith(t[i:]) for i in range(1, len(t)))]] = True
+        # Tokens that are part of a pair of lesser rank.
+        self.late = np.zeros(self.end + 1, bool)
+        for part in np.divmod(self.keys[:-1], self.end + 1):
+            self.late[part[self.ranks[:-1] < part]] = True
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) * (self.end + 1) + right
@@ -151,27 +155,15 @@ class RankMerger:
         sizes = np.ones(len(words), np.int64)
         if not rest:
             return np.array(whole, np.int32), sizes
-        ids, sizes[rest], odd = self._merge([words[i] for i in rest])
-        if len(odd):
-            again, lengths, _ = self._merge([words[rest[i]] for i in odd.tolist()], one_each=True)
-            pieces = np.split(ids, np.cumsum(sizes[rest])[:-1])
-            for i, piece in zip(odd.tolist(), np.split(again, np.cumsum(lengths)[:-1]), strict=True):
-                pieces[i] = piece
-                sizes[rest[i]] = len(piece)
-            ids = np.concatenate(pieces)
+        ids, sizes[rest] = self._merge([words[i] for i in rest])
         out = np.empty(int(sizes.sum()), np.int32)
         merged = np.zeros(len(words), bool)
         merged[rest] = True
         out[np.repeat(merged, sizes)] = ids
-        if len(rest) < len(words):
-            out[(np.cumsum(sizes) - 1)[~merged]] = [rank for rank in whole if rank is not None]
+        out[(np.cumsum(sizes) - 1)[~merged]] = [rank for rank in whole if rank is not None]
         return out, sizes
 
-    def _merge(self, words: list[bytes], one_each: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids end to end, how many each word has, and which words met a lesser rank than the one just merged.
-
-        With ``one_each`` a word has one merge at a time, and needs no second try.
-        """
+    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         pairs, queue = self.pairs, self.queue
         # One place for each byte and one for each word's end.
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -186,20 +178,15 @@ class RankMerger:
         rank_at = np.full(n, -1, np.int32)
         rank_at[:-1] = pairs.of(symbols[:-1], symbols[1:])
         queue.push_all(rank_at, np.arange(n, dtype=np.int32))
-        odd: list[np.ndarray] = []
         while (found := queue.pop()) is not None:
             rank, bucket = found
             at = np.array(bucket, np.int32)
             at = at[rank_at[at] == rank]  # the others are stale
             if not len(at):
                 continue
-            if one_each:
-                at = np.unique(at)
-                first = np.unique(np.searchsorted(ends, at), return_index=True)[1]
-                left = np.delete(at, first)
-                queue.push_all(rank_at[left], left)
-                at = at[first]
-            elif pairs.overlaps[rank] and len(at) > 1:
+            if len(at) > 1 and pairs.late[rank]:
+                at = self._in_turn(rank, np.unique(at), symbols, after, before, ends)
+            if len(at) > 1 and pairs.overlaps[rank]:
                 at = np.unique(at)
                 begins = np.ones(len(at), bool)
                 begins[1:] = after[at[:-1]] != at[1:]
@@ -211,13 +198,26 @@ class RankMerger:
             after[at], before[end] = end, at
             left = before[at]
             changed = np.concatenate([at, left[left >= 0]])
-            new = pairs.of(symbols[changed], symbols[after[changed]])
-            rank_at[changed] = new
+            rank_at[changed] = new = pairs.of(symbols[changed], symbols[after[changed]])
             queue.push_all(new, changed)
-            if not one_each and (less := (new >= 0) & (new < rank)).any():
-                odd.append(np.searchsorted(ends, changed[less]))
         counts = np.cumsum(inside)[ends]
-        return symbols[inside], np.diff(counts, prepend=0), np.unique(np.concatenate(odd)) if odd else np.zeros(0, np.int64)
+        return symbols[inside], np.diff(counts, prepend=0)
+
+    def _in_turn(self, rank: int, at: np.ndarray, symbols: np.ndarray, after: np.ndarray, before: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of the positions of a rank those to merge now: a word's leftmost alone where one of its merges brings up a lesser rank; the rest is pushed again."""
+        end, here = after[after[at]], np.full(len(at), rank, np.int32)
+        sides = ((here, symbols[end]), (np.where(before[at] >= 0, symbols[before[at]], self.pairs.end), here), (here, np.where(np.isin(end, at), rank, self.pairs.end)))
+        lesser = np.zeros(len(at), bool)
+        for a, b in sides:
+            new = self.pairs.of(a, b)
+            lesser |= (new >= 0) & (new < rank)
+        if not lesser.any():
+            return at
+        word = np.searchsorted(ends, at)
+        first = np.diff(word, prepend=-1) != 0
+        now = first | ~np.isin(word, word[lesser])
+        self.queue.push_all(np.full(int((~now).sum()), rank, np.int32), at[~now])
+        return at[now]
 
 
 class RankEncoder(TextEncoder):
