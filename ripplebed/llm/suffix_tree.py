@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -318,7 +319,9 @@ def with_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     told = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(size).alias("bytes")).first()
     lo, span = told["lo"] or 0, (told["hi"] or 0) - (told["lo"] or 0) + 1
     step = max(1, -(-span // max(1, (told["bytes"] or 0) // block_bytes)))
-    ranged = rows.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - lo) / F.lit(step)).cast("long"), F.lit(-1).cast("long")))
+    # Ids may be hashes, whose span is wider than a long; the number of ranges is small.
+    above = F.col("doc_id").cast("decimal(20,0)") - F.lit(Decimal(lo)).cast("decimal(20,0)")
+    ranged = rows.withColumn("range", F.coalesce(F.call_function("div", above, F.lit(Decimal(step)).cast("decimal(20,0)")).cast("long"), F.lit(-1).cast("long")))
     parts = F.ceil(F.col("bytes") / block_bytes).cast("int")
     heavy = ranged.groupBy("range").agg(F.sum(size).alias("bytes")).select("range", parts.alias("parts")).where("parts > 1")
     heavy = staged(heavy, "heavy")
