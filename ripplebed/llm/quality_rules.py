@@ -2,16 +2,15 @@
 
 Every document gets counts over its whole text.  A fixed base rule rejects texts
 that are very short or mostly repetition.  Beyond it, five scores (shares that
-grow with junk) are cut off where labelled documents allow it: for each length
-class and score, cutoffs are tried from the loosest to the tightest, and the
-tightest one is taken whose exact binomial test still shows, before any failed,
-that at most a fifth of ``MOST_REJECTED`` (there are five scores) of the good
-documents lie above it.  A document falls by any of the scores, so of the good
-documents of a length class that pass the base rule at most ``MOST_REJECTED`` are
-rejected: with confidence 1 - ``RISK`` this holds for all classes at once.  The level
-is ``RISK`` divided by the number of classes and scores (Bonferroni); along one
-sequence the fixed order needs no further correction.  Without enough labelled
-documents no cutoff passes and only the base rule acts.
+grow with junk) are cut off where labelled documents allow it.  A step of
+``CUTOFFS`` has a cutoff for each score, and a document falls by any of them.  For
+each length class the steps are tried from the loosest to the tightest, and the
+tightest one is taken whose exact binomial test still shows, before any failed, that
+at most ``MOST_REJECTED`` of the good documents that pass the base rule fall by it:
+with confidence 1 - ``RISK`` this holds for all classes at once.  The level is
+``RISK`` divided by the number of classes (Bonferroni); along one sequence the fixed
+order needs no further correction.  A class needs 437 good labelled documents before a
+step passes; with fewer only the base rule acts.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null doc_id has no label but gets its verdict; rows that share a doc_id each get
@@ -33,7 +32,7 @@ MOST_REJECTED = 0.01
 RISK = 0.05
 #: Words from which each length class begins.
 CLASSES = (0, 100, 400, 1600)
-#: The scores and their candidate cutoffs, loosest first; a document is rejected above the cutoff.
+#: The scores and their cutoffs step by step, loosest first; a document is rejected above a cutoff.
 CUTOFFS = {
     "symbols_a_word": (2.0, 1.0, 0.5, 0.3, 0.2, 0.1),
     "exclaims_a_word": (2.0, 1.0, 0.5, 0.3, 0.2, 0.1),
@@ -41,8 +40,8 @@ CUTOFFS = {
     "dup_lines_a_line": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4),
     "chars_a_word": (40.0, 30.0, 25.0, 20.0, 15.0),
 }
-#: What each score may reject.
-EACH = MOST_REJECTED / len(CUTOFFS)
+#: How many steps there are; a score with fewer cutoffs stays at its last.
+STEPS = max(map(len, CUTOFFS.values()))
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -163,26 +162,27 @@ def tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(F.exp(first) * below)
 
 
-def learned_cutoffs(scores: DataFrame, labels: DataFrame, most_rejected: float = MOST_REJECTED, risk: float = RISK) -> DataFrame:
-    """length_class and a cutoff for each score, null where none passed; at most one row per class.
+def cutoffs_of(step: int) -> dict[str, float]:
+    return {s: cuts[min(step, len(cuts) - 1)] for s, cuts in CUTOFFS.items()}
 
-    ``most_rejected`` bounds the share of good documents of a class that fall by any score, each of which gets an equal part of it.
-    """
+
+def falls(step: int) -> Column:
+    """Whether any score lies above its cutoff."""
+    return F.greatest(*(F.col(s) > cut for s, cut in cutoffs_of(step).items()))
+
+
+def learned_steps(scores: DataFrame, labels: DataFrame, most_rejected: float = MOST_REJECTED, risk: float = RISK) -> DataFrame:
+    """length_class and the tightest step that passed, from 0, for the classes where one did."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = scores.where(~F.col("base_failed")).join(good, "doc_id")
-    names = [(s, i) for s, cuts in CUTOFFS.items() for i in range(len(cuts))]
-    above = [F.count_if(F.col(s) > CUTOFFS[s][i]).alias(f"{s}_{i}") for s, i in names]
-    totals = held.groupBy("length_class").agg(F.count("*").alias("n"), *above)
-    level = risk / (len(CLASSES) * len(CUTOFFS))
-    chosen = []
-    for s, cuts in CUTOFFS.items():
-        passed, best = F.lit(True), F.lit(None).cast("double")
-        for i, cut in enumerate(cuts):
-            passed = passed & (F.col(f"{s}_{i}p") <= level)
-            best = F.when(passed, F.lit(cut)).otherwise(best)
-        chosen.append(best.alias(f"cut_{s}"))
-    tested = totals.select("length_class", *(tail(F.col("n"), F.col(f"{s}_{i}"), most_rejected / len(CUTOFFS)).alias(f"{s}_{i}p") for s, i in names))
-    return tested.select("length_class", *chosen)
+    totals = held.groupBy("length_class").agg(F.count("*").alias("n"), *(F.count_if(falls(i)).alias(f"n_{i}") for i in range(STEPS)))
+    level = risk / len(CLASSES)
+    passed, step = F.lit(True), F.lit(-1)
+    for i in range(STEPS):
+        passed = passed & (F.col(f"p_{i}") <= level)
+        step = F.when(passed, i).otherwise(step)
+    tested = totals.select("length_class", *(tail(F.col("n"), F.col(f"n_{i}"), most_rejected).alias(f"p_{i}") for i in range(STEPS)))
+    return tested.select("length_class", step.alias("step")).where("step >= 0")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,11 +193,11 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _judged(scores: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``scores`` and ``kept``."""
-    cuts = F.broadcast(learned_cutoffs(scores, labels))  # at most one row for each of the fixed classes
+    steps = F.broadcast(learned_steps(scores, labels))  # at most one row for each of the fixed classes
     rejected = F.lit(False)
-    for s in CUTOFFS:
-        rejected = rejected | F.coalesce(F.col(s) > F.col(f"cut_{s}"), F.lit(False))
-    return scores.join(cuts, "length_class", "left").withColumn("kept", ~(F.col("base_failed") | rejected))
+    for i in range(STEPS):
+        rejected = F.when(F.col("step") == i, falls(i)).otherwise(rejected)
+    return scores.join(steps, "length_class", "left").withColumn("kept", ~(F.col("base_failed") | rejected))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,19 +212,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    level = RISK / (len(CLASSES) * len(CUTOFFS))
     symbols = " + ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in SYMBOLS)
-    tests, picks, rejects = [], [], []
-    for s, cuts in CUTOFFS.items():
-        for i, cut in enumerate(cuts):
-            tests.append(f"count(*) FILTER (WHERE {s} > {cut}) AS {s}_{i}")
-        p = lambda i, s=s: (
-            f"(CASE WHEN {s}_{i} > n * {EACH} THEN 1.0 ELSE list_sum(list_transform(range(0, {s}_{i} + 1), lambda j: "
-            f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({EACH}) + (n - j) * ln(1 - {EACH})))) END <= {level})"
-        )
-        whens = " ".join(f"WHEN {' AND '.join(p(k) for k in range(i + 1))} THEN {cuts[i]}" for i in reversed(range(len(cuts))))
-        picks.append(f"CASE {whens} END AS cut_{s}")
-        rejects.append(f"coalesce({s} > cut_{s}, false)")
+    falls_by = [" OR ".join(f"{s} > {cut}" for s, cut in cutoffs_of(i).items()) for i in range(STEPS)]
+    tests = [f"count(*) FILTER (WHERE {f}) AS n_{i}" for i, f in enumerate(falls_by)]
+    p = lambda i: (
+        f"(CASE WHEN n_{i} > n * {MOST_REJECTED} THEN 1.0 ELSE list_sum(list_transform(range(0, n_{i} + 1), lambda j: "
+        f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({MOST_REJECTED}) + (n - j) * ln(1 - {MOST_REJECTED})))) END <= {RISK / len(CLASSES)})"
+    )
+    picks = " ".join(f"WHEN {' AND '.join(p(k) for k in range(i + 1))} THEN {i}" for i in reversed(range(STEPS)))
+    rejects = " ".join(f"WHEN step = {i} THEN {f}" for i, f in enumerate(falls_by))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
@@ -242,8 +238,8 @@ s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
              word_chars / greatest(n_words, 1)::DOUBLE AS chars_a_word FROM c),
 l AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
 h AS (SELECT length_class, count(*) AS n, {', '.join(tests)} FROM s JOIN l USING (doc_id) WHERE NOT base_failed GROUP BY length_class),
-k AS (SELECT length_class, {', '.join(picks)} FROM h)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {' OR '.join(rejects)}) AS kept
+k AS (SELECT length_class, CASE {picks} END AS step FROM h)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR CASE {rejects} ELSE false END) AS kept
 FROM s LEFT JOIN k USING (length_class)
 """
 
