@@ -6,9 +6,10 @@ languages seen in training.  All windows of the whole text are classified in
 batches, and the mean of their probabilities is the document's.
 
 The network is fitted on the driver on a bounded sample of labelled documents:
-about ``SAMPLE`` of them, shared evenly among all languages that occur and drawn by
-a hash of the id, or about ``LEAST`` of each language where that is more, with at
-most ``WINDOWS`` windows each, spread over the text.  Everything else covers all rows.
+``SAMPLE`` of them, shared evenly among all languages that occur and drawn by a hash of
+id and text, or ``LEAST`` of each language where that is more, with at most
+``WINDOWS`` windows each, spread over the text.  Rows alike in id and text are drawn as
+one.  Everything else covers all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so
 is everything if no labelled document exists; null labels are not learned from;
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -115,12 +116,15 @@ def cut_windows(text: bytes) -> np.ndarray:
 def training_windows(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, most_windows: int = WINDOWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows and labels of a bounded sample of the documents that may be learned from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2))
-    counted = known.groupBy("lang").count().collect()
+    # Rows alike in id and text are one; a few more are drawn than asked for, and then exactly so many of each language are taken.
+    known = known.withColumn("name", F.xxhash64("doc_id", "text"))
+    counted = known.groupBy("lang").agg(F.approx_count_distinct("name").alias("n")).collect()
     if not counted:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    share = max(sample / len(counted), least)
-    chances = known.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counted], "lang string, chance double")
-    drawn = known.join(F.broadcast(chances), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("chance") * (1 << 20)).select("lang", "text")
+    share = max(sample // len(counted), least)
+    chances = known.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.3 * share + 30) / r["n"])) for r in counted], "lang string, chance double")
+    drawn = known.join(F.broadcast(chances), "lang").where(F.pmod("name", F.lit(1 << 40)) < F.col("chance") * (1 << 40)).dropDuplicates(["lang", "name"])
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("name"))).where(F.col("nth") <= share).select("lang", "text")
 
     def windows(batches):
         for batch in small_batches(batches):
@@ -140,7 +144,7 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST,
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST, most_windows: int = WINDOWS) -> ByteNetwork | None:
-    """A network from a sample of about ``max(sample, least * languages)`` documents; None if nothing may be learned from."""
+    """A network from a sample of at most ``max(sample, least * languages)`` documents; None if nothing may be learned from."""
     windows, labels, languages = training_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample, least, most_windows)
     return fit(windows, labels, languages) if len(windows) else None
 
