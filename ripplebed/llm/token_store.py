@@ -80,7 +80,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, tokenizer: str | None
             )
             place += int(starts[-1])
 
-    rows = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows that share an id may be many: a hash of the text deals them to tasks too.
+    rows = id_and_text(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     made = rows.mapInArrow(encode, "doc_id long, part int, place long, n_tokens long, ids array<int>")
     made.write.options(**LAYOUT).parquet(f"{path}/tokens")
     spark = docs.sparkSession
