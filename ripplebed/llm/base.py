@@ -7,11 +7,11 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,18 +23,19 @@ T = TypeVar("T")
 ARROW_BYTES = 8 << 20
 #: Bytes of text after which a worker gives back what it freed.
 TRIM_BYTES = 4 << 20
-_COLLECTED: list[list[str]] = []
+#: The lists of paths that are kept at the moment, in this thread.
+_COLLECTED: ContextVar[tuple[list[str], ...]] = ContextVar("collected", default=())
 
 
 @contextmanager
 def collected() -> Iterator[list[str]]:
     """The paths of the tables that are staged inside."""
     paths: list[str] = []
-    _COLLECTED.append(paths)
+    before = _COLLECTED.set((*_COLLECTED.get(), paths))
     try:
         yield paths
     finally:
-        _COLLECTED.remove(paths)
+        _COLLECTED.reset(before)
 
 
 def staged(df: DataFrame, name: str, rows: int | None = None, width: int = 16) -> DataFrame:
@@ -45,21 +46,16 @@ def staged(df: DataFrame, name: str, rows: int | None = None, width: int = 16) -
     bytes come, they go into as few files as they need.
     """
     path = new_path(df.sparkSession, name)
-    for paths in _COLLECTED:
+    for paths in _COLLECTED.get():
         paths.append(path)
     return write_table(df, path, rows, width)
 
 
-def reads(df: DataFrame) -> set[str]:
-    """The folders that ``df`` reads files from."""
-    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
-    for i in range(leaves.size()):
-        try:
-            roots = leaves.apply(i).relation().location().rootPaths()
-        except Py4JError:  # no table of files
-            continue
-        found |= {roots.apply(k).toString() for k in range(roots.size())}
-    return found
+def reads(df: DataFrame, paths: list[str]) -> list[str]:
+    """Those of the tables that ``df`` reads files from."""
+    # Each table has a folder of its own name.
+    folders = {f.split("/")[-2] for f in df.inputFiles()}
+    return [p for p in paths if p.rpartition("/")[2] in folders]
 
 
 def numbered_rows(docs: DataFrame, name: str) -> DataFrame:

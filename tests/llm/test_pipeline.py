@@ -57,6 +57,20 @@ def test_stages(spark):
     assert lengths == {r["doc_id"]: len(e.whole(r["text"])) + 1 for r in near}
 
 
+def test_results_that_live_side_by_side(spark):
+    """A stage that is called again, or a whole run in between, leaves earlier results as they are."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality rules", "exact dedup", "near dedup"):
+        one = stages[name](spark, docs, SF)
+        want = one.count()
+        other = stages[name](spark, docs.limit(50), SF)
+        pieces = corpus_pipeline.run(spark, SF)
+        again = corpus_pipeline.run(spark, SF)
+        assert one.count() == want and other.count() <= 50
+        assert pieces.count() == again.count() > 0
+
+
 def test_awkward_rows(spark, tmp_path):
     """Nulls, repeated ids, repeated rows, long texts, columns with names of the stages' own; and an empty table."""
     rng = np.random.default_rng(0)

@@ -381,7 +381,6 @@ def test_binomial_tail(spark):
 
     from pyspark.sql import functions as F
 
-    assert quality_rules.EACH * len(quality_rules.CUTOFFS) == pytest.approx(quality_rules.MOST_REJECTED)
     cases = [(10, 0), (300, 0), (600, 2), (50, 50), (1000, 10), (5000, 30)]
     df = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality_rules.tail(F.col("n"), F.col("k"), 0.01).alias("p"))
     for r in df.collect():
@@ -424,6 +423,20 @@ def test_cutoffs_hold_back(spark):
     assert not any(r["bad"] for r in told) and sum(r["doc_id"] is None for r in told) > 1000 and sum(r["doc_id"] == 0 for r in told) > 1000
 
 
+def test_cutoffs_bound_all_scores_together(spark):
+    """Five scores that each reject 0.4 % of the good documents reject 2 % together, so no step may pass; one of them alone may."""
+    names = list(quality_rules.CUTOFFS)
+    labels = spark.createDataFrame([(i, 1) for i in range(5000)], "doc_id long, quality int")
+
+    def steps(scores_at_once):
+        rows = [(i, False, 1, *(1e3 if i % 250 == k and k < scores_at_once else 0.0 for k in range(len(names)))) for i in range(5000)]
+        scores = spark.createDataFrame(rows, "doc_id long, base_failed boolean, length_class int, " + ", ".join(f"{s} double" for s in names))
+        return quality_rules.learned_steps(scores, labels).collect()
+
+    assert steps(5) == [] and [r["step"] for r in steps(1)] == [quality_rules.STEPS - 1]
+    assert sum(0.99**n <= quality_rules.RISK / len(quality_rules.CLASSES) for n in (436, 437)) == 1
+
+
 def test_line_dedup(docs, none):
     got = {r["doc_id"]: r for r in line_dedup.clean_lines(docs).collect() if r["doc_id"] is not None}
     assert got[11]["text"] == ROWS[10][1] and got[12]["text"] == text(3) and got[15]["text"] == text(6) and got[15]["n_removed"] == 1
@@ -560,6 +573,19 @@ def test_tree_is_a_distribution():
     assert np.allclose(tree.of_bytes(np.tile(text_, 400)).reshape(400, -1)[200], tree.of_bytes(np.tile(text_, 3)).reshape(3, -1)[1], atol=1e-6)
 
 
+def test_suffix_tree_of_any_ids(spark):
+    """Ids over the whole range of longs, and rows without one, score as they would under small ids."""
+    rng = np.random.default_rng(4)
+    texts = [text(i, 30) for i in range(400)]
+    ids = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 396)] + [-(2**63), 2**63 - 1, None, None]
+    got = suffix_tree.score(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), block_bytes=3000).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, ids))
+    want = longest_suffix_scores(list(zip(ids, texts, strict=True)))
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-6)
+
+
 def longest_suffix_scores(rows, divergence=suffix_tree.DIVERGENCE, prior=suffix_tree.PRIOR):
     """Scores and number of nodes by plain counting, where each byte is looked up by its longest context that is a node."""
     depth, body = suffix_tree.DEPTH, lambda t: b" ".join((t or "").encode().lower().split()) + b"\n"
