@@ -1,9 +1,10 @@
 """The corpus pipeline: quality rules, language, exact copies, near copies, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
-all but the last return the columns of ``documents``.  A stage's result is written,
-and read again as the next one's ``docs``; the tables that it was made from then go,
-as soon as the next stage is called (but for those that ``docs`` still reads).
+all but the last return the columns of ``documents``.  A stage removes the tables that
+it wrote on the way and that its result doesn't read.  In ``run`` a stage's result is
+written, and read again as the next one's ``docs``; what is left of the tables that it
+was made from then goes, and so does the result before it.
 
 Defined results, whatever the stage: rows go through by themselves, so rows without
 doc_id, with another's doc_id, or alike in all columns are judged each on its own
@@ -23,22 +24,19 @@ from ripplebed.llm import exact_dedup, language_id, minhash, packing, quality_ru
 from ripplebed.llm.base import collected, reads, remove, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Tables from which the last stage's result was made.
-_left: list[str] = []
 
 
 def stage(f: Stage) -> Stage:
-    """Keeps book of the tables that a stage writes on the way, and removes those of the stage before."""
+    """Removes the tables that a stage wrote and its result doesn't read."""
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        used = reads(docs)
-        for path in [p for p in _left if not any(p.removeprefix("file://") in u for u in used)]:
-            remove(spark, path)
-            _left.remove(path)
         with collected() as paths:
             out = f(spark, docs, sf_dir)
-        _left.extend(paths)
+        needed = reads(out, paths)
+        for path in paths:
+            if path not in needed:
+                remove(spark, path)
         return out
 
     return run
@@ -82,7 +80,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES:
-        docs = staged(step(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with collected() as paths:
+            docs = staged(step(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        # Nothing reads these any more: the result lies in the table that was written last.
+        *done, new = paths
+        for path in [*done, *filter(None, [last])]:
+            remove(spark, path)
+        last = new
     return docs
