@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from ripplebed.functions.montage import spline_weights
@@ -35,30 +37,79 @@ def zero_phase(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
 
 def band_pass(x: np.ndarray, sfreq: float, low: float | None, high: float | None) -> np.ndarray:
     """Windowed-sinc filter; None leaves a side open; an edge beyond half the rate is an error."""
+    return filtered(x, band_pass_steps(sfreq, low, high))
+
+
+#: Symmetric taps, and whether what they give is subtracted from the signal.
+Step = tuple[np.ndarray, bool]
+
+
+def band_pass_steps(sfreq: float, low: float | None, high: float | None) -> list[Step]:
     nyquist = sfreq / 2
     if high is not None and high >= nyquist or low is not None and low >= nyquist:
         raise ValueError("a band edge lies beyond half the sampling rate")
-    out = x
+    out: list[Step] = []
     if high is not None:
         edge = min(max(0.25 * high, 2.0), nyquist - high)
-        out = zero_phase(out, _sinc_lowpass(high + edge / 2, sfreq, _length(edge, sfreq)))
+        out.append((_sinc_lowpass(high + edge / 2, sfreq, _length(edge, sfreq)), False))
     if low is not None and low > 0:
         edge = min(max(0.25 * low, 2.0), low)
-        out = out - zero_phase(out, _sinc_lowpass(low - edge / 2, sfreq, _length(edge, sfreq)))
+        out.append((_sinc_lowpass(low - edge / 2, sfreq, _length(edge, sfreq)), True))
     return out
 
 
 def notch(x: np.ndarray, sfreq: float, freqs: list[float]) -> np.ndarray:
     """Take out a narrow band around each frequency below half the rate."""
+    return filtered(x, notch_steps(sfreq, freqs))
+
+
+def notch_steps(sfreq: float, freqs: list[float]) -> list[Step]:
+    out: list[Step] = []
     for f in freqs:
         half = f / 400 + 0.5
-        if f + half >= sfreq / 2:
-            continue
-        n = _length(1.0, sfreq)
-        x = x - zero_phase(x, _sinc_lowpass(f + half, sfreq, n) - _sinc_lowpass(f - half, sfreq, n))
+        if f + half < sfreq / 2:
+            n = _length(1.0, sfreq)
+            out.append((_sinc_lowpass(f + half, sfreq, n) - _sinc_lowpass(f - half, sfreq, n), True))
+    return out
+
+
+def filtered(x: np.ndarray, steps: list[Step]) -> np.ndarray:
+    """One filter after the other over a whole recording."""
+    for taps, subtract in steps:
+        y = zero_phase(x, taps)
+        x = x - y if subtract else y
     return x
 
 
+def filtered_part(x: np.ndarray, start: int, total: int, steps: list[Step]) -> tuple[np.ndarray, int]:
+    """The same over the samples from ``start`` on of a recording of ``total``: what can be known of the result, and where it starts.
+
+    Each filter takes half its length from both sides, but for the recording's ends,
+    where it is reflected.
+    """
+    stop = start + x.shape[-1]
+    for taps, subtract in steps:
+        half = len(taps) // 2
+        pad = min(half, total - 1)
+        y, a, b = x, start + half, stop - half
+        if start == 0:
+            a = 0
+            y = np.concatenate([np.zeros((*x.shape[:-1], half - pad)), 2 * x[..., :1] - x[..., pad:0:-1], y], axis=-1)
+        if stop == total:
+            b = total
+            y = np.concatenate([y, 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1], np.zeros((*x.shape[:-1], half - pad))], axis=-1)
+        size = 1 << int(np.ceil(np.log2(y.shape[-1] + len(taps))))
+        y = np.fft.irfft(np.fft.rfft(y, size) * np.fft.rfft(taps, size), size)[..., 2 * half : 2 * half + b - a]
+        x = x[..., a - start : b - start] - y if subtract else y
+        start, stop = a, b
+    return x, start
+
+
+def halo(steps: list[Step]) -> int:
+    """Samples that filters need on both sides."""
+    return sum(len(taps) // 2 for taps, _ in steps)
+
+
 def detrend(x: np.ndarray, order: int = 1, rounds: int = 3, outlier: float = 3.0) -> np.ndarray:
     """Subtract a polynomial, fitted again without samples that lie beyond ``outlier`` deviations."""
     n = x.shape[-1]
@@ -85,33 +136,108 @@ def _power(x: np.ndarray, sfreq: float) -> tuple[np.ndarray, np.ndarray]:
     return np.fft.rfftfreq(n, 1 / sfreq), np.mean([np.abs(np.fft.rfft(x[..., s : s + n] * w)) ** 2 for s in starts], axis=0)
 
 
-def remove_line(x: np.ndarray, sfreq: float, line: float, most: int = 20, spread: float = 6.0) -> np.ndarray:
-    """Project out components that are strongest at the line frequency while the spectrum still peaks there."""
-    if x.shape[-1] < 2 * sfreq / line or np.linalg.matrix_rank(x) < 2:
-        return x
+def period_steps(sfreq: float, line: float) -> list[Step]:
+    """The mean over a period of the line."""
     period = np.ones(max(1, round(sfreq / line)))
-    smooth = zero_phase(x, period / len(period)) if len(period) % 2 else zero_phase(x, np.convolve(period, [0.5, 0.5]) / len(period))
-    fast = x - smooth
+    return [(period / len(period) if len(period) % 2 else np.convolve(period, [0.5, 0.5]) / len(period), False)]
+
+
+def welch_length(total: int, sfreq: float) -> int:
+    return min(total, max(8, int(2 * sfreq)))
+
+
+@dataclass
+class LineStatistics:
+    """Sums from which line noise is found: those of two parts of a recording may be added."""
+
+    gram: np.ndarray  # channels x channels
+    spectra: np.ndarray  # frequencies x channels x channels, of windows that overlap by half
+    windows: int
+
+    @classmethod
+    def of(cls, fast: np.ndarray, windows: list[np.ndarray], bins: np.ndarray) -> LineStatistics:
+        c = len(fast)
+        spectra = np.zeros((len(bins), c, c), complex)
+        for w in windows:
+            f = np.fft.rfft(w * np.hanning(w.shape[-1]))[:, bins].T
+            spectra += f[:, :, None] * f[:, None, :].conj()
+        return cls(fast @ fast.T, spectra, len(windows))
+
+    def __add__(self, other: LineStatistics) -> LineStatistics:
+        return LineStatistics(self.gram + other.gram, self.spectra + other.spectra, self.windows + other.windows)
+
+
+def line_bins(n: int, sfreq: float, line: float, spread: float = 6.0) -> np.ndarray:
+    """The frequencies of a window of ``n`` samples that lie near the line or at one of its harmonics."""
+    f = np.fft.rfftfreq(n, 1 / sfreq)
+    use = np.abs(f - line) <= spread
+    for k in range(1, int(sfreq / 2 / line) + 1):
+        use |= np.abs(f - k * line) <= 0.5
+    return np.flatnonzero(use)
+
+
+def line_projection(s: LineStatistics, n: int, sfreq: float, line: float, most: int = 20, spread: float = 6.0) -> np.ndarray:
+    """The matrix that takes components out which are strongest at the line and its harmonics, one by one while the spectrum still peaks there."""
+    f = np.fft.rfftfreq(n, 1 / sfreq)[line_bins(n, sfreq, line, spread)]
+    near, peak = (np.abs(f - line) <= spread) & (np.abs(f - line) > 1), np.abs(f - line) <= 0.5
+    harmonic = np.any([np.abs(f - k * line) <= 0.5 for k in range(1, int(sfreq / 2 / line) + 1)], axis=0)
+    out = np.eye(len(s.gram))
+    gram, spectra = s.gram, s.spectra
+    if not s.windows or not near.any() or not peak.any():
+        return out
     for _ in range(most):
-        f, p = _power(fast, sfreq)
-        mean = np.log10(p.mean(axis=0) + 1e-300)
-        near = (np.abs(f - line) <= spread) & (np.abs(f - line) > 1)
-        peak = np.abs(f - line) <= 0.5
-        if not near.any() or not peak.any() or mean[peak].max() <= mean[near].mean() + 3 * mean[near].std():
+        mean = np.log10(np.einsum("fcc->fc", spectra).real.mean(axis=1) / s.windows + 1e-300)
+        if mean[peak].max() <= mean[near].mean() + 3 * mean[near].std():
             break
-        spectrum = np.fft.rfft(fast)
-        freqs = np.fft.rfftfreq(x.shape[-1], 1 / sfreq)
-        harmonic = np.zeros(len(freqs), bool)
-        for k in range(1, int(sfreq / 2 / line) + 1):
-            harmonic |= np.abs(freqs - k * line) <= 0.5
-        biased = np.fft.irfft(spectrum * harmonic, x.shape[-1])
-        scale, axes = np.linalg.eigh(fast @ fast.T)
+        scale, axes = np.linalg.eigh(gram)
         good = scale > scale.max() * 1e-10
         white = axes[:, good] / np.sqrt(scale[good])
-        turn = np.linalg.eigh(white.T @ (biased @ biased.T) @ white)[1][:, -1]
-        source = turn @ white.T @ fast
-        fast = fast - np.outer(fast @ source, source) / (source @ source)
-    return smooth + fast
+        w = white @ np.linalg.eigh(white.T @ spectra[harmonic].real.sum(axis=0) @ white)[1][:, -1]
+        step = np.eye(len(gram)) - np.outer(gram @ w, w) / (w @ gram @ w)
+        out, gram, spectra = step @ out, step @ gram @ step.T, step @ spectra @ step.T
+    return out
+
+
+def remove_line(x: np.ndarray, sfreq: float, line: float, most: int = 20, spread: float = 6.0) -> np.ndarray:
+    """Project out components that are strongest at the line frequency while the spectrum still peaks there."""
+    if x.shape[-1] < 2 * sfreq / line or np.linalg.matrix_rank(x) < 2:
+        return x
+    smooth = filtered(x, period_steps(sfreq, line))
+    fast, n = x - smooth, welch_length(x.shape[-1], sfreq)
+    windows = [fast[:, s : s + n] for s in range(0, x.shape[-1] - n + 1, max(1, n // 2))]
+    found = LineStatistics.of(fast, windows, line_bins(n, sfreq, line, spread))
+    return smooth + line_projection(found, n, sfreq, line, most, spread) @ fast
+
+
+# --- moments --------------------------------------------------------------------
+
+
+@dataclass
+class Moments:
+    """Count, means and centred products of channels; ``a + b`` are those of both parts together."""
+
+    n: int
+    mean: np.ndarray
+    products: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        mean = x.mean(axis=1) if x.shape[1] else np.zeros(len(x))
+        y = x - mean[:, None]
+        return cls(x.shape[1], mean, y @ y.T)
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        if not n:
+            return self
+        d = other.mean - self.mean
+        return Moments(n, self.mean + d * (other.n / n), self.products + other.products + np.outer(d, d) * (self.n * other.n / n))
+
+    def whitening(self) -> np.ndarray:
+        """A matrix, a row for each dimension that the channels span, that makes centred channels uncorrelated and of variance 1."""
+        scale, axes = np.linalg.eigh(self.products / self.n)
+        good = scale > scale.max() * len(scale) * np.finfo(float).eps
+        return (axes[:, good] / np.sqrt(scale[good])).T
 
 
 # --- bad channels -------------------------------------------------------------

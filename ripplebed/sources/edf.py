@@ -71,8 +71,14 @@ def parse(path: str, raw: bytes, signals: bool = True) -> dict:
         return row
     if len(raw) < h["bytes"] + records * size:
         raise ValueError("the data are cut off")
-    block = np.frombuffer(raw, "<i2", records * size // 2, h["bytes"]).reshape(records, -1)
+    data, notes = channels_of(h, np.frombuffer(raw, "<i2", records * size // 2, h["bytes"]).reshape(records, -1))
+    return row | {"data": data, "annotations": notes}
+
+
+def channels_of(h: dict, block: np.ndarray) -> tuple[list[np.ndarray], list[tuple[float, float, str]]]:
+    """The channels in volts and the annotations of some data records."""
     starts = np.cumsum([0, *h["samples"]])
+    per = max((n for n, x in zip(h["samples"], h["label"], strict=True) if x != ANNOTATIONS), default=0)
     data, notes = [], []
     for i, label in enumerate(h["label"]):
         part = block[:, starts[i] : starts[i + 1]]
@@ -82,7 +88,7 @@ def parse(path: str, raw: bytes, signals: bool = True) -> dict:
         lo, hi, a, b = (float(h[k][i]) for k in ("dmin", "dmax", "pmin", "pmax"))
         x = ((part.reshape(-1) - lo) * ((b - a) / (hi - lo)) + a) * UNITS.get(h["unit"][i].lower(), 1.0)
         data.append(np.repeat(x, per // h["samples"][i]) if h["samples"][i] != per else x)
-    return row | {"data": data, "annotations": notes}
+    return data, notes
 
 
 def parsed(path: str, raw: bytes, signals: bool = True) -> dict:
@@ -93,8 +99,8 @@ def parsed(path: str, raw: bytes, signals: bool = True) -> dict:
         return empty | ({"data": None, "annotations": None} if signals else {})
 
 
-def write(path: str, data: np.ndarray, names: list[str], sfreq: int, annotations: list[tuple[float, float, str]] = ()) -> None:
-    """A small EDF+ file with records of one second; ``data`` in volts."""
+def write(path: str, data: np.ndarray, names: list[str], sfreq: int, annotations: list[tuple[float, float, str]] = (), repeat: int = 1) -> None:
+    """An EDF+ file with records of one second; ``data`` in volts, written ``repeat`` times one behind the other."""
     records = data.shape[1] // sfreq
     notes = b"".join(b"+%g\x15%g\x14%s\x14\x00" % (o, d, t.encode()) for o, d, t in annotations)
     room = -(-max(16, len(notes) + 16) // 2)
@@ -102,16 +108,17 @@ def write(path: str, data: np.ndarray, names: list[str], sfreq: int, annotations
     peak = max(1.0, float(np.abs(data).max()) * 1e6)
     signal = {"label": [*names, ANNOTATIONS], "transducer": [""] * n, "unit": ["uV"] * (n - 1) + [""], "pmin": [f"{-peak:.6g}"[:8]] * (n - 1) + ["-1"], "pmax": [f"{peak:.6g}"[:8]] * (n - 1) + ["1"],
               "dmin": ["-32768"] * n, "dmax": ["32767"] * n, "filter": [""] * n, "samples": [str(sfreq)] * (n - 1) + [str(room)], "reserved": [""] * n}
-    head = b"0".ljust(8) + b"X".ljust(80) * 2 + b"01.01.0100.00.00" + str(256 * (n + 1)).encode().ljust(8) + b"EDF+C".ljust(44) + str(records).encode().ljust(8) + b"1".ljust(8) + str(n).encode().ljust(4)
+    head = b"0".ljust(8) + b"X".ljust(80) * 2 + b"01.01.0100.00.00" + str(256 * (n + 1)).encode().ljust(8) + b"EDF+C".ljust(44) + str(records * repeat).encode().ljust(8) + b"1".ljust(8) + str(n).encode().ljust(4)
     for name, width in FIELDS:
         head += b"".join(x.encode("latin-1")[:width].ljust(width) for x in signal[name])
     lo, hi = float(signal["pmin"][0]), float(signal["pmax"][0])
     digital = np.clip(np.round((data * 1e6 - lo) / (hi - lo) * 65535 - 32768), -32768, 32767).astype("<i2")
     with open(path, "wb") as f:
         f.write(head)
-        for r in range(records):
+        for k in range(records * repeat):
+            r = k % records
             f.write(digital[:, r * sfreq : (r + 1) * sfreq].tobytes())
-            f.write((b"+%d\x14\x14\x00" % r + (notes if r == 0 else b"")).ljust(2 * room, b"\x00"))
+            f.write((b"+%d\x14\x14\x00" % k + (notes if k == 0 else b"")).ljust(2 * room, b"\x00"))
 
 
 def list_files(spark: SparkSession, source: str) -> DataFrame:
