@@ -164,3 +164,39 @@ def capacity(max_mb: float, shape: tuple[int, ...]) -> int:
     for s in shape:
         n *= s
     return int(max_mb * 1e6 / n)
+
+
+# --- order by chance ---------------------------------------------------------
+
+ROUNDS, WALKS = 6, 16
+
+
+def permuted(number: Column, n: int, seed: int) -> Column:
+    """Another order of the numbers from 0 to ``n`` - 1, told for each number on its own: no sort, no table.
+
+    A Feistel network over a grid of a * b >= n places: each round shifts one coordinate
+    by a hash of the other.  What falls beyond ``n``, less than a row of the grid, goes
+    through again.
+    """
+    a = max(1, int(np.ceil(np.sqrt(n))))
+    b = max(1, -(-n // a))
+    whole = F.lit(n).cast("long")
+
+    def turn(x: Column) -> Column:
+        left, right = F.floor(x / b).cast("long"), (x % b).cast("long")
+        at = F.struct(left.alias("l"), right.alias("r"))
+        for k in range(ROUNDS):
+            if k % 2:
+                step = lambda p, k=k: F.struct(p["l"].alias("l"), F.pmod(p["r"] + F.pmod(F.xxhash64(p["l"], F.lit(seed), F.lit(k)), F.lit(b)), F.lit(b)).cast("long").alias("r"))
+            else:
+                step = lambda p, k=k: F.struct(F.pmod(p["l"] + F.pmod(F.xxhash64(p["r"], F.lit(seed), F.lit(k)), F.lit(a)), F.lit(a)).cast("long").alias("l"), p["r"].alias("r"))
+            at = F.transform(F.array(at), step)[0]
+        return F.transform(F.array(at), lambda p: p["l"] * b + p["r"])[0]
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), turn(number.cast("long")), lambda x, _: F.when(x < whole, x).otherwise(turn(x)))
+    return F.transform(F.array(walked), lambda x: F.when(x < whole, x).otherwise(F.raise_error(F.lit("a number found no place")).cast("long")))[0]
+
+
+def shuffled(df: DataFrame, number: str, n: int, seed: int, out: str = "place") -> DataFrame:
+    """The rows in another order, which ``out`` tells, in range partitions; ``number`` counts them from 0."""
+    return df.withColumn(out, permuted(F.col(number), n, seed)).repartitionByRange(out).sortWithinPartitions(out)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +120,8 @@ def compact(spark: SparkSession, src: str, out: str, max_mb: float, order: list[
     rows.write.mode("errorifexists").option("maxRecordsPerFile", max(1, L.capacity(max_mb, of_one))).partitionBy("out_name").parquet(f"{out}/data")
     manifest(spark, src).write.mode("errorifexists").parquet(f"{out}/manifest/run=compacted")
     made = spark.read.parquet(f"{out}/data")
+    # One row for each output file.
+    file_starts(made).coalesce(1).write.parquet(f"{out}/index")
     if made.count() != data.count():
         raise ValueError("compaction lost windows")
     if delete_source:
@@ -130,21 +133,41 @@ def compact(spark: SparkSession, src: str, out: str, max_mb: float, order: list[
     return made
 
 
+def file_starts(data: DataFrame) -> DataFrame:
+    """Each output file's first number and how many windows it has; of the data only the numbers are read."""
+    return data.groupBy("out_name").agg(F.min("global_idx").alias("first"), F.count("*").alias("n")).orderBy("first")
+
+
 class WindowDataset:
-    """Windows of a compacted dataset by number, or all in order."""
+    """Windows of a compacted dataset by number, in order, or in another order each epoch.
+
+    The driver holds the names of output files and the numbers that they begin with
+    (a few dozen bytes for each file of up to some GB); which files hold what is asked
+    for is found there by binary search, and no other file is opened.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.rows = spark.read.parquet(f"{path}/data")
-        self.length = self.rows.count()
+        index = spark.read.parquet(f"{path}/index") if _there(spark, f"{path}/index") else file_starts(self.rows)
+        found = index.orderBy("first").toArrow()
+        self.names, self.first = found["out_name"].to_pylist(), found["first"].to_numpy()
+        self.length = int(found["n"].to_numpy().sum())
 
     def __len__(self) -> int:
         return self.length
 
+    def files_of(self, numbers: list[int]) -> list[str]:
+        """The output files that hold these numbers."""
+        return [self.names[i] for i in np.unique(np.searchsorted(self.first, numbers, side="right") - 1).tolist()]
+
+    def _asked(self, numbers: list[int]) -> DataFrame:
+        return self.rows.where(F.col("out_name").isin(self.files_of(numbers)) & F.col("global_idx").isin(list(numbers)))
+
     def take(self, numbers: list[int]) -> list[Row]:
         """The windows of these numbers, in their order; one job for all of them."""
         if bad := [i for i in numbers if i < 0 or i >= self.length]:
             raise IndexError(bad[0])
-        found = {r["global_idx"]: r for r in self.rows.where(F.col("global_idx").isin(list(numbers))).collect()}
+        found = {r["global_idx"]: r for r in self._asked(numbers).collect()} if numbers else {}
         return [found[i] for i in numbers]
 
     def __getitem__(self, i: int) -> Row:
@@ -152,3 +175,7 @@ class WindowDataset:
 
     def __iter__(self) -> Iterator[Row]:
         yield from self.rows.orderBy("global_idx").toLocalIterator()
+
+    def epoch(self, seed: int) -> DataFrame:
+        """All windows in an order of this seed's own, as ``place`` tells."""
+        return L.shuffled(self.rows, "global_idx", self.length, seed)

@@ -16,8 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplebed.functions import kernels as K
+from ripplebed.functions import table_functions as T
 from ripplebed.functions.montage import positions
+from ripplebed.operators import asof as A
 from ripplebed.operators import channels as C
+from ripplebed.operators import chunks as CH
+from ripplebed.operators import intervals as I
 from ripplebed.operators import layout as L
 from ripplebed.operators import windows as W
 from ripplebed.plans import pipeline as P
@@ -589,3 +593,105 @@ def ransac_bad(spark, sf):
         return {"bad": among(K.ransac_bad(field, 64.0, places(len(x)), seed=int(ids[0]), window_s=1.0), len(x))}
 
     return by_window(spark, sf, kernel, "bad boolean")
+
+
+# --- recordings in chunks, joins by place ---------------------------------------
+
+#: Seven recordings of 64 channels: vector t * 7 + rec is the sample t of recording rec; sixteen samples to a chunk.
+RECORDINGS, CHUNK = 7, 16
+LONG = f"s AS (SELECT vec_id % {RECORDINGS} AS rec, vec_id // {RECORDINGS} AS t, unnest(range(0, 64)) AS ch, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+def chunked(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") % RECORDINGS).cast("string").alias("path"), F.floor(F.col("vec_id") / RECORDINGS).alias("t"), "embedding")
+    rows = e.groupBy("path", F.floor(F.col("t") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("t", "embedding"))).alias("r"))
+    data = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda d: F.transform("r", lambda r: F.get(r["embedding"], d).cast("double")))
+    null = lambda t: F.lit(None).cast(t)
+    return rows.join(e.groupBy("path").agg(F.count("*").alias("n_times")), "path").select(
+        "path", "chunk", (F.col("chunk") * CHUNK).alias("start_sample"), F.lit(CHUNK).cast("long").alias("length"), "n_times", F.lit(64.0).alias("sfreq"), null("array<string>").alias("ch_names"),
+        null("array<struct<onset: double, duration: double, description: string>>").alias("annotations"), F.lit("ok").alias("status"), null("string").alias("error"), data.alias("data"),
+    )
+
+
+@query(
+    f"""WITH {LONG}, n AS (SELECT *, count(*) OVER (PARTITION BY rec, ch) AS n, lag(v, 1) OVER w AS a1, lag(v, 2) OVER w AS a2, lead(v, 1) OVER w AS b1, lead(v, 2) OVER w AS b2 FROM s WINDOW w AS (PARTITION BY rec, ch ORDER BY t))
+SELECT rec::VARCHAR AS path, t, ch, round(0.4 * v
++ 0.2 * CASE WHEN t = 0 THEN 2 * v - b1 ELSE a1 END + 0.1 * CASE t WHEN 0 THEN 2 * v - b2 WHEN 1 THEN 2 * a1 - v ELSE a2 END
++ 0.2 * CASE WHEN t = n - 1 THEN 2 * v - a1 ELSE b1 END + 0.1 * CASE t WHEN n - 1 THEN 2 * v - a2 WHEN n - 2 THEN 2 * b1 - v ELSE b2 END, 6) + 0.0 AS v FROM n"""
+)
+def chunked_filter(spark, sf):
+    """A filter over recordings in chunks, which send each other their edges."""
+    done = CH.filtered(chunked(spark, sf), lambda _: [(np.array(TAPS), False)])
+    flat = done.select("path", "start_sample", F.posexplode("data").alias("ch", "row")).select("path", "start_sample", F.col("ch").cast("long").alias("ch"), F.posexplode("row").alias("i", "v"))
+    return flat.select("path", (F.col("start_sample") + F.col("i")).alias("t"), "ch", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(
+    f"""WITH {LONG}, p AS (SELECT a.rec, a.ch, count(*) AS n, avg(a.v) AS mean, var_pop(a.v) AS variance, covar_pop(a.v, b.v) AS covariance FROM s a JOIN s b ON a.rec = b.rec AND a.t = b.t AND b.ch = (a.ch + 1) % 64 GROUP BY a.rec, a.ch)
+SELECT rec::VARCHAR AS path, ch, n, round(mean, 6) + 0.0 AS mean, round(variance, 6) + 0.0 AS variance, round(covariance, 6) + 0.0 AS covariance FROM p"""
+)
+def chunked_moments(spark, sf):
+    """Means, variances and covariances of whole recordings, merged from those of their chunks."""
+    found = CH.moments(chunked(spark, sf)).select("path", "n", "mean", F.posexplode("products").alias("ch", "p"))
+    of = lambda c: F.round(c, 6) + 0.0
+    return found.select(
+        "path", F.col("ch").cast("long").alias("ch"), "n", of(F.get("mean", "ch")).alias("mean"), of(F.get("p", "ch") / F.col("n")).alias("variance"), of(F.get("p", (F.col("ch") + 1) % 64) / F.col("n")).alias("covariance")
+    )
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + 3600000000 * (1 + event_id % 50) AS b FROM events)
+SELECT x.event_id, count(*) AS n, sum(y.event_id)::BIGINT AS partners FROM e x JOIN e y ON x.user_id = y.user_id AND x.a < y.b AND y.a < x.b GROUP BY x.event_id"""
+)
+def interval_overlaps(spark, sf):
+    """Stretches of one to fifty hours that overlap with others of their user."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("a"))
+    e = e.withColumn("b", F.col("a") + F.lit(3_600_000_000) * (1 + F.col("event_id") % 50))
+    other = e.select("user_id", F.col("event_id").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"))
+    pairs = I.overlaps(e, other, ["user_id"], ("a", "b"), ("c", "d"), 86_400_000_000)
+    return pairs.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("other").alias("partners"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, n, coalesce(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id))
+SELECT event_id AS global_idx, CASE WHEN event_id - first < n THEN conv_id END AS conv_id, CASE WHEN event_id - first < n THEN event_id - first END AS local_idx FROM events ASOF LEFT JOIN c ON event_id >= first"""
+)
+def asof_lookup(spark, sf):
+    """Which file, and which window in it, has each number that is asked for; numbers beyond the last have none."""
+    n = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    starts = L.cumulative(n, ["conv_id"], "n")
+    found = A.asof(table(spark, sf, "events").select(F.col("event_id").alias("global_idx")), starts, [], "global_idx", "first")
+    local = F.col("global_idx") - F.col("first")
+    return found.select("global_idx", F.when(local < F.col("n"), F.col("conv_id")).alias("conv_id"), F.when(local < F.col("n"), local).alias("local_idx"))
+
+
+@query(
+    """SELECT a.click AS event_id, b.event_id AS view_id FROM (SELECT user_id, ts, event_id AS click FROM events WHERE event_type = 'click') a
+LEFT JOIN LATERAL (SELECT event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = a.user_id AND v.ts <= a.ts ORDER BY ts DESC, event_id DESC LIMIT 1) b ON true"""
+)
+def asof_last_view(spark, sf):
+    """The last view of its user before each click."""
+    e = table(spark, sf, "events")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", "event_id")
+    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"))
+    return A.asof(clicks, views, ["user_id"], "ts", "seen").select("event_id", "view_id")
+
+
+@query("SELECT seed, count(*) AS n, 0::BIGINT AS least, count(*) - 1 AS most, count(*) AS places, true AS moved FROM documents CROSS JOIN (SELECT unnest([1, 2, 3]) AS seed) GROUP BY seed")
+def epoch_orders(spark, sf):
+    """Three orders of all documents by chance: each place is taken once, and few documents stay where they were."""
+    docs = L.numbered(table(spark, sf, "documents").select("doc_id"), ["doc_id"], "number")
+    n = docs.count()
+    places = F.array(*(F.struct(F.lit(s).alias("seed"), L.permuted(F.col("number"), n, s).alias("place")) for s in (1, 2, 3)))
+    rows = docs.select("number", F.inline(places))
+    return rows.groupBy("seed").agg(F.count("*").alias("n"), F.min("place").alias("least"), F.max("place").alias("most"), F.countDistinct("place").alias("places"), (F.count_if(F.col("place") == F.col("number")) < 0.1 * F.count("*")).alias("moved"))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS a FROM events)
+SELECT user_id, k // 10 AS win_idx, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM n WHERE k < a - a % 10 GROUP BY user_id, k // 10""")
+def table_function_windows(spark, sf):
+    """Fixed windows by the table function."""
+    T.register(spark)
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    got = spark.sql("SELECT * FROM fixed_windows(TABLE({rows}), by => 'user_id', order => 'ts,event_id', value => 'cents', width => 10)", rows=rows)
+    return got.select("user_id", "win_idx", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("cents"))
