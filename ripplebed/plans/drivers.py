@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ripplebed.operators import sinks
 from ripplebed.plans.config import PipelineConfig, from_yaml
 from ripplebed.plans.pipeline import Pipeline
-from ripplebed.sources import edf
+from ripplebed.sources import committed, edf
 
 #: MB of a compacted file, of windows and of labelled ones.
 FILE_MB, LABELLED_MB = 2000.0, 4000.0
@@ -29,6 +29,23 @@ def run(spark: SparkSession, source: str, out: str, pipeline: PipelineConfig | P
     return sinks.windows(spark, out)
 
 
+def run_committed(spark: SparkSession, source: str, out: str, pipeline: PipelineConfig | Pipeline, labelled: bool = False, run_id: str | None = None) -> DataFrame:
+    """The same into the sink ``committed``: counted and checksummed as it is written; returns the counters.
+
+    Every file that was attempted has a row there, if only one that tells why it was
+    dropped, so what is written is also what is done.
+    """
+    pipeline = Pipeline(pipeline) if isinstance(pipeline, PipelineConfig) else pipeline
+    paths = edf.list_files(spark, source)
+    if not committed.manifest(spark, out).isEmpty():
+        paths = paths.join(committed.read(spark, out).select("stem").distinct(), "stem", "left_anti")
+    if not paths.isEmpty():
+        recordings = edf.read_listed(spark, paths)
+        made = pipeline.labelled(recordings) if labelled else pipeline.windows(recordings)
+        committed.write(made, out, run_id or uuid.uuid4().hex)
+    return committed.counters(spark, out)
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser()
     p.add_argument("--config", required=True)

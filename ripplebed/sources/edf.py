@@ -14,7 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith,
+)
 from pyspark.sql.types import StructType
 
 from ripplebed.operators.layout import stem
@@ -195,17 +197,54 @@ class _File(InputPartition):
         self.path = path
 
 
+#: How a filter of each kind judges a value that isn't null.
+JUDGED = {
+    EqualTo: lambda v, x: v == x, GreaterThan: lambda v, x: v > x, GreaterThanOrEqual: lambda v, x: v >= x, LessThan: lambda v, x: v < x, LessThanOrEqual: lambda v, x: v <= x,
+    In: lambda v, x: v in x, StringStartsWith: lambda v, x: v.startswith(x), StringEndsWith: lambda v, x: v.endswith(x), StringContains: lambda v, x: x in v, IsNotNull: lambda v, _: True,
+}
+#: Columns that the path or the head of a file tells.
+HEADED = ("path", "sfreq", "n_times", "duration", "status")
+
+
 class EdfReader(DataSourceReader):
+    """A partition for each file.
+
+    Filters on the path leave out files, those on what a head tells are judged on the
+    head alone, before the samples are read; all others go back to Spark.
+    """
+
     def __init__(self, paths: list[str], signals: bool):
-        self.paths, self.signals = paths, signals
+        self.paths, self.signals, self.filters = paths, signals, []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if type(f) in JUDGED and len(f.attribute) == 1 and f.attribute[0] in HEADED:
+                self.filters.append(f)
+            else:
+                yield f
+
+    def _fits(self, row: dict, columns: tuple[str, ...]) -> bool:
+        asked = [f for f in self.filters if f.attribute[0] in columns]
+        return all((v := row[f.attribute[0]]) is not None and JUDGED[type(f)](v, getattr(f, "value", None)) for f in asked)
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+        return [_File(p) for p in self.paths if self._fits({"path": p}, ("path",))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            raw = f.read() if self.signals else f.read(256 * 1024)
+            raw = f.read(256)
+            if len(raw) == 256 and raw[252:256].strip().isdigit():
+                raw += f.read(256 * int(raw[252:256]))
+            head = parsed(partition.path, raw, signals=False)
+            # The number of records may be told by the file's length alone, and data that are cut off by the data.
+            sure = head["status"] == "ok" and raw[236:244].strip() != b"-1"
+            if self.filters and sure and not self._fits(head, tuple(c for c in HEADED if c != "status")):
+                return
+            if self.signals or not sure:
+                raw += f.read()
         row = parsed(partition.path, raw, self.signals)
+        if not self._fits(row, HEADED):
+            return
         if self.signals and row["data"] is not None:
             row["data"] = [x.tolist() for x in row["data"]]
         yield tuple(row.values())
