@@ -15,6 +15,7 @@ from importlib import import_module
 import numpy as np
 
 from ripplebed.functions import kernels as K
+from ripplebed.functions.labeller import labeller
 from ripplebed.functions.montage import positions, spline_weights
 from ripplebed.plans.config import PipelineConfig
 
@@ -112,7 +113,7 @@ def components(s: Signal) -> None:
         return
     unmixing, mixing = K.infomax(s.x, s.seed)
     sources = unmixing @ (s.x - s.x.mean(axis=1, keepdims=True))
-    labels = K.heuristic_labels(sources, mixing, s.sfreq, s.places(s.names), list(s.cfg.line))
+    labels = labeller(s.cfg.labeller)(sources, mixing, s.sfreq, s.places(s.names), list(s.cfg.line))
     gone = [i for i, (name, p) in enumerate(labels) if name not in s.cfg.included_components and p > s.cfg.iclabel_threshold]
     s.told |= {"ica_excluded": gone, "ica_labels": [n for n, _ in labels], "ica_proba": [p for _, p in labels]}
     s.x = s.x - mixing[:, gone] @ sources[gone]
@@ -135,4 +136,4 @@ def order(s: Signal) -> None:
 
 @stage("resample")
 def resample(s: Signal) -> None:
-    s.x, s.sfreq = K.resample_nearest(s.x, s.sfreq, s.cfg.sfreq), s.cfg.sfreq
+    s.x, s.sfreq = K.RESAMPLERS[s.cfg.resampling](s.x, s.sfreq, s.cfg.sfreq), s.cfg.sfreq
