@@ -555,24 +555,6 @@ def test_suffix_tree(docs, none):
     assert suffix_tree.score(none).count() == 0
 
 
-def test_tree_is_a_distribution():
-    """Chances of all next bytes sum to 1 in every state, and scores do not depend on where a text is divided."""
-    data = b"the stone and the river and the light\n" * 300
-    x = np.frombuffer(b"\n" * suffix_tree.DEPTH + data, np.uint8).astype(np.int64)
-    counts = []
-    for k in range(suffix_tree.DEPTH + 1):
-        grams = defaultdict(int)
-        for i in range(suffix_tree.DEPTH, len(x)):
-            grams[(int.from_bytes(bytes(x[i - k : i].tolist()), "big"), int(x[i]))] += 1
-        counts.append(tuple(np.array(c, np.int64) for c in zip(*((*key, n) for key, n in grams.items()), strict=True)))
-    tree = suffix_tree.build(counts, divergence=1.0)
-    n = int(tree.classes.max()) + 1
-    table = 10.0 ** tree.chances.reshape(-1, n)[:, tree.classes]
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-5) and tree.nodes > 10
-    text_ = np.frombuffer(b"the river and stone\n", np.uint8)
-    assert np.allclose(tree.of_bytes(np.tile(text_, 400)).reshape(400, -1)[200], tree.of_bytes(np.tile(text_, 3)).reshape(3, -1)[1], atol=1e-6)
-
-
 def test_suffix_tree_of_any_ids(spark):
     """Ids over the whole range of longs, and rows without one, score as they would under small ids."""
     rng = np.random.default_rng(4)
@@ -580,7 +562,8 @@ def test_suffix_tree_of_any_ids(spark):
     ids = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 396)] + [-(2**63), 2**63 - 1, None, None]
     got = suffix_tree.score(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), block_bytes=3000).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, ids))
-    want = longest_suffix_scores(list(zip(ids, texts, strict=True)))
+    scores, _ = longest_suffix_scores(list(zip(ids, texts, strict=True)))
+    want = {i: s for i, s in zip(ids, scores, strict=True) if i is not None}
     for r in got:
         if r["doc_id"] is not None:
             assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-6)
@@ -641,3 +624,42 @@ def test_suffix_tree_scores(spark, monkeypatch, broadcast):
     assert len(got) == len(rows) and nodes > 50
     scored = sorted((r["doc_id"], r["score"]) for r in got)
     assert np.allclose(scored, sorted((i, s) for (i, _), s in zip(rows, want, strict=True)), rtol=1e-9, atol=1e-6)
+
+
+def small_network(rng):
+    e, f, wide = language_id.EMBEDDED, language_id.FILTERS, max(language_id.WIDTHS)
+    filters = rng.normal(size=(wide * e, f * len(language_id.WIDTHS))).astype(np.float32)
+    for k, width in enumerate(language_id.WIDTHS):
+        filters[width * e :, k * f : (k + 1) * f] = 0
+    n = f * len(language_id.WIDTHS)
+    return language_id.ByteNetwork(["a", "b", "c"], rng.normal(size=(256, e)).astype(np.float32), filters, rng.normal(size=n).astype(np.float32), rng.normal(size=(n, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+
+
+def test_language_network_by_hand():
+    """The forward pass against plain loops over bytes and filters."""
+    rng = np.random.default_rng(0)
+    net = small_network(rng)
+    windows = rng.integers(0, 256, (3, language_id.WINDOW)).astype(np.uint8)
+    got = net.probabilities(windows)
+    for w, p in zip(windows, got, strict=True):
+        wide, e = max(language_id.WIDTHS), language_id.EMBEDDED
+        best = np.full(net.filters.shape[1], -np.inf)
+        for at in range(len(w) - wide + 1):
+            total = np.zeros(net.filters.shape[1])
+            for k in range(wide):
+                total += net.embedding[w[at + k]].astype(float) @ net.filters[k * e : (k + 1) * e]
+            best = np.maximum(best, total)
+        hidden = np.maximum(best + net.bias, 0)
+        logits = hidden @ net.weights + net.offset
+        want = np.exp(logits - logits.max())
+        assert np.allclose(p, want / want.sum(), atol=1e-4)
+
+
+def test_language_sample_is_bounded_by_rows(spark):
+    """A repeated id neither fills the sample nor keeps its language out of it."""
+    rows = [(1, text(i, 40), "en") for i in range(3000)] + [(i, text(i % 7, 30), "fr") for i in range(500, 1500)] + [(1, text(7, 50), "de")] * 4000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    windows, labels, languages = language_id.training_windows(docs, sample=300, least=20, most_windows=2)
+    assert languages == ["de", "en", "fr"]
+    counts = np.bincount(labels, minlength=3)
+    assert 1 <= counts[0] <= 2 and 100 <= counts[1] <= 200 and 100 <= counts[2] <= 200
