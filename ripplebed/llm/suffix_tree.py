@@ -15,8 +15,7 @@ smoothed by joins, level by level; what comes out is the chance of each run of
 DEPTH + 1 bytes, by its longest context that is a node.  Scoring looks these up: up
 to ``BROADCAST_RUNS`` of them are broadcast, more are joined to the blocks of
 documents that need them.  A block is a range of ids that holds about ``BLOCK_BYTES``
-of text; where a range has more, it is divided by a hash of id and text.  A text's score is the sum over its bytes.  ``build`` makes
-the same model in memory from counts, as an automaton.
+of text; where a range has more, it is divided by a hash of id and text.  A text's score is the sum over its bytes.
 
 The base score of the same text is that of an additive unigram model of whole
 words, whose counts (by 64-bit hash) go back to the blocks of documents that need
@@ -55,36 +54,6 @@ END = b"\n"
 BROADCAST_RUNS = 2_000_000
 
 
-@dataclass
-class Tree:
-    """The compiled model: transitions and log10 probabilities by state (row) and byte class."""
-
-    classes: np.ndarray  # byte to class
-    follow: np.ndarray  # state * classes + class: the next state's row start
-    chances: np.ndarray  # state * classes + class
-    begin: int  # the state after newlines
-    nodes: int
-
-    def of_bytes(self, data: np.ndarray, lanes: int = 4096) -> np.ndarray:
-        """log10 of the chance of each byte after the ones before it; lanes run side by side, warmed up by DEPTH bytes."""
-        n = len(data)
-        lanes = max(1, min(lanes, n // 64))
-        step = -(-n // lanes)
-        padded = np.full(DEPTH + lanes * step, 10, np.uint8)
-        padded[DEPTH : DEPTH + n] = data
-        symbols = self.classes[padded]
-        at = np.arange(lanes) * step
-        state = np.full(lanes, self.begin, np.int32)
-        for i in range(DEPTH):
-            state = self.follow[state + symbols[at + i]]
-        out = np.empty((step, lanes), np.float32)
-        for i in range(step):
-            where = state + symbols[at + (DEPTH + i)]
-            np.take(self.chances, where, out=out[i])
-            state = self.follow[where]
-        return out.T.reshape(-1)[:n]
-
-
 def body_of(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + END
 
@@ -234,85 +203,6 @@ def block_grams(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, gram long").distinct()
 
 
-def build(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float = DIVERGENCE, prior: float = PRIOR) -> Tree:
-    """Choose the nodes, smooth their distributions, and compile the automaton."""
-    root = np.full(256, 1 / 256)
-    rows: list[dict[int, np.ndarray]] = []
-    for context, byte, n in counts:
-        order = np.lexsort((byte, context))
-        context, byte, n = context[order], byte[order], n[order]
-        if not len(context):
-            rows.append({})
-            continue
-        cuts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        found = {}
-        for a, b in zip(cuts, np.append(cuts[1:], len(context)), strict=True):
-            row = np.zeros(256)
-            row[byte[a:b]] = n[a:b]
-            found[int(context[a])] = row
-        rows.append(found)
-    if rows and 0 in rows[0]:
-        root = (rows[0][0] + 0.5) / (rows[0][0].sum() + 128)
-    kept: dict[tuple[int, int], bool] = {}
-    for k in range(1, len(rows)):
-        mask = (1 << (8 * (k - 1))) - 1
-        for c, row in rows[k].items():
-            suffix = rows[k - 1].get(c & mask)
-            if suffix is None:
-                continue
-            seen = row > 0
-            p = row[seen] / row.sum()
-            if row.sum() * float(np.sum(p * np.log(p / (suffix[seen] / suffix.sum())))) >= divergence:
-                kept[(k, c)] = True
-    for k, c in sorted(kept, reverse=True):
-        while k > 1 and (k - 1, c & ((1 << (8 * (k - 1))) - 1)) not in kept:
-            k, c = k - 1, c & ((1 << (8 * (k - 1))) - 1)
-            kept[(k, c)] = True
-    smooth: dict[tuple[int, int], np.ndarray] = {(0, 0): root}
-    for k, c in sorted(kept):
-        row = rows[k][c]
-        weight = prior * np.count_nonzero(row)
-        smooth[(k, c)] = (row + weight * smooth[(k - 1, c & ((1 << (8 * (k - 1))) - 1))]) / (row.sum() + weight)
-    # States: the nodes and all their prefixes, read from the oldest byte on.
-    states = {(0, 0): 0}
-    for k, c in sorted(kept):
-        for j in range(1, k + 1):
-            states.setdefault((j, c >> (8 * (k - j))), len(states))
-    used = np.zeros(256, bool)
-    used[10] = True
-    for _, byte, _ in counts[:1]:
-        used[byte] = True
-    # Bytes that training never saw share the last class: the chance of each is the same.
-    n = int(used.sum()) + 1
-    classes = np.full(256, n - 1, np.int32)
-    classes[used] = np.arange(n - 1)
-    bytes_of = [int(b) for b in np.flatnonzero(used)]
-    unseen = int(np.flatnonzero(~used)[0]) if (~used).any() else 255
-    follow, chances = np.zeros((len(states), n), np.int32), np.zeros((len(states), n), np.float32)
-    logs: dict[tuple[int, int], np.ndarray] = {}
-    for (k, c), s in sorted(states.items()):  # shorter ones first
-        node = (k, c)
-        while node not in smooth:
-            node = (node[0] - 1, node[1] & ((1 << (8 * (node[0] - 1))) - 1))
-        if node not in logs:
-            logs[node] = np.log10(np.append(smooth[node][bytes_of], smooth[node][unseen]))
-        chances[s] = logs[node]
-        back = 0
-        for j in range(k - 1, 0, -1):  # the longest proper suffix that is a state
-            if (j, c & ((1 << (8 * j)) - 1)) in states:
-                back = states[(j, c & ((1 << (8 * j)) - 1))]
-                break
-        follow[s] = follow[back] if k else 0
-        for i, b in enumerate(bytes_of):
-            to = states.get((k + 1, (c << 8) | b))
-            if to is not None:
-                follow[s, i] = to
-    begin = 0
-    for _ in range(len(counts)):
-        begin = int(follow[begin, classes[10]])
-    return Tree(classes, (follow * n).reshape(-1), chances.reshape(-1), begin * n, len(kept))
-
-
 def with_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add ``block``, a function of doc_id and text."""
     size = F.octet_length("text").cast("long")
