@@ -97,6 +97,8 @@ class MergeAutomaton:
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str = END, spell=lambda s: s.encode("latin-1")):
         n = max(vocabulary.values(), default=-1) + 1
+        if n > 1 << 20:
+            raise ValueError("more than 2^20 ids: two of them would no longer fit one key")
         self.labels = [""] * n
         for t, i in vocabulary.items():
             self.labels[i] = t
