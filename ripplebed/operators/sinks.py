@@ -63,7 +63,7 @@ def windows(spark: SparkSession, out: str) -> DataFrame:
 def log(spark: SparkSession, out: str) -> DataFrame:
     """One line for each window, and for each file from which none came: what was done, or why it was dropped."""
     rows = all_rows(spark, out)
-    told = ["bad_chs", "missing_chs", "extra_chs", "dropped_chs", "ica_excluded", "ica_labels"]
+    told = ["bad_chs", "missing_chs", "extra_chs", "dropped_chs", "ica_excluded", "ica_labels", "notes"]
     proba = [F.transform("ica_proba", lambda p: F.bround(p, 2)).alias("ica_proba")] if "ica_proba" in rows.columns else []
     return rows.select("path", "stem", F.bround("t_start", 1).alias("t_start"), F.bround("t_end", 1).alias("t_end"), "status", "drop_reason", *[c for c in told if c in rows.columns], *proba)
 
@@ -97,16 +97,30 @@ def shape(data: DataFrame) -> tuple[int, int]:
     return r[0] or 0, r[2] or 0
 
 
-def compact(spark: SparkSession, src: str, out: str, max_mb: float, order: list[str], delete_source: bool = False, swap: bool = False) -> DataFrame:
+def fitted(data: DataFrame, channels: int, samples: int) -> DataFrame:
+    """Windows of one shape: zeros are added at the end, or channels and samples cut off there; ``fitted`` tells the shape before, null where it was right."""
+    c, n = F.size("data"), F.coalesce(F.array_max(F.transform("data", lambda x: F.size(x))), F.lit(0))
+    even = F.forall("data", lambda x: F.size(x) == samples)
+    zeros = lambda k: F.array_repeat(F.lit(0.0).cast("float"), k)
+    row = lambda x: F.slice(F.concat(x.cast("array<float>"), zeros(F.greatest(F.lit(samples) - F.size(x), F.lit(0)))), 1, samples)
+    rows = F.slice(F.concat(F.transform("data", row), F.array_repeat(zeros(F.lit(samples)), F.greatest(F.lit(channels) - c, F.lit(0)))), 1, channels)
+    right = (c == channels) & even
+    return data.withColumns({"fitted": F.when(~right, F.concat_ws("x", c, n)), "data": F.when(right, F.col("data").cast("array<array<float>>")).otherwise(rows)})
+
+
+def compact(spark: SparkSession, src: str, out: str, max_mb: float, order: list[str], delete_source: bool = False, swap: bool = False, fit: tuple[int, int] | None = None) -> DataFrame:
     """Write sources' windows into files of at most ``max_mb`` by next fit, each with gapless file and global numbers.
 
     An existing target is refused.  The source stays, unless ``delete_source`` is
-    asked for; by ``swap`` the target then takes its place.
+    asked for; by ``swap`` the target then takes its place.  Windows must be of one
+    shape, or are brought to ``fit`` (channels, samples), each with a note of what was
+    done to it.
     """
     if _there(spark, f"{out}/data"):
         raise ValueError(f"{out} holds compacted data already")
     data = windows(spark, src)
-    of_one = shape(data)
+    data = fitted(data, *fit) if fit else data
+    of_one = fit or shape(data)
     size = F.lit(4 * of_one[0] * of_one[1]).cast("long")
     files = data.groupBy("path").agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
     counted = L.numbered(files, ["path"], "file_ord")

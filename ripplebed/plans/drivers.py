@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ripplebed.operators import sinks
 from ripplebed.plans.config import PipelineConfig, from_yaml
 from ripplebed.plans.pipeline import Pipeline
-from ripplebed.sources import committed, edf
+from ripplebed.sources import committed, edf, edf_ranges
 
 #: MB of a compacted file, of windows and of labelled ones.
 FILE_MB, LABELLED_MB = 2000.0, 4000.0
@@ -29,7 +29,7 @@ def run(spark: SparkSession, source: str, out: str, pipeline: PipelineConfig | P
     return sinks.windows(spark, out)
 
 
-def run_committed(spark: SparkSession, source: str, out: str, pipeline: PipelineConfig | Pipeline, labelled: bool = False, run_id: str | None = None) -> DataFrame:
+def run_committed(spark: SparkSession, source: str, out: str, pipeline: PipelineConfig | Pipeline, labelled: bool = False, run_id: str | None = None, names: str = "unique") -> DataFrame:
     """The same into the sink ``committed``: counted and checksummed as it is written; returns the counters.
 
     Every file that was attempted has a row there, if only one that tells why it was
@@ -40,9 +40,9 @@ def run_committed(spark: SparkSession, source: str, out: str, pipeline: Pipeline
     if not committed.manifest(spark, out).isEmpty():
         paths = paths.join(committed.read(spark, out).select("stem").distinct(), "stem", "left_anti")
     if not paths.isEmpty():
-        recordings = edf.read_listed(spark, paths)
+        recordings = edf_ranges.read_paths(paths)
         made = pipeline.labelled(recordings) if labelled else pipeline.windows(recordings)
-        committed.write(made, out, run_id or uuid.uuid4().hex)
+        committed.write(made, out, run_id or uuid.uuid4().hex, names=names)
     return committed.counters(spark, out)
 
 
@@ -55,10 +55,14 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--max_file_size", type=float, help="MB of a compacted file")
     p.add_argument("--delete_source", action="store_true", help="delete the windows that were compacted; else they stay")
     p.add_argument("--swap", action="store_true", help="with --delete_source: the compacted folder takes their place")
+    p.add_argument("--committed", action="store_true", help="write into the sink that counts and checksums what it writes; nothing is compacted")
     told = p.parse_args(args)
     pipeline, rest = from_yaml(told.config)
     spark = SparkSession.builder.getOrCreate()
     out = rest["out_path"].rstrip("/")
+    if told.committed:
+        run_committed(spark, rest["dataset_path"], out, pipeline, told.labelled).show()
+        return
     run(spark, rest["dataset_path"], out, pipeline, told.labelled, "overwrite" if rest.get("overwrite") else "append")
     target = told.compact or (f"{out}_combined" if told.labelled and not told.no_compact else None)
     if target:

@@ -24,7 +24,7 @@ from ripplebed.plans.stages import Dropped, Signal, resolved
 
 TOLD = [
     StructField("bad_chs", ArrayType(StringType())), StructField("missing_chs", ArrayType(StringType())), StructField("extra_chs", ArrayType(StringType())),
-    StructField("ica_excluded", ArrayType(IntegerType())), StructField("ica_labels", ArrayType(StringType())), StructField("ica_proba", ArrayType(DoubleType())),
+    StructField("ica_excluded", ArrayType(IntegerType())), StructField("ica_labels", ArrayType(StringType())), StructField("ica_proba", ArrayType(DoubleType())), StructField("notes", ArrayType(StringType())),
     StructField("status", StringType()), StructField("drop_reason", StringType()), StructField("data", ArrayType(ArrayType(FloatType()))),
 ]
 

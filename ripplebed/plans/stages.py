@@ -36,7 +36,7 @@ class Signal:
     seed: int
     cfg: PipelineConfig
     gated: bool = True
-    told: dict = field(default_factory=lambda: {"bad_chs": [], "missing_chs": [], "extra_chs": [], "ica_excluded": [], "ica_labels": [], "ica_proba": []})
+    told: dict = field(default_factory=lambda: {"bad_chs": [], "missing_chs": [], "extra_chs": [], "ica_excluded": [], "ica_labels": [], "ica_proba": [], "notes": []})
 
     def places(self, names: list[str]) -> np.ndarray:
         known = positions(self.cfg.montage_name)
@@ -89,8 +89,8 @@ def bad_channels(s: Signal) -> None:
     if len(s.x) >= 16:
         try:
             bad |= set(K.ransac_bad(s.x, s.sfreq, s.places(s.names), s.seed))
-        except Exception:  # noqa: BLE001  the other detectors stand without it
-            pass
+        except Exception as e:  # noqa: BLE001  the other detectors stand without it
+            s.told["notes"].append(f"ransac: {type(e).__name__}: {e}")
     s.told["bad_chs"] += [s.names[i] for i in sorted(bad)]
     keep = [i for i in range(len(s.x)) if i not in bad]
     s.x, s.names = s.x[keep], [s.names[i] for i in keep]

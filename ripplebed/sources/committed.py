@@ -24,6 +24,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,8 +76,8 @@ class Written(WriterCommitMessage):
 
 
 class CommittedWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, run: str, schema: StructType, overwrite: bool):
-        self.path, self.run, self.schema, self.overwrite = path.rstrip("/"), run, schema, overwrite
+    def __init__(self, path: str, run: str, schema: StructType, overwrite: bool, sequential: bool = False):
+        self.path, self.run, self.schema, self.overwrite, self.sequential = path.rstrip("/"), run, schema, overwrite, sequential
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         import pyarrow.parquet as pq
@@ -115,6 +116,14 @@ class CommittedWriter(DataSourceArrowWriter):
         store.create_dir(f"{root}/manifest", recursive=True)
         before = _manifests(store, root)
         told = [asdict(m) for m in messages if m is not None and m.file] or [asdict(Written(None))]
+        if self.sequential:
+            free = (i for i in count(1) if f"data_{i}.parquet" not in taken)
+            taken = set(_listed(store, f"{root}/data"))
+            for t in told:
+                if t["file"]:
+                    name = f"data_{next(free)}.parquet"
+                    store.move(f"{root}/data/{t['file']}", f"{root}/data/{name}")
+                    t["file"] = name
         lines = [json.dumps({"run": self.run, **t, "schema": self.schema.json()}) for t in told]
         _replace(store, f"{root}/manifest/{self.run}.json", "\n".join(lines) + "\n")
         new = {t["file"] for t in told}
@@ -232,16 +241,17 @@ class Committed(DataSource):
         run = self.options.get("run") or uuid.uuid4().hex
         if "/" in run or run.startswith("."):
             raise ValueError(f"not a name for a run: {run}")
-        return CommittedWriter(self.options["path"], run, schema, overwrite)
+        return CommittedWriter(self.options["path"], run, schema, overwrite, self.options.get("names", "unique") == "sequential")
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Committed)
 
 
-def write(rows: DataFrame, out: str, run: str, overwrite: bool = False) -> None:
+def write(rows: DataFrame, out: str, run: str, overwrite: bool = False, names: str = "unique") -> None:
+    """Write a run; by ``names`` "sequential" its files get the first free of data_1, data_2 and so on."""
     register(rows.sparkSession)
-    rows.write.format("committed").mode("overwrite" if overwrite else "append").option("path", out).option("run", run).save()
+    rows.write.format("committed").mode("overwrite" if overwrite else "append").option("path", out).option("run", run).option("names", names).save()
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
 
+from ripplebed.operators import sinks
 from ripplebed.plans import drivers
 from ripplebed.plans.config import PipelineConfig
-from ripplebed.sources import committed, edf
+from ripplebed.sources import committed, edf, edf_ranges
 
 
 def windows(spark, n, parts=3):
@@ -51,6 +52,42 @@ def test_what_breaks_off_is_never_read(spark, tmp_path):
     assert len(list((tmp_path / "set/data").iterdir())) == 3 and committed.read(spark, out).count() == 50
 
 
+def test_sequential_names(spark, tmp_path):
+    out = str(tmp_path / "set")
+    committed.write(windows(spark, 30, 2), out, "one", names="sequential")
+    committed.write(windows(spark, 30, 1), out, "two", names="sequential")
+    name = lambda: sorted(p.name for p in (tmp_path / "set/data").iterdir())
+    assert name() == ["data_1.parquet", "data_2.parquet", "data_3.parquet"]
+    committed.write(windows(spark, 10, 1), out, "one", names="sequential")
+    assert name() == ["data_3.parquet", "data_4.parquet"] and committed.verify(spark, out).count() == 0
+    committed.write(windows(spark, 10, 1), out, "three", names="sequential")
+    assert name() == ["data_1.parquet", "data_3.parquet", "data_4.parquet"] and committed.read(spark, out).count() == 50
+
+
+def test_paths_read_in_tasks(spark, recordings):
+    names = ["", *(f"file:{p}" for p in sorted(recordings.glob("*.edf"))), f"file:{recordings}/absent.edf"]
+    paths = spark.createDataFrame([(n,) for n in [*names, names[1]]], "path string")
+    got = {r["path"]: r for r in edf_ranges.read_paths(paths).collect()}
+    want = {r["path"]: r for r in edf.read_listed(spark, paths.distinct()).collect()}
+    assert got.keys() == want.keys() == set(names)
+    for k, r in want.items():
+        assert got[k]["data"] == r["data"] and got[k]["status"] == r["status"] and got[k]["stem"] == r["stem"]
+    assert got[""]["error"] == "blank path" and got[names[-1]]["error"] == "no such file"
+
+
+def test_windows_of_odd_shapes(spark, tmp_path):
+    shapes = [(2, 4), (2, 3), (1, 4), (3, 6)]
+    rows = [(f"p{i}", f"p{i}", 0, [[float(10 * c + t) for t in range(n)] for c in range(k)], "ok", None) for i, (k, n) in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "path string, stem string, start_sample long, data array<array<float>>, status string, drop_reason string")
+    sinks.append(df, df.select("path", "stem"), str(tmp_path / "runs"), "one")
+    with pytest.raises(ValueError, match="different shapes"):
+        sinks.compact(spark, str(tmp_path / "runs"), str(tmp_path / "no"), 1.0, ["start_sample"])
+    got = {r["path"]: r for r in sinks.compact(spark, str(tmp_path / "runs"), str(tmp_path / "packed"), 1.0, ["start_sample"], fit=(2, 4)).collect()}
+    assert {p: r["fitted"] for p, r in got.items()} == {"p0": None, "p1": "2x3", "p2": "1x4", "p3": "3x6"}
+    assert got["p0"]["data"] == got["p3"]["data"] == [[0, 1, 2, 3], [10, 11, 12, 13]]
+    assert got["p1"]["data"] == [[0, 1, 2, 0], [10, 11, 12, 0]] and got["p2"]["data"] == [[0, 1, 2, 3], [0, 0, 0, 0]]
+
+
 def test_verify_finds_damage(spark, tmp_path):
     out = str(tmp_path / "set")
     committed.write(windows(spark, 90), out, "one")
