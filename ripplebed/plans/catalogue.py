@@ -1,6 +1,7 @@
 """The queries over the driver tables, each with its SQL.
 
-Every query runs the library's own operator; SQL says the same in its own way.
+Queries run the library's own operators, but for ``window_metadata``, a plain
+aggregation; SQL says the same in its own way.
 Windows are twenty vectors of ``embeddings`` in the order of their ids, channels of
 64 samples each; recordings and annotations are the users of ``events``, a row to
 each user as to each file; ``documents``, ``pages`` and ``conversations`` stand for

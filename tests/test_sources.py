@@ -9,6 +9,7 @@ from ripplebed.operators import sinks
 from ripplebed.plans import drivers
 from ripplebed.plans.config import PipelineConfig
 from ripplebed.sources import committed, edf, edf_ranges
+from ripplebed.streaming import incoming
 
 
 def windows(spark, n, parts=3):
@@ -175,3 +176,19 @@ def test_a_filtered_file_is_not_read(recordings, monkeypatch):
     monkeypatch.undo()
     by_name = {k[-6:]: v for k, v in bytes_of.items()}
     assert by_name["r0.edf"] == (256 * 5, 0) and by_name["r2.edf"][0] > 18_000 and by_name["r2.edf"][1] == 1
+
+
+def test_stream_into_the_committed_sink(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    (tmp_path / "in").mkdir()
+    cfg = PipelineConfig(clean=False, window_length=1.0, sfreq=50.0, channels=("Fp1", "Fz"))
+    monkeypatch.setattr(incoming, "FOLDED", 2)
+    out, want = str(tmp_path / "set"), 0
+    for i in range(4):
+        edf.write(str(tmp_path / f"in/r{i}.edf"), rng.normal(size=(2, 300)) * 1e-5, ["FP1", "FZ"], 100)
+        incoming.watch(spark, str(tmp_path / "in"), out, str(tmp_path / "checkpoint"), cfg, into="committed").awaitTermination()
+        want += 3
+        assert committed.counters(spark, out).first()["windows"] == want == committed.read(spark, out).where("status = 'ok'").count()
+        assert len(list((tmp_path / "set/manifest").glob("*.json"))) == 1 + (i % 2 == 0 and i > 0)
+    with pytest.raises(ValueError):
+        incoming.watch(spark, str(tmp_path), out, out, cfg, into="elsewhere")
