@@ -279,3 +279,37 @@ def digests(turns: DataFrame, found: DataFrame) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = damage(turns_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return digests(turns, audits(turns))
+
+
+#: The same by a recursion over turns: for each number of turns and state the least cost and audit, written as one text.
+ORACLE_SQL = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295), 4294967295) % 20 AS kind FROM k),
+t AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0),
+f AS (SELECT *, role[1] AS initial, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS fin, row_number() OVER w AS pos,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, lag(role[1]) OVER w AS before
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+g AS (SELECT *, fin = '' AS blank, fin <> '' AND again AS duplicate, fin <> '' AND NOT again AND fin NOT IN ('.', '!', '?') AS truncated, coalesce(before || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM f),
+c(a, b, letters, cost) AS (VALUES ('n', 'n', '', 0), ('n', 'u', 'I', 2), ('n', 'a', 'II', 4), ('s', 's', '', 0), ('s', 'u', 'I', 2), ('s', 'a', 'II', 4), ('u', 'u', '', 0), ('u', 'a', 'I', 2), ('a', 'a', '', 0), ('a', 'u', 'I', 2)),
+m(a, b) AS (VALUES ('n', 's'), ('n', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+o AS (SELECT b AS a, b, 'D' AS letter FROM c WHERE letters = '' UNION ALL SELECT a, b, 'K' FROM m UNION ALL SELECT a, b, 'R' FROM m WHERE b <> 's'),
+q(conv_id, pos, state, cost, audit) AS (SELECT DISTINCT conv_id, 0::BIGINT, 'n', 0, '' FROM k UNION ALL
+  SELECT conv_id, pos, state, min(way)[:10]::INT, min(way)[11:] FROM (
+    SELECT q.conv_id, g.pos, o.b AS state,
+      lpad((q.cost + c.cost + CASE o.letter WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END + CASE WHEN o.letter <> 'D' AND g.truncated THEN 1 ELSE 0 END)::VARCHAR, 10, '0') || q.audit || c.letters || o.letter AS way
+    FROM q JOIN g ON q.conv_id IS NOT DISTINCT FROM g.conv_id AND g.pos = q.pos + 1 JOIN c ON c.a = q.state JOIN o ON o.a = c.b
+    WHERE o.letter = 'D' OR NOT g.blank AND NOT g.duplicate AND (o.letter = 'R' AND g.initial <> o.b OR o.letter = 'K' AND g.initial = o.b)) GROUP BY conv_id, pos, state),
+z AS (SELECT conv_id, count(*) AS n, sum(blank::INT)::BIGINT AS blank, sum(duplicate::INT)::BIGINT AS duplicate, sum(truncated::INT)::BIGINT AS truncated, sum(illegal::INT)::BIGINT AS illegal,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM g GROUP BY conv_id),
+y AS (SELECT k.conv_id, coalesce(z.n, 0) AS n, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM k) k LEFT JOIN z ON k.conv_id IS NOT DISTINCT FROM z.conv_id),
+x AS (SELECT y.conv_id, min(lpad((q.cost + c.cost)::VARCHAR, 10, '0') || q.audit || c.letters) AS way FROM y JOIN q ON y.conv_id IS NOT DISTINCT FROM q.conv_id AND q.pos = y.n JOIN c ON c.a = q.state AND c.b IN ('n', 'a') GROUP BY y.conv_id),
+v AS (SELECT conv_id, way[11:] AS audit, unnest(range(1, length(way) - 9)) AS i FROM x),
+u AS (SELECT conv_id, i, audit[i] AS letter, i - length(replace(audit[:i], 'I', '')) AS inserted, length(replace(audit[:i], 'D', '')) AS place FROM v),
+w AS (SELECT u.conv_id, i, letter, place, role, text FROM u LEFT JOIN g ON letter <> 'I' AND u.conv_id IS NOT DISTINCT FROM g.conv_id AND g.pos = i - inserted WHERE letter <> 'D'),
+b AS (SELECT *, bool_or(place = 1 AND letter = 'K' AND role[1] = 's') OVER (PARTITION BY conv_id) AS led FROM w),
+a AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS lines FROM b GROUP BY conv_id)
+SELECT y.conv_id, gaps, blank, duplicate, truncated, illegal, way[:10]::BIGINT AS cost, way[11:] AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM y JOIN x ON y.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN a ON y.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
