@@ -2,9 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
 all but the last return the columns of ``documents``.  A stage removes the tables that
-it wrote on the way and that its result doesn't read.  In ``run`` a stage's result is
-written, and read again as the next one's ``docs``; what is left of the tables that it
-was made from then goes, and so does the result before it.
+it wrote on the way and that its result doesn't read.  The others go once a stage is
+called, in the same thread, with a copy of that result as ``docs``: as many rows with the
+same ids.  Other results are never touched.  ``run`` keeps a book of its own: a stage's
+result is written, and read again as the next one's ``docs``; what it was made from then
+goes.
 
 Defined results, whatever the stage: rows go through by themselves, so rows without
 doc_id, with another's doc_id, or alike in all columns are judged each on its own
@@ -16,27 +18,49 @@ may have the names of columns that the stages use.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ripplebed.llm import exact_dedup, language_id, minhash, packing, quality_rules
 from ripplebed.llm.base import collected, reads, remove, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: This thread's results that still read tables of their stage, and these tables.
+_LIVE: ContextVar[list[tuple[DataFrame, list[str]]] | None] = ContextVar("live", default=None)
+
+
+def is_copy(docs: DataFrame, result: DataFrame) -> bool:
+    """Whether ``docs`` has as many rows as ``result``, and the same ids; texts aren't read for that."""
+    if docs.columns != result.columns:
+        return False
+    told = [F.count(F.lit(1)), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))]
+    return docs.agg(*told).first() == result.agg(*told).first()
 
 
 def stage(f: Stage) -> Stage:
-    """Removes the tables that a stage wrote and its result doesn't read."""
+    """Removes tables that no result reads any more: of a stage's own, and of the result that it gets a copy of."""
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        live = _LIVE.get()
+        if live is None:
+            _LIVE.set(live := [])
+        for i in reversed(range(len(live))):
+            if is_copy(docs, live[i][0]):
+                for path in live.pop(i)[1]:
+                    remove(spark, path)
+                break
         with collected() as paths:
             out = f(spark, docs, sf_dir)
         needed = reads(out, paths)
         for path in paths:
             if path not in needed:
                 remove(spark, path)
+        if needed:
+            live.append((out, needed))
         return out
 
     return run
@@ -81,12 +105,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, step in STAGES:
-        with collected() as paths:
-            docs = staged(step(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        # Nothing reads these any more: the result lies in the table that was written last.
-        *done, new = paths
-        for path in [*done, *filter(None, [last])]:
-            remove(spark, path)
-        last = new
+    before = _LIVE.set([])
+    try:
+        for name, step in STAGES:
+            with collected() as paths:
+                docs = staged(step(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            _LIVE.get().clear()
+            # Nothing reads these any more: the result lies in the table that was written last.
+            *done, new = paths
+            for path in [*done, *filter(None, [last])]:
+                remove(spark, path)
+            last = new
+    finally:
+        _LIVE.reset(before)
     return docs
