@@ -165,9 +165,8 @@ def audits(turns: DataFrame) -> DataFrame:
     of_block = flagged(turns).groupBy("conv_id", block.alias("block")).agg(
         F.sort_array(F.collect_list(here(code))).alias("codes"), F.min(here(F.col("turn"))).alias("least"), F.max(here(F.col("turn"))).alias("most"), *(count(c) for c in (*COUNTS, "new_turn"))
     )
-    # The first block of a conversation begins with nothing written.
-    folds = [F.when((F.col("block") == 0) if s == START else F.col("block") > 0, _fold(F.col("codes"), s)).alias(s) for s in (START, SYSTEM, USER, ASSISTANT)]
-    folds[0] = _fold(F.col("codes"), START).alias(START)
+    # The first block of a conversation begins with nothing written, so it needs no other fold.
+    folds = [_fold(F.col("codes"), START).alias(START), *(F.when(F.col("block") > 0, _fold(F.col("codes"), s)).alias(s) for s in STATES[1:])]
     blocks = of_block.select("conv_id", "block", "least", "most", *COUNTS, "new_turn", F.struct(*folds).alias("ways"))
     joined = blocks.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("block", "ways")))).alias("blocks"), F.min("least").alias("least"), F.max("most").alias("most"),
