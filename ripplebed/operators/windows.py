@@ -60,14 +60,15 @@ def label_of(description: Column, descriptions: list[str]) -> Column:
 def split_annotated(recordings: DataFrame, descriptions: list[str], tmin: float = -0.5, tlen: float = 5.0, keep_empty: bool = False) -> DataFrame:
     """One labelled window for each annotation (array<struct<onset, description, ...>>) whose bounds lie within its recording.
 
-    Windows are cut within the row: no join, and no recording is moved or copied.
+    ``ann_idx`` is the annotation's own field of that name, or else its place.  Windows are cut within the row: no join, and no recording is moved or copied.
     With ``keep_empty`` a recording without a window keeps a row, of nulls.
     """
     n_all = F.size(F.get("data", F.lit(0)))
+    numbered = "ann_idx" in recordings.schema["annotations"].dataType.elementType.names
 
     def window(a: Column, i: Column) -> Column:
         start, n = event_bounds(a["onset"], F.col("sfreq"), tmin, tlen)
-        return F.struct(i.alias("ann_idx"), a["description"].alias("description"), label_of(a["description"], descriptions).alias("label"), start.alias("start_sample"), n.alias("n"))
+        return F.struct((a["ann_idx"] if numbered else i).alias("ann_idx"), a["description"].alias("description"), label_of(a["description"], descriptions).alias("label"), start.alias("start_sample"), n.alias("n"))
 
     found = F.filter(F.transform("annotations", window), lambda w: w["description"].isin(descriptions) & (w["start_sample"] >= 0) & (w["start_sample"] + w["n"] <= n_all))
     cut = F.transform(found, lambda w: F.struct(w["ann_idx"].alias("ann_idx"), w["description"].alias("description"), w["label"].alias("label"), w["start_sample"].alias("start_sample"), w["n"].alias("n"), _cut(w["start_sample"], w["n"])))
@@ -76,13 +77,21 @@ def split_annotated(recordings: DataFrame, descriptions: list[str], tmin: float
     return _named(out, "ann_idx", "description", "label")
 
 
+#: Annotations that are gathered to one copy of their recording.
+GATHERED = 1000
+
+
 def split_events(recordings: DataFrame, annotations: DataFrame, descriptions: list[str], tmin: float = -0.5, tlen: float = 5.0) -> DataFrame:
-    """The same for annotations in a table of their own (file_id, ann_idx, onset, description), which are gathered to their recordings."""
-    told = annotations.where(F.col("description").isin(descriptions)).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("ann_idx", "onset", "description"))).alias("annotations"))
-    out = split_annotated(recordings.join(told, "file_id"), descriptions, tmin, tlen)
-    # Within the row an annotation goes by its place; its own number comes back by it.
-    numbers = told.select("file_id", F.posexplode("annotations").alias("ann_idx", "a")).select("file_id", "ann_idx", F.col("a.ann_idx").alias("_own"))
-    return out.join(numbers, ["file_id", "ann_idx"]).withColumn("ann_idx", F.col("_own")).drop("_own").select(*out.columns)
+    """The same for annotations in a table of their own (file_id, ann_idx, onset, description), which are gathered to their recordings.
+
+    A recording with many of them is copied for each ``GATHERED``, so that no row and
+    no task takes all; long recordings are better cut from chunks.
+    """
+    told = annotations.where(F.col("description").isin(descriptions)).select("file_id", "ann_idx", "onset", "description")
+    parts = told.groupBy("file_id").agg(F.ceil(F.count("*") / GATHERED).alias("_parts"))
+    part = F.pmod(F.xxhash64("ann_idx", "onset"), F.col("_parts"))
+    told = told.join(parts, "file_id").groupBy("file_id", part.alias("_part")).agg(F.sort_array(F.collect_list(F.struct("ann_idx", "onset", "description"))).alias("annotations"))
+    return split_annotated(recordings.join(told.drop("_part"), "file_id"), descriptions, tmin, tlen)
 
 
 def at_rest(description: Column, resting: list[str]) -> Column:
