@@ -152,62 +152,66 @@ class LineStatistics:
     """Sums from which line noise is found: those of two parts of a recording may be added."""
 
     gram: np.ndarray  # channels x channels
-    spectra: np.ndarray  # frequencies x channels x channels, of windows that overlap by half
+    biased: np.ndarray  # the same of what lies at the line and its harmonics, in windows that overlap by half
+    spectra: np.ndarray  # frequencies near the line x channels x channels, of tapered windows
     windows: int
 
     @classmethod
-    def of(cls, fast: np.ndarray, windows: list[np.ndarray], bins: np.ndarray) -> LineStatistics:
-        c = len(fast)
-        spectra = np.zeros((len(bins), c, c), complex)
+    def of(cls, fast: np.ndarray, windows: list[np.ndarray], n: int, sfreq: float, line: float) -> LineStatistics:
+        c, near, harmonic, weight = len(fast), *line_bins(n, sfreq, line)
+        biased, spectra = np.zeros((c, c)), np.zeros((len(near), c, c), complex)
         for w in windows:
-            f = np.fft.rfft(w * np.hanning(w.shape[-1]))[:, bins].T
+            f = np.fft.rfft(w)[:, harmonic]
+            biased += ((f * weight) @ f.conj().T).real
+            f = np.fft.rfft(w * np.hanning(n))[:, near].T
             spectra += f[:, :, None] * f[:, None, :].conj()
-        return cls(fast @ fast.T, spectra, len(windows))
+        return cls(fast @ fast.T, biased, spectra, len(windows))
 
     def __add__(self, other: LineStatistics) -> LineStatistics:
-        return LineStatistics(self.gram + other.gram, self.spectra + other.spectra, self.windows + other.windows)
+        return LineStatistics(self.gram + other.gram, self.biased + other.biased, self.spectra + other.spectra, self.windows + other.windows)
 
 
-def line_bins(n: int, sfreq: float, line: float, spread: float = 6.0) -> np.ndarray:
-    """The frequencies of a window of ``n`` samples that lie near the line or at one of its harmonics."""
+def line_bins(n: int, sfreq: float, line: float, spread: float = 6.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a window of ``n`` samples the frequencies near the line, those at it and its harmonics, and how often each of these counts in a real signal."""
     f = np.fft.rfftfreq(n, 1 / sfreq)
-    use = np.abs(f - line) <= spread
+    harmonic = np.zeros(len(f), bool)
     for k in range(1, int(sfreq / 2 / line) + 1):
-        use |= np.abs(f - k * line) <= 0.5
-    return np.flatnonzero(use)
+        harmonic |= np.abs(f - k * line) <= 0.5
+    at = np.flatnonzero(harmonic)
+    return np.flatnonzero(np.abs(f - line) <= spread), at, np.where((at == 0) | (2 * at == n), 1.0, 2.0)
 
 
 def line_projection(s: LineStatistics, n: int, sfreq: float, line: float, most: int = 20, spread: float = 6.0) -> np.ndarray:
     """The matrix that takes components out which are strongest at the line and its harmonics, one by one while the spectrum still peaks there."""
-    f = np.fft.rfftfreq(n, 1 / sfreq)[line_bins(n, sfreq, line, spread)]
+    f = np.fft.rfftfreq(n, 1 / sfreq)[line_bins(n, sfreq, line, spread)[0]]
     near, peak = (np.abs(f - line) <= spread) & (np.abs(f - line) > 1), np.abs(f - line) <= 0.5
-    harmonic = np.any([np.abs(f - k * line) <= 0.5 for k in range(1, int(sfreq / 2 / line) + 1)], axis=0)
     out = np.eye(len(s.gram))
-    gram, spectra = s.gram, s.spectra
+    gram, biased, spectra = s.gram, s.biased, s.spectra
     if not s.windows or not near.any() or not peak.any():
         return out
     for _ in range(most):
-        mean = np.log10(np.einsum("fcc->fc", spectra).real.mean(axis=1) / s.windows + 1e-300)
+        power = np.maximum(np.einsum("fcc->fc", spectra).real, 0).mean(axis=1) / s.windows
+        mean = np.log10(power + 1e-300)
         if mean[peak].max() <= mean[near].mean() + 3 * mean[near].std():
             break
         scale, axes = np.linalg.eigh(gram)
         good = scale > scale.max() * 1e-10
         white = axes[:, good] / np.sqrt(scale[good])
-        w = white @ np.linalg.eigh(white.T @ spectra[harmonic].real.sum(axis=0) @ white)[1][:, -1]
+        w = white @ np.linalg.eigh(white.T @ biased @ white)[1][:, -1]
         step = np.eye(len(gram)) - np.outer(gram @ w, w) / (w @ gram @ w)
-        out, gram, spectra = step @ out, step @ gram @ step.T, step @ spectra @ step.T
+        out, gram, biased, spectra = step @ out, step @ gram @ step.T, step @ biased @ step.T, step @ spectra @ step.T
     return out
 
 
-def remove_line(x: np.ndarray, sfreq: float, line: float, most: int = 20, spread: float = 6.0) -> np.ndarray:
+def remove_line(x: np.ndarray, sfreq: float, line: float, most: int = 20) -> np.ndarray:
     """Project out components that are strongest at the line frequency while the spectrum still peaks there."""
     if x.shape[-1] < 2 * sfreq / line or np.linalg.matrix_rank(x) < 2:
         return x
     smooth = filtered(x, period_steps(sfreq, line))
     fast, n = x - smooth, welch_length(x.shape[-1], sfreq)
     windows = [fast[:, s : s + n] for s in range(0, x.shape[-1] - n + 1, max(1, n // 2))]
-    found = LineStatistics.of(fast, windows, line_bins(n, sfreq, line, spread))
-    return smooth + line_projection(found, n, sfreq, line, most, spread) @ fast
+    found = LineStatistics.of(fast, windows, n, sfreq, line)
+    return smooth + line_projection(found, n, sfreq, line, most) @ fast
 
 
 # --- moments --------------------------------------------------------------------

@@ -299,7 +299,7 @@ def without_line(chunks: DataFrame, line: float) -> DataFrame:
         n = K.welch_length(r.n_times, r.sfreq)
         hop = max(1, n // 2)
         begins = range(-(-r.a // hop) * hop, min(r.b, r.n_times - n + 1), hop)
-        return K.LineStatistics.of(r.own(fast, start), [fast[:, s - start : s - start + n] for s in begins], K.line_bins(n, r.sfreq, line))
+        return K.LineStatistics.of(r.own(fast, start), [fast[:, s - start : s - start + n] for s in begins], n, r.sfreq, line)
 
     def finish(total: K.LineStatistics, sfreq: float, n_times: int) -> bytes:
         single = len(total.gram) < 2 or too_short(n_times, sfreq)
