@@ -163,9 +163,10 @@ def mapped(chunks: DataFrame, kernel: Callable[[Region], np.ndarray], left: Call
     return _exchanged(chunks, left, right, payloads).groupBy("path", "to").applyInArrow(run, CHUNK)
 
 
-def summed(chunks: DataFrame, statistics: Callable[[Region], object], finish: Callable[[object], bytes], left: Callable[[float], int] = lambda _: 0, right: Callable[[float], int] = lambda _: 0) -> DataFrame:
+def summed(chunks: DataFrame, kind: type, statistics: Callable[[Region], object], finish: Callable[[object], bytes], left: Callable[[float], int] = lambda _: 0, right: Callable[[float], int] = lambda _: 0) -> DataFrame:
     """path, last (number of the last chunk) and payload: what ``finish`` makes of the sum of all chunks' statistics, which are added in the order of chunks.
 
+    ``statistics`` gives values of ``kind``, a data class of numbers and arrays, which are passed on field by field.
     ``finish`` gets the sum and the recording's rate and number of samples; a recording of which a chunk failed has none.
     """
     kinds = "path string, part long, last long, sfreq double, n_times long, total binary"
@@ -177,7 +178,7 @@ def summed(chunks: DataFrame, statistics: Callable[[Region], object], finish: Ca
 
     def one(table: pa.Table) -> pa.Table:
         head, region, _ = _gathered(table, left, right)
-        total = None if region is None else pickle.dumps(statistics(region))
+        total = None if region is None else pickle.dumps(vars(statistics(region)))
         last = (head["n_times"] - 1) // head["length"] if region is not None else None
         return row(head.get("path"), head.get("chunk"), last, head.get("sfreq"), head.get("n_times"), total)
 
@@ -186,8 +187,9 @@ def summed(chunks: DataFrame, statistics: Callable[[Region], object], finish: Ca
         for t in totals:
             if t is None:
                 return None
-            out = pickle.loads(t) if out is None else out + pickle.loads(t)
-        return None if out is None else pickle.dumps(out)
+            part = kind(**pickle.loads(t))
+            out = part if out is None else out + part
+        return None if out is None else pickle.dumps(vars(out))
 
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["part"] if r["part"] is not None else -1)
@@ -195,7 +197,7 @@ def summed(chunks: DataFrame, statistics: Callable[[Region], object], finish: Ca
 
     def last(table: pa.Table) -> pa.Table:
         r = merge(table).to_pylist()[0]
-        payload = None if r["total"] is None else finish(pickle.loads(r["total"]), r["sfreq"], r["n_times"])
+        payload = None if r["total"] is None else finish(kind(**pickle.loads(r["total"])), r["sfreq"], r["n_times"])
         return pa.table({"path": pa.array([r["path"]], pa.string()), "last": pa.array([r["last"]], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
     ones = _exchanged(chunks, left, right, None).groupBy("path", "to").applyInArrow(one, kinds)
@@ -264,16 +266,16 @@ def moments(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 m = None if raw is None else pickle.loads(raw)
-                values = (path, None, None, None) if m is None else (path, m.n, m.mean.tolist(), m.products.tolist())
+                values = (path, None, None, None) if m is None else (path, m["n"], m["mean"].tolist(), m["products"].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64()))), strict=True)], names=["path", "n", "mean", "products"])
 
-    found = summed(chunks, lambda r: K.Moments.of(r.own(r.x, r.start)), lambda total, sfreq, n: pickle.dumps(total))
+    found = summed(chunks, K.Moments, lambda r: K.Moments.of(r.own(r.x, r.start)), lambda total, sfreq, n: pickle.dumps(vars(total)))
     return found.select("path", "payload").mapInArrow(table, "path string, n long, mean array<double>, products array<array<double>>")
 
 
 def whitened(chunks: DataFrame) -> DataFrame:
     """Channels of each recording made uncorrelated and of variance 1, by its own moments."""
-    found = summed(chunks, lambda r: K.Moments.of(r.own(r.x, r.start)), lambda total, sfreq, n: pickle.dumps((total.mean, total.whitening())))
+    found = summed(chunks, K.Moments, lambda r: K.Moments.of(r.own(r.x, r.start)), lambda total, sfreq, n: pickle.dumps((total.mean, total.whitening())))
 
     def kernel(r: Region) -> np.ndarray:
         mean, white = pickle.loads(r.payload)
@@ -311,5 +313,5 @@ def without_line(chunks: DataFrame, line: float) -> DataFrame:
         fast, smooth, start = fast_of(r)
         return r.own(smooth + pickle.loads(r.payload) @ fast, start)
 
-    found = summed(chunks, statistics, finish, half, beyond)
+    found = summed(chunks, K.LineStatistics, statistics, finish, half, beyond)
     return mapped(chunks, kernel, half, half, to_chunks(found))
