@@ -207,22 +207,11 @@ HEADED = ("path", "sfreq", "n_times", "duration", "status")
 
 
 class EdfReader(DataSourceReader):
-    """A partition for each file.
-
-    Filters on the path leave out files, those on what a head tells are judged on the
-    head alone, before the samples are read; all others go back to Spark.
-    """
+    """A partition for each file; filters that it was given are judged before the samples are read."""
 
     def __init__(self, paths: list[str], signals: bool):
         self.paths, self.signals, self.filters = paths, signals, []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if type(f) in JUDGED and len(f.attribute) == 1 and f.attribute[0] in HEADED:
-                self.filters.append(f)
-            else:
-                yield f
-
     def _fits(self, row: dict, columns: tuple[str, ...]) -> bool:
         asked = [f for f in self.filters if f.attribute[0] in columns]
         return all((v := row[f.attribute[0]]) is not None and JUDGED[type(f)](v, getattr(f, "value", None)) for f in asked)
@@ -250,8 +239,23 @@ class EdfReader(DataSourceReader):
         yield tuple(row.values())
 
 
+class FilteringEdfReader(EdfReader):
+    """Filters on the path leave out files, those on what a head tells are judged on the head alone; all others go back to Spark."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if type(f) in JUDGED and len(f.attribute) == 1 and f.attribute[0] in HEADED:
+                self.filters.append(f)
+            else:
+                yield f
+
+
 class EdfDataSource(DataSource):
-    """spark.read.format("edf").option("mode", "header" or "signal").load(folder or file)"""
+    """spark.read.format("edf").option("mode", "header" or "signal").load(folder or file)
+
+    With option "pushdown" "true" it takes filters, for which Spark asks that
+    spark.sql.python.filterPushdown.enabled is on.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -266,4 +270,5 @@ class EdfDataSource(DataSource):
 
         path = self.options["path"]
         paths = sorted(glob.glob(os.path.join(path, "**", "*.edf"), recursive=True)) if os.path.isdir(path) else [path]
-        return EdfReader(paths, self.options.get("mode", "signal") == "signal")
+        kind = FilteringEdfReader if self.options.get("pushdown", "false").lower() == "true" else EdfReader
+        return kind(paths, self.options.get("mode", "signal") == "signal")
