@@ -2,7 +2,7 @@
 
 Equal texts are one point of the tree, which weighs their bytes, so they come into
 one shard.  Only a group that weighs more than ``WHOLE`` of a shard is divided, into
-parts of about that weight, as small shards could not come out even otherwise.
+parts of about that weight, as shards could not come out even otherwise.
 
 The coordinates of a point are its size, language and source, each scaled to 0..1:
 the size by its rank among ``STEPS`` quantiles, language and source by a hash of
@@ -31,7 +31,7 @@ from ripplebed.llm.base import documents, staged, with_offsets
 
 SHARDS = 24
 #: Part of a shard's bytes up to which equal texts stay together.
-WHOLE = 0.05
+WHOLE = 0.02
 #: Quantiles that scale the size.
 STEPS = 64
 #: Rows of a shard that are numbered in one window.
